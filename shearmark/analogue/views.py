@@ -206,7 +206,7 @@ def aligner_runs(t: Tables) -> DataFrame:
 
 def timings(t: Tables) -> DataFrame:
     """Stage seconds per sample, with recorded totals that are sometimes off by one."""
-    s = F.floor(F.col("l_orderkey") / F.lit(3)).cast("long") % 500
+    s = F.floor(F.col("l_orderkey") / F.lit(3)).cast("long") % 60
     # A stage for each third of the lines, a mode for each return flag.
     per = t.lineitem.groupBy(_text("P", F.col("l_orderkey") % 3).alias("project"), s.alias("s")).agg(*[
         F.sum(F.when((F.col("l_returnflag") == f) & (F.col("l_linenumber") % 3 == i), F.col("l_quantity").cast("long"))

@@ -34,7 +34,7 @@ def read_headerless(spark: SparkSession, path: str, names: list[str]) -> DataFra
 def read_id_lists(spark: SparkSession, path: str, prefix: str = "SRR") -> DataFrame:
     """Accessions of per-project id files: trimmed lines with the prefix, project from the file name."""
     # Fixed pattern: <project>_SRR_IDs.txt
-    raw = spark.read.option("recursiveFileLookup", True).text(path).select(
+    raw = spark.read.text(path, recursiveFileLookup=True).select(
         _path_part(r"([^/=]+)_SRR_IDs\.txt").alias("project_id"), F.trim("value").alias("srr_id"))
     return raw.filter((F.col("project_id") != "") & F.col("srr_id").startswith(prefix))
 
@@ -74,7 +74,7 @@ def read_qc_sections(spark: SparkSession, path: str) -> DataFrame:
     # Fixed markers: >>Per base sequence quality ... >>END_MODULE
     section = r"(?s)(?:^|\n)>>Per base sequence quality[^\n]*(\n.*?)(?:\n>>END_MODULE|\z)"
     folder = r"([^/=]+)/(?:[^/=]+=)?([^/=]+_fastqc)/"
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         _path_part(folder, 1).alias("project_id"), _path_part(folder, 2).alias("report"),
         F.regexp_extract("value", section, 1).alias("body"), F.col(PATH).alias("path"))
     lines = raw.filter(F.col("report") != "").select(

@@ -18,7 +18,7 @@ def as_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         x = F.col(c)
         if c not in doubles:
             return x.cast("string").alias(c)
-        return F.when(~F.isnan(x), F.format_string("%.6f", x)).alias(c)
+        return F.when(x.isNotNull() & ~F.isnan(x), F.format_string("%.6f", x)).alias(c)
 
     return df.select(*[cell(c) for c in cols])
 
