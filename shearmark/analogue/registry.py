@@ -647,7 +647,7 @@ MI = " UNION ALL ".join(f"""SELECT '{f}' AS feature, {r6('sum(n / tot * ln(n * t
     SELECT bin, lab, count(*) AS n FROM (SELECT {' + '.join(f'CASE WHEN {f} > e[{i}] THEN 1 ELSE 0 END' for i in range(1, 8))} AS bin,
     benefits_from_trimming AS lab FROM evaluation, (SELECT quantile_cont({f}, [{', '.join(str(i / 8) for i in range(1, 8))}]) AS e FROM evaluation))
     GROUP BY 1, 2))""" for f in QC_FEATURES)
-query("ST13_mutual_information", MI)(lambda t: qcmodel.feature_scores(settle(evaluation(t), "evaluation")))
+query("ST13_mutual_information", MI)(lambda t: qcmodel.feature_scores(evaluation(t)))
 CLS_COLS = ", ".join([f"{r6(f'{m}_delta_path')} AS {m}_delta_path" for m in TRIMMED_METHODS] + [f"{m}_class" for m in TRIMMED_METHODS])
 query("ST14_classify_trimming", f"SELECT project_id, SRR_ID, {CLS_COLS}, t_star FROM cls")(classes)
 query("ST15_qc_forest")(lambda t: qcmodel.qc_forest(_forest_input(t)))
@@ -706,11 +706,11 @@ query("E9_outliers", f"""SELECT project_id, SRR_ID, t_star, {r6('preferred_delta
 query("E9_headline", HEADLINE)(lambda t: classify.headline(classes(t), trim(t), "row_no"))
 query("E10_accuracy", ACCURACY)(lambda t: A.accuracy(evaluation(t), "True_t_star", "Predicted_t_star"))
 query("E10_top_features", f"SELECT * FROM ({MI}) ORDER BY mutual_information DESC, feature LIMIT 6")(
-    lambda t: qcmodel.top_features(qcmodel.feature_scores(settle(evaluation(t), "evaluation")), 6))
+    lambda t: qcmodel.top_features(qcmodel.feature_scores(evaluation(t)), 6))
 BENEFIT = " UNION ALL ".join(f"""SELECT CASE WHEN benefits_from_trimming = 1 THEN 'beneficial' ELSE 'untrimmed-optimal' END || '|{f}' AS k,
     {f}::DOUBLE AS v FROM evaluation""" for f in ("Q_mean", "gc_content"))
 query("E10_feature_boxes", f"""SELECT split_part(k, '|', 1) AS benefit_label, split_part(k, '|', 2) AS feature, * EXCLUDE (k)
-    FROM ({box_sql(f'({BENEFIT})', 'k', 'v')})""")(lambda t: qcmodel.feature_boxes(settle(evaluation(t), "evaluation"), ["Q_mean", "gc_content"]))
+    FROM ({box_sql(f'({BENEFIT})', 'k', 'v')})""")(lambda t: qcmodel.feature_boxes(evaluation(t), ["Q_mean", "gc_content"]))
 query("E11_whole_project", E11)(_whole)
 query("E12_pending", """SELECT DISTINCT 'P' || (l_orderkey % 3) AS project, 'SRR' || l_orderkey AS srr FROM lineitem
     WHERE l_orderkey % 10 <> 0 AND l_orderkey % 4 <> 0""")(lambda t: _pending(t))

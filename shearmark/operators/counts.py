@@ -65,10 +65,10 @@ def library_factors(counts: DataFrame, by: list[str], depth_mode: str | None = N
     be ["project"]), which puts every mode of a project on one scale.
     """
     keys = [*by, "srr", "mode"] if depth_mode else [*by, "srr"]
-    totals = counts.groupBy(*keys).agg(F.sum("count").cast("double").alias("total"))
-    group = Window.partitionBy(*by)  # one row per sample and mode
-    scale = F.when(F.col("mode") == depth_mode, F.col("total")) if depth_mode else F.col("total")
-    return totals.withColumn("size_factor", F.try_divide("total", F.avg(scale).over(group))).drop("total")
+    totals = settle(counts.groupBy(*keys).agg(F.sum("count").cast("double").alias("total")), "totals")
+    counted = totals.filter(F.col("mode") == depth_mode) if depth_mode else totals
+    means = settle(counted.groupBy(*by).agg(F.avg("total").alias("_mean")), "means")
+    return join_groups(totals, means, by).withColumn("size_factor", F.try_divide("total", "_mean")).drop("total", "_mean")
 
 
 def size_factors(counts: DataFrame, by: list[str], how: str = "median_ratio") -> DataFrame:
@@ -80,10 +80,10 @@ def size_factors(counts: DataFrame, by: list[str], how: str = "median_ratio") ->
     library = library_factors(counts, by)
     if how == "library":
         return library
-    n_samples = library.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"))
+    n_samples = settle(library.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples")), "n_samples")
     positive = counts.filter(F.col("count") > 0)
     means = positive.groupBy(*by, "gene").agg(F.avg(F.ln("count")).alias("g"), F.count(F.lit(1)).alias("n"))
-    means = means.join(n_samples, by).filter(F.col("n") == F.col("n_samples")).select(*by, "gene", "g")
+    means = join_groups(means, n_samples, by).filter(F.col("n") == F.col("n_samples")).select(*by, "gene", "g")
     # A median spans one sample's genes: bounded by the gene catalogue.
     ratio = (positive.join(means, [*by, "gene"]).groupBy(*by, "srr")
              .agg(F.exp(F.median(F.ln("count") - F.col("g"))).alias("ratio")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import SALTS
+from ..runtime import grid_join, join_groups, settle
 
 
 def left_join(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -40,9 +40,9 @@ def missing_from(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 
 def cohort_split(df: DataFrame, cohort: DataFrame, on: list[str]) -> DataFrame:
-    """Flag each row by membership of its key in the cohort."""
-    flag = cohort.select(*on).distinct().withColumn("_in", F.lit(True))
-    return df.join(flag, on, "left").withColumn("in_cohort", F.coalesce("_in", F.lit(False))).drop("_in")
+    """Flag each row by membership of its key in the cohort; one project may hold much of the rows."""
+    flag = settle(cohort.select(*on).distinct().withColumn("_in", F.lit(True)), "cohort")
+    return join_groups(df, flag, on, "left").withColumn("in_cohort", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def reconcile(df: DataFrame, other: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
@@ -51,15 +51,13 @@ def reconcile(df: DataFrame, other: DataFrame, on: list[str], a: str, b: str) ->
             .filter(F.col(a) != F.col(b)).withColumn("delta", F.col(a) - F.col(b)))
 
 
-def dense_counts(counts: DataFrame, universe: DataFrame, samples: DataFrame, salts: int = SALTS) -> DataFrame:
+def dense_counts(counts: DataFrame, universe: DataFrame, samples: DataFrame) -> DataFrame:
     """Count of every universe gene in every sample of its project and mode, 0 where absent.
 
-    The result is the dense matrix itself; the project key is salted by gene so
-    that one large project is built by many tasks.
+    The result is the dense matrix itself; the grid join lets many tasks build
+    the cells of one large project.
     """
-    genes = universe.withColumn("_salt", F.pmod(F.xxhash64("gene"), F.lit(salts)))
-    cells = samples.select("project", "srr", "mode").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    grid = genes.join(cells, ["project", "_salt"]).drop("_salt")
+    cells = samples.select("project", "srr", "mode")
+    grid = grid_join(universe, cells, ["project"], "gene", "srr")
     return (grid.join(counts, ["project", "srr", "mode", "gene"], "left")
             .withColumn("count", F.coalesce("count", F.lit(0).cast("long"))))

@@ -47,8 +47,12 @@ def summarise(df: DataFrame, by: list[str], quantiles: dict[str, tuple[str, floa
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
     if largest_group(source, keys) <= limit:
-        direct = [F.percentile(F.col(c), F.lit(p)).alias(n) for n, (c, p) in quantiles.items()]
-        return df.groupBy(*by).agg(*aggs, *direct)
+        # One value map per column, whatever the number of its quantiles.
+        probs = {c: sorted({p for k, p in quantiles.values() if k == c}) for c, _ in quantiles.values()}
+        maps = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in ps])).alias(f"_q_{c}") for c, ps in probs.items()]
+        out = df.groupBy(*by).agg(*aggs, *maps)
+        picked = {n: F.get(F.col(f"`_q_{c}`"), F.lit(probs[c].index(p))) for n, (c, p) in quantiles.items()}
+        return out.withColumns(picked).drop(*[f"_q_{c}" for c in probs])
     cols = sorted({c for c, _ in quantiles.values()})
     long = source.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_e")
@@ -98,8 +102,8 @@ def avg_rank(df: DataFrame, by: list[str], col: str, out: str = "rank", bounded:
     """
     if bounded or largest_group(df, by) <= limit:
         ordered = Window.partitionBy(*by).orderBy(col)
-        ties = Window.partitionBy(*by, col)
-        return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
+        peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)  # same shuffle, same sort
+        return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0))
     values = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
     ranks = cumulate(values, by, [col]).select(
         *by, col, "n", (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias(out))

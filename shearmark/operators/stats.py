@@ -104,8 +104,9 @@ def profile_similarity(counts: DataFrame, pairs=PROFILE_PAIRS) -> DataFrame:
         "z": F.col("n") - F.count(F.lit(1)).over(group),
         "tx": F.sum("x").over(group), "ty": F.sum("y").over(group)})
     for v in ("x", "y"):
-        ties = F.count(F.lit(1)).over(Window.partitionBy("project", "srr", "pair", v))
-        place = F.rank().over(group.orderBy(v)) + (ties - 1) / F.lit(2.0)
+        ordered = group.orderBy(v)
+        ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+        place = F.rank().over(ordered) + (ties - 1) / F.lit(2.0)
         ranked = ranked.withColumn(f"_t{v}", place)
     mu = (F.col("n") + 1) / F.lit(2.0)
     zeros = {v: F.sum(F.when(F.col(v) == 0, 1).otherwise(0)).over(group) for v in ("x", "y")}
@@ -134,7 +135,7 @@ def binned_trend(df: DataFrame, x: str, y: str, by: list[str], width: float = 1.
     Edges run from floor(min) to ceil(max); the minimum belongs to the first
     bin, whose lower edge sits 0.001 further down.
     """
-    complete = df.dropna(subset=[*by, x, y])
+    complete = settle(df.select(*by, x, y).dropna(), "trend")  # read four times below
     edges = settle(complete.agg(F.floor(F.min(x)).cast("double").alias("lo"),
                                 F.ceil(F.max(x)).cast("double").alias("hi")), "edges")
     lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
@@ -172,7 +173,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     A value's bin is the number of interior quantile edges below it, so equal
     values share a bin and no row-level ordering is needed.
     """
-    complete = df.dropna(subset=[*features, label])
+    complete = settle(df.select(*features, label).dropna(), "features")  # read three times below
     probs = [i / bins for i in range(1, bins)]
     edges = settle(summarise(complete, [], {f"{f}_{i}": (f, p) for f in features for i, p in enumerate(probs)}),
                    "edges")

@@ -59,7 +59,7 @@ def paired_ratio(df: DataFrame, index: str, key: str, value: str, a: str, b: str
 def endpoint_summary(df: DataFrame) -> DataFrame:
     """Attempts, outcomes and median speed per download endpoint."""
     return summarise(df, ["endpoint"], {"median_mb_per_sec": ("mb_per_sec", 0.5)}, [
-        F.count("srr_id").alias("attempts"),
+        F.count(F.lit(1)).alias("attempts"),
         F.count_if(F.col("status") == "success").alias("successes"),
         F.count_if(F.col("status") == "failed").alias("failed")]).orderBy("endpoint")
 
@@ -86,14 +86,17 @@ def describe_long(df: DataFrame, cols: dict[str, tuple[str, str]]) -> DataFrame:
 
 def read_survival(df: DataFrame) -> DataFrame:
     """Samples, paired-end rows and surviving percentage per trimming mode."""
-    return summarise(df, ["mode"], {"median_surviving_pct": ("surviving_pct", 0.5)}, [
-        F.count_distinct("SRR_ID").alias("srrs"), F.count_if(F.col("layout") == "PE").alias("paired_srrs"),
-        F.avg("surviving_pct").alias("mean_surviving_pct")]).orderBy("mode")
+    rows = df.dropna(subset=["mode"])
+    out = summarise(rows, ["mode"], {"median_surviving_pct": ("surviving_pct", 0.5)}, [
+        F.count_if(F.col("layout") == "PE").alias("paired_srrs"), F.avg("surviving_pct").alias("mean_surviving_pct")])
+    # Counted apart: in one aggregate every (mode, sample) pair would carry a value map.
+    distinct = rows.groupBy("mode").agg(F.count_distinct("SRR_ID").alias("srrs"))
+    return out.join(distinct, "mode").orderBy("mode")
 
 
 def _by_method(df: DataFrame, medians: list[str], minima: list[str]) -> DataFrame:
     found = summarise(df, ["method"], {f"median_{c}": (c, 0.5) for c in medians},
-                      [F.count("SRR_ID").alias("n"), *[F.min(c).alias(f"min_{c}") for c in minima]])
+                      [F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"min_{c}") for c in minima]])
     return (methods(df.sparkSession).join(found, "method", "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).orderBy("ord"))
 
@@ -265,13 +268,13 @@ def stage_loss(stages: DataFrame) -> DataFrame:
 
 def box_stats(df: DataFrame, by: list[str], y: str) -> DataFrame:
     """Quartiles, whiskers at the last point within 1.5 IQR, and outliers per group."""
-    quart = settle(summarise(df, by, {"q1": (y, 0.25), "median": (y, 0.5), "q3": (y, 0.75)}), "quartiles")
-    keyed = df.select(*by, F.col(y).alias("_y")).filter(F.col("_y").isNotNull())
+    keyed = settle(df.select(*by, F.col(y).alias("_y")).filter(F.col("_y").isNotNull()), "boxes")  # read three times
+    quart = settle(summarise(keyed, by, {"q1": ("_y", 0.25), "median": ("_y", 0.5), "q3": ("_y", 0.75)}), "quartiles")
     fenced = join_groups(keyed, quart.select(*by, "q1", "median", "q3"), by)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_y") >= lo) & (F.col("_y") <= hi)
     return fenced.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
-        F.first("q3").alias("q3"), F.min(F.when(inside, F.col("_y"))).alias("whisker_lo"),
+        F.count(F.lit(1)).alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"),
+        F.max("q3").alias("q3"), F.min(F.when(inside, F.col("_y"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("_y"))).alias("whisker_hi"), F.count_if(~inside).alias("outliers"))

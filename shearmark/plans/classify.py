@@ -9,6 +9,7 @@ from ..operators.cleaning import keep_ne_or_null, pick_by_key, read_loss
 from ..operators.joins import preferred_survival
 from ..functions.scalars import mode_name
 from ..operators.summaries import classification_headline
+from ..runtime import settle
 from ..schemas import BASELINE, TRIMMED_METHODS
 
 
@@ -44,6 +45,7 @@ def outlier_table(cls: DataFrame, trim: DataFrame, order: str) -> DataFrame:
 
 def headline(cls: DataFrame, trim: DataFrame, order: str) -> DataFrame:
     """Totals by preference with the outliers' median gain and loss."""
-    outliers = outlier_table(cls, trim, order)
+    cls = settle(cls, "classes")
+    outliers = settle(outlier_table(cls, trim, order), "outliers")
     rest = cls.filter(F.col("t_star").eqNullSafe(F.lit(BASELINE))).select("project_id", "SRR_ID", "t_star")
     return classification_headline(outliers.unionByName(rest, allowMissingColumns=True))

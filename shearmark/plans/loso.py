@@ -18,7 +18,7 @@ from ..operators.counts import diff_test, gene_universe, leave_one_out, library_
 from ..operators.enrich import enrich_prerank
 from ..operators.ordering import bh_adjust, top_abs
 from ..operators.stats import direction_concordance, jaccard, spearman, vote
-from ..runtime import SALTS, join_groups, settle
+from ..runtime import grid_join, join_groups, settle
 from ..schemas import (BASELINE, CONCORDANCE_METRICS, DEG_FDR, DEG_LOG2FC, GENE_VOTE_Z, METHODS, MIN_SAMPLES,
                        PATHWAY_NES, REFERENCE_METHODS, TOP_PATHWAYS, VOTE_FRACTION, method_order)
 
@@ -98,13 +98,11 @@ def loso_tests(counts: DataFrame, files: DataFrame) -> DataFrame:
     sums = scaled.groupBy("project", "gene").agg(*[
         F.coalesce(F.sum(F.when((F.col("mode") == m) & (F.col("role") == r), v)), zero).alias(f"{k}{r}_{m}")
         for m in REFERENCE_METHODS for r in (0, 1) for k, v in (("s", F.col("q")), ("q", F.col("q") * F.col("q")))])
-    genes = sums.join(gene_universe(counts), ["project", "gene"]).withColumn(
-        "salt", F.pmod(F.xxhash64("gene"), F.lit(SALTS)))
-    # One row per target carrying its handful of tests; salted so that the genes of a large project spread.
+    genes = sums.join(gene_universe(counts), ["project", "gene"])
+    # One row per target carrying its handful of tests.
     packed = tests.groupBy(*TARGET, "role").agg(F.collect_list(F.struct(
         "stage", "method", "base", "take", "give", "n0", "n1", "r0", "r1")).alias("tests"))
-    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    wide = (genes.join(packed, ["project", "salt"]).drop("salt").join(own, [*TARGET, "gene"], "left")
+    wide = (grid_join(genes, packed, ["project"], "gene", "srr").join(own, [*TARGET, "gene"], "left")
             .withColumn("t", F.explode("tests")))
     refs = list(REFERENCE_METHODS)
     minus = F.when(F.col("t.take"), _slot([F.col(f"own_{m}") for m in METHODS], F.col("t.base")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 GROUP_ROWS = 1_000_000
 SALTS = 32
+GRID_CELLS = 16
 
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
@@ -69,6 +70,19 @@ def join_groups(df: DataFrame, groups: DataFrame, on: list[str], how: str = "inn
     return df.join(right, joined, how).drop(*names.values(), *extra)
 
 
+def grid_join(a: DataFrame, b: DataFrame, on: list[str], a_key: str, b_key: str, cells: int = GRID_CELLS) -> DataFrame:
+    """Join where every row of a group meets every row of the other side, because that is the result.
+
+    Both sides are cut by a hash of their own key, so one group is a grid of
+    cells x cells independent tasks, each row being copied ``cells`` times.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    left = a.withColumn("_a", part(a_key)).withColumn("_b", every)
+    right = b.withColumn("_b", part(b_key)).withColumn("_a", every)
+    return left.join(right, [*on, "_a", "_b"]).drop("_a", "_b")
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` settled, with a broadcast hint when its counted size allows it."""
     table = settle(df, "small")
