@@ -12,6 +12,7 @@ BROADCAST_ROWS = 100_000
 GROUP_ROWS = 1_000_000
 SALTS = 32
 GRID_CELLS = 16
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
@@ -24,8 +25,10 @@ def shared_folder(spark: SparkSession, name: str = "table") -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _local_folders[app]
     return f"{root.rstrip('/')}/shearmark/{name}-{uuid.uuid4().hex}"
 
 

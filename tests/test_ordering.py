@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from shearmark.operators import ordering as O
-from shearmark.runtime import join_groups, settle
+from shearmark import runtime
+from shearmark.runtime import grid_join, join_groups, settle
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +100,36 @@ def test_rank_list_drops_zeros_and_small_groups(spark):
 def test_first_sign(spark):
     df = spark.createDataFrame([("x", 0, 0.5), ("x", 1, -3.0), ("x", 2, 4.0), ("y", 0, 0.1)], "k string, o int, z double")
     assert rows(O.first_sign(df, ["k"], "z", F.col("o"), 1.96)) == [("x", -1)]
+
+
+class Session:
+    """A session whose settings and master are given."""
+
+    def __init__(self, master, folder=None):
+        self.conf, self.sparkContext = self, self
+        self.master, self.folder, self.applicationId = master, folder, f"app-{master}"
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+
+def test_intermediate_tables_go_to_the_shared_folder():
+    assert runtime.shared_folder(Session("yarn", "hdfs:///ck/"), "t").startswith("hdfs:///ck/shearmark/t-")
+    with pytest.raises(ValueError):
+        runtime.shared_folder(Session("yarn"))
+    a, b = runtime.shared_folder(Session("local[2]")), runtime.shared_folder(Session("local[2]"))
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+
+
+def test_grid_join_is_the_plain_join(spark):
+    genes = spark.createDataFrame([("p", f"g{i}") for i in range(9)] + [("q", "g0")], "project string, gene string")
+    ids = spark.createDataFrame([("p", f"s{i}") for i in range(7)] + [("r", "s0")], "project string, srr string")
+    assert rows(grid_join(genes, ids, ["project"], "gene", "srr")) == rows(genes.join(ids, ["project"]))
+
+
+def test_keys_with_many_rows_join_apart(spark):
+    df = spark.createDataFrame([(i % 3 if i % 2 else 0, i) for i in range(60)], "k int, i int")
+    per = df.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    want = rows(df.join(per, "k"))
+    for limit in (0, 15, 10**6):
+        assert rows(O.join_per_key(df, per, ["k"], limit=limit)) == want
