@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts, token_files
+from . import mixing, packing, sharding, token_counts, token_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,6 +20,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_best_fit_packing(spark, folder):
+    pieces = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query
+def op3_source_mix(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op3_source_mix"] = mixing.ORACLE
+
+
 @query
 def op7_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -30,3 +45,9 @@ def op9_token_files(spark, folder):
     out = token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     back = token_files.read_token_files(spark.read.parquet(out))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_sharding(spark, folder):
+    shards = [f"shard-{n:03d}" for n in range(64)]
+    return sharding.assign_shards(table(spark, folder, "documents"), shards, columns=["doc_id"])
