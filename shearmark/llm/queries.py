@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_counts, token_files
+from . import exact_dedup, mixing, packing, sharding, simhash, token_counts, token_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,6 +26,14 @@ def op1_best_fit_packing(spark, folder):
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+@query
+def op2_exact_dedup(spark, folder):
+    return exact_dedup.duplicates(table(spark, folder, "documents")).drop("_row")
+
+
+ORACLES["op2_exact_dedup"] = exact_dedup.ORACLE
+
+
 @query
 def op3_source_mix(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"))
@@ -40,6 +48,11 @@ def op7_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_simhash_dedup(spark, folder):
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 @query
 def op9_token_files(spark, folder):
     out = token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
