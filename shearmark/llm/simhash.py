@@ -101,6 +101,11 @@ def next_tables(table: Table, radius: int) -> list[Table]:
             for mask in covering_masks(table.open_bits, radius)]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose lanes are the last axis (numpy counts signed numbers by absolute value)."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
 def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (earlier found, new) that span every component of the rows within the radius of each other.
 
@@ -111,7 +116,7 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             a = front.pop()
-            near = np.bitwise_count(prints[rest] ^ prints[a]).sum(axis=1) <= radius
+            near = distance(prints[rest], prints[a]) <= radius
             reached = rest[near].tolist()
             out.extend((a, b) for b in reached)
             front.extend(reached)
@@ -133,7 +138,7 @@ def linked(lanes: int, radius: int, limits: list[int]):
     def search(prints):
         """Links of one bucket."""
         if len(prints) <= 512:
-            near = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2) <= radius
+            near = distance(prints[:, None, :], prints[None, :, :]) <= radius
             if near.sum() == len(prints):
                 return prints[:0], prints[:0]
         pairs = np.array(forest(prints, radius), dtype=np.int64).reshape(-1, 2)
@@ -181,7 +186,7 @@ def linked(lanes: int, radius: int, limits: list[int]):
             at = np.flatnonzero((run[lag:] == run[:-lag]) & ~hit[run[lag:]])
             if not len(at):
                 break
-            near = np.bitwise_count(prints[at] ^ prints[at + lag]).sum(axis=1) <= radius
+            near = distance(prints[at], prints[at + lag]) <= radius
             hit[run[at[near]]] = True
         two = starts[hit & (sizes == 2)]
         a_out, b_out = [prints[two]], [prints[two + 1]]
