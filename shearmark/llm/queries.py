@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, token_counts, token_files
+from . import exact_dedup, mixing, packing, sharding, simhash, token_counts, token_files, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,6 +43,14 @@ def op3_source_mix(spark, folder):
 ORACLES["op3_source_mix"] = mixing.ORACLE
 
 
+@query
+def op4_topk_search(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES["op4_topk_search"] = topk.ORACLE
+
+
 @query
 def op7_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
