@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, token_files, topk
+from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, token_files, topk, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,6 +56,11 @@ def op5_secret_scan(spark, folder):
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
 
+@query
+def op6_toxicity(spark, folder):
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op7_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
