@@ -111,12 +111,14 @@ def classes(chunks: DataFrame, prints: DataFrame) -> DataFrame:
     """_row and _class (a row of the same text) of every row that has an equal; the comparison behind it is exact."""
     found, todo = None, prints.select("_row", *PRINT)
     while True:
-        groups = todo.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_class")).filter("_n > 1")
-        links = settle(todo.join(groups, PRINT).select("_row", "_class"), "links")
-        text = chunks.select("_row", "k", "chunk")
-        mine = links.filter("_row <> _class").join(text, "_row")
-        first = links.select("_class").distinct().join(text.withColumnRenamed("_row", "_class"), "_class")
-        differ = mine.join(first.withColumnRenamed("chunk", "_other"), ["_class", "k"], "left").filter(
+        # written tables on both sides: a large group's rows can then be split over tasks
+        groups = settle(todo.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_class")).filter(
+            "_n > 1").drop("_n"), "groups")
+        links = settle(todo.join(groups.hint("merge"), PRINT).select("_row", "_class"), "links")
+        # the same plan at every size; a group's first row is among its links
+        texts = settle(links.join(chunks.select("_row", "k", "chunk").hint("merge"), "_row"), "equal_prints")
+        first = texts.filter("_row = _class").select("_class", "k", F.col("chunk").alias("_other"))
+        differ = texts.filter("_row <> _class").join(first.hint("merge"), ["_class", "k"], "left").filter(
             ~F.col("chunk").eqNullSafe(F.col("_other"))).select("_row").distinct()
         differ = settle(differ, "collisions")
         if differ.isEmpty():
@@ -141,7 +143,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", row: st
     rows = prints.join(found, "_row", "left").withColumn("_class", F.coalesce("_class", "_row"))
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"),
                           F.col("_row").alias("row")))
-    groups = rows.groupBy("_class").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
+    groups = settle(rows.groupBy("_class").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best")), "best")
     return rows.join(groups, "_class").select(
         "_row", F.col("_key").alias(key), F.col("_best.key").alias("keep_id"), "group_size",
         (F.col("_row") == F.col("_best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
