@@ -39,6 +39,7 @@ class Model:
 
     weights: dict[str, float]
     thresholds: list[float]
+    cut: float = 0.0
 
     def severity(self, text: str | None, known: dict[str, tuple[str, ...]]) -> float:
         """Expected grade; ``known`` keeps the features of words over texts."""
@@ -51,15 +52,32 @@ class Model:
                 hits = known[word] = tuple(f for f in features_of(word) if f in self.weights)
             found.update(hits)
         score = math.fsum(self.weights[f] for f in found)
+        return self.expected(score)
+
+    def expected(self, score: float) -> float:
         return sum(1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds)
 
-    def even_odds(self) -> float:
-        """Severity at which grade 1 or more is as likely as not."""
-        return sum(1 / (1 + math.exp(min(700.0, t - self.thresholds[0]))) for t in self.thresholds)
+    def limit(self) -> float:
+        """Severity above which a text is toxic."""
+        return self.expected(self.cut) if self.thresholds else math.inf
+
+
+def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The score between two neighbours that gives the best balanced accuracy; of equals, the widest gap."""
+    order = np.argsort(score, kind="stable")
+    s, y = score[order], toxic[order].astype(float)
+    gain = np.cumsum((1 - y) / max(1, (1 - y).sum()) - y / max(1, y.sum()))
+    gap = np.r_[np.diff(s), 0.0]
+    gain[gap == 0] = -np.inf
+    if not np.isfinite(gain).any():
+        return float(s[-1])
+    best = np.flatnonzero(np.isclose(gain, gain.max()))
+    at = best[np.argmax(gap[best])]
+    return float((s[at] + s[at + 1]) / 2)
 
 
 def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300, ridge: float = 1e-4,
-                    rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+                    rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of least penalised negative log-likelihood, by Adam; deterministic."""
     n, d = x.shape
     share = np.clip(np.array([(grade <= k).mean() for k in range(grades - 1)]), 1e-4, 1 - 1e-4)
@@ -103,7 +121,7 @@ def fit(rows: DataFrame, features: int = FEATURES, strength: float = 5.0) -> Mod
 
     The vocabulary is the ``features`` features whose shares of toxic and of clean texts lie furthest apart in standard
     errors, and more than ``strength`` of them.  Labels only say toxic or not; toxic texts are graded 1 or 2 by whether
-    the share of toxic features among theirs is below or above the middle of all toxic texts.  Without toxic or without
+    their number of toxic features is below or above the middle of all toxic texts.  Without toxic or without
     clean texts the model is empty.
     """
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,19 +139,20 @@ def fit(rows: DataFrame, features: int = FEATURES, strength: float = 5.0) -> Mod
         return Model({}, [])
     vocabulary = settle(rows.sparkSession.createDataFrame([(w,) for w, _ in picked], "word string"), "vocabulary")
     # at most fit_rows rows of at most ``features`` features each
-    cells = rows.select("_key", "label", F.size("words").alias("size"), F.explode_outer("words").alias("word")).join(
-        F.broadcast(vocabulary.withColumn("known", F.lit(True))), "word", "left").groupBy("_key", "label", "size").agg(
-        F.collect_set(F.when(F.col("known"), F.col("word"))).alias("words")).orderBy("_key", "size").collect()
+    cells = rows.select("_key", "label", F.explode_outer("words").alias("word")).join(
+        F.broadcast(vocabulary.withColumn("known", F.lit(True))), "word", "left").groupBy("_key", "label").agg(
+        F.collect_set(F.when(F.col("known"), F.col("word"))).alias("words")).orderBy("_key").collect()
     place = {w: n for n, (w, _) in enumerate(picked)}
     x = np.zeros((len(cells), len(place)), dtype=np.float32)
     for n, r in enumerate(cells):
         x[n, [place[w] for w in r["words"]]] = 1
     label = np.array([r["label"] for r in cells])
-    marks = x @ np.array([z > 0 for _, z in picked], dtype=np.float32) / np.maximum(1, [r["size"] for r in cells])
+    marks = x @ np.array([z > 0 for _, z in picked], dtype=np.float32)
     middle = np.median(marks[label == 1])
     grade = np.where(label == 0, 0, np.where(marks > middle, 2, 1))
     weights, thresholds = cumulative_link(x, grade, 3)
-    return Model(dict(zip(place, weights.tolist(), strict=True)), thresholds.tolist())
+    cut = best_cut(x @ weights.astype(np.float32), label == 1)
+    return Model(dict(zip(place, weights.tolist(), strict=True)), thresholds.tolist(), cut)
 
 
 def severity(model: Model, text: str) -> Column:
@@ -148,14 +167,14 @@ def severity(model: Model, text: str) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, severity and toxic (grade 1 or more is likelier than not) of every row.
+    """key, severity and toxic (severity above the cut of best balanced accuracy on the sample) of every row.
 
     The fit sees at most ``fit_rows`` labelled rows, scoring all rows and whole texts.  Repeated rows repeat, null keys
     are scored, other columns are not read, an empty table gives no rows.
     """
     model = fit(sample(docs, labels, fit_rows, key, text))
     out = docs.select(F.col(key).alias(key), severity(model, text).alias("severity"))
-    return out.withColumn("toxic", F.col("severity") > F.lit(model.even_odds() if model.thresholds else math.inf))
+    return out.withColumn("toxic", F.col("severity") > F.lit(model.limit()))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, key: str = "doc_id",
@@ -164,4 +183,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     model = fit(sample(docs, labels, fit_rows, key, text))
     if not model.thresholds:
         return docs
-    return docs.filter(severity(model, text) <= F.lit(model.even_odds()))
+    return docs.filter(severity(model, text) <= F.lit(model.limit()))
