@@ -26,6 +26,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,}"
 FIT_ROWS = 5000
 THRESHOLD = 12.0
+BACKOFF = 10.0
 SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 
 
@@ -63,21 +64,23 @@ def symbol(text: Column, at: Column) -> Column:
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of all character pairs from rows (text, label: 1 is random).
 
-    Counts start at one half.  The two models have len(alphabet)**2 numbers, the only ones that reach the driver.
+    A pair's probability leans on that of its second character alone, with the weight of ``BACKOFF`` sightings, and
+    that on a uniform one.  The two models have len(alphabet)**2 numbers, the only ones that reach the driver.
     """
     n = len(ALPHABET) + 1
     pairs = samples.filter(F.length("text") > 1).select(
         "label", F.col("text").alias("t"), F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i")).select(
         "label", symbol(F.col("t"), F.col("i")).alias("a"), symbol(F.col("t"), F.col("i") + 1).alias("b"))
-    counts = {0: [0.5] * (n * n), 1: [0.5] * (n * n)}
+    seen = {0: [[0] * n for _ in range(n)], 1: [[0] * n for _ in range(n)]}
     for r in pairs.groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r["label"]][r["a"] * n + r["b"]] += r["n"]
-    out = []
-    for a in range(n):
-        rows = [counts[k][a * n:(a + 1) * n] for k in (0, 1)]
-        totals = [sum(r) for r in rows]
-        out += [math.log(y / totals[1]) - math.log(x / totals[0]) for x, y in zip(*rows, strict=True)]
-    return out
+        seen[r["label"]][r["a"]][r["b"]] += r["n"]
+
+    def logs(table):
+        single = [sum(column) + 1 for column in zip(*table, strict=True)]
+        single = [x / sum(single) for x in single]
+        return [math.log((table[a][b] + BACKOFF * single[b]) / (sum(table[a]) + BACKOFF)) for a in range(n) for b in range(n)]
+
+    return [y - x for x, y in zip(logs(seen[0]), logs(seen[1]), strict=True)]
 
 
 def ratio(text: Column, weights: list[float]) -> Column:

@@ -21,8 +21,8 @@ import regex
 
 from .bpe import RankMerger
 
-CACHE_UNITS = 300_000
-SLICE_BYTES = 16 << 20
+CACHE_UNITS = 250_000
+SLICE_BYTES = 8 << 20
 _SPECIAL = re.compile(r"<\|(?:endoftext|startoftext)\|>")
 # Characters on which Python's and the library's lower-casing, composition and white space agree by construction.
 _NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")

@@ -20,7 +20,7 @@ from ..runtime import settle
 FIT_ROWS = 20_000
 FEATURES = 512
 BEGINNINGS = (4, 5, 6)
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -106,13 +106,16 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, key: str = "doc_id
     chosen = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_key")).agg(
         F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
 
-    @F.arrow_udf("array<string>")
-    def split(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted({f for w in words_of(t) for f in features_of(w)}) for t in texts.to_pylist()],
-                        pa.list_(pa.string()))
+    def split(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
+                found = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_key"), part.column("label"), pa.array(found, pa.list_(pa.string()))], names=["_key", "label", "words"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
-    rows = rows.select("_key", "label", split("_text").alias("words"))
+    kind = rows.schema["_key"].dataType.simpleString()
+    rows = rows.select("_key", "label", "_text").mapInArrow(split, f"_key {kind}, label int, words array<string>")
     return settle(rows, "labelled")
 
 
@@ -161,7 +164,7 @@ def severity(model: Model, text: str) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.severity(t, known) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.severity(t.as_py(), known) for t in texts], pa.float64())
 
     return score(F.col(text))
 
