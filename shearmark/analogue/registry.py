@@ -19,7 +19,7 @@ from ..operators import stats as ST
 from ..operators import summaries as A
 from ..plans import classify, cohort, cost, loso, qcmodel, quality
 from ..runtime import settle, shared_folder
-from ..schemas import METHODS, PROFILE_PAIRS, QC_FEATURES, TRIMMED_METHODS, method_order
+from ..schemas import CONCORDANCE, METHODS, PROFILE_PAIRS, QC_FEATURES, TRIMMED_METHODS, method_order
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import ingest
@@ -71,10 +71,9 @@ def classes(t):
 
 
 def evaluation(t):
-    """Predictions with features; a tenth of the classifications is missing on purpose."""
-    cls = classes(t)
-    kept = cls.filter(F.substring("SRR_ID", -1, 1) != "7")
-    return qcmodel.evaluation_table(V.predictions(cls), V.quality(t), kept)
+    """Predictions with features and called methods."""
+    cls = settle(classes(t), "classes")
+    return qcmodel.evaluation_table(V.predictions(cls), V.quality(t), cls)
 
 
 def panel(t):
@@ -249,11 +248,11 @@ def s10b(t):
 TEXT_METRICS = ", ".join(f"coalesce(printf('%.6f', {c}), 'NA') AS {c}" for c in loso.CONCORDANCE_METRICS)
 
 
-@query("S11_write_results", f"SELECT SRR_ID, method, {TEXT_METRICS}, project FROM conc")
+@query("S11_write_results", f"SELECT project, SRR_ID, method, {TEXT_METRICS} FROM conc")
 def s11(t):
     path = shared_folder(t.spark, "results")
     W.write_results(V.concordance(t), path)
-    return t.spark.read.option("sep", "\t").option("header", True).csv(path)
+    return t.spark.read.option("sep", "\t").option("header", True).option("recursiveFileLookup", True).csv(path)
 
 
 @query("S12_combine_results", "SELECT project, SRR_ID, method, " + ", ".join(
@@ -261,7 +260,9 @@ def s11(t):
 def s12(t):
     path = shared_folder(t.spark, "results")
     W.write_results(V.concordance(t), path)
-    return W.combine_results(t.spark, path)
+    out = shared_folder(t.spark, "combined")
+    W.combine_results(t.spark, path, out=out)
+    return t.spark.read.schema(CONCORDANCE).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(out)
 
 
 # --- projections and filters ----------------------------------------------------------------------------------
@@ -316,9 +317,9 @@ query("J1_left_join", f"""SELECT project_id, SRR_ID, {r6('Q_mean')} AS Q_mean, {
     FROM qual LEFT JOIN terminal USING (project_id, SRR_ID)""")(lambda t: J.left_join(
         V.quality(t), terminal(t), quality.SAMPLE).select("project_id", "SRR_ID", "Q_mean", "terminal_q_mean"))
 query("J2_left_join_complete", f"""SELECT project, SRR_ID, method, {r6('rho_gene')} AS rho_gene, {r6('Q_mean')} AS Q_mean
-    FROM conc JOIN qual USING (SRR_ID) WHERE rho_gene IS NOT NULL AND sequence_depth > 3""")(lambda t: P.drop_null(J.left_join(
+    FROM conc JOIN qual USING (SRR_ID) WHERE rho_gene IS NOT NULL""")(lambda t: P.drop_null(J.left_join(
         V.concordance(t).select("project", "SRR_ID", "method", "rho_gene"),
-        V.quality(t).filter("sequence_depth > 3").select("SRR_ID", "Q_mean"), ["SRR_ID"])).select(
+        V.quality(t).select("SRR_ID", "Q_mean"), ["SRR_ID"])).select(
         "project", "SRR_ID", "method", "rho_gene", "Q_mean"))
 query("J3_evaluation_join", f"""SELECT SRR_ID, project_id, True_t_star, Predicted_t_star, t_star, {r6('Q_mean')} AS Q_mean
     FROM evaluation""")(lambda t: evaluation(t).select("SRR_ID", "project_id", "True_t_star", "Predicted_t_star", "t_star", "Q_mean"))
@@ -350,14 +351,14 @@ query("J9_reconcile", """SELECT project_id, n_queue, coalesce(n_files, 0) AS n_f
         V.queue(t).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_queue")), R.id_list_sizes(V.id_files(t)),
         ["project_id"], "n_queue", "n_files"))
 query("J10_dense_counts", """SELECT u.project, f.srr, f.mode, u.gene, coalesce(c."count", 0) AS "count" FROM universe u
-    JOIN (SELECT DISTINCT project, srr, mode FROM counts WHERE mode IN ('U', 'P35')) f ON f.project = u.project
+    JOIN (SELECT DISTINCT project, srr, mode FROM counts) f ON f.project = u.project
     LEFT JOIN counts c ON c.project = u.project AND c.srr = f.srr AND c.mode = f.mode AND c.gene = u.gene""")(
     lambda t: _dense(t))
 
 
 def _dense(t):
     counts = settle(V.counts(t), "counts")
-    files = counts.filter(F.col("mode").isin("U", "P35")).select("project", "srr", "mode").distinct()
+    files = counts.select("project", "srr", "mode").distinct()
     return J.dense_counts(counts, C.gene_universe(counts), files).select("project", "srr", "mode", "gene", "count")
 
 
@@ -417,8 +418,8 @@ SURVIVAL = f"""SELECT mode, count(DISTINCT SRR_ID) AS srrs, count(*) FILTER (lay
 query("A10_read_survival", SURVIVAL)(lambda t: A.read_survival(trim(t)))
 GENE = f"""SELECT method, ord, count(SRR_ID) AS n, {r6('median(rho_gene)')} AS median_rho_gene, {r6('median(jaccard_deg)')} AS median_jaccard_deg,
     {r6('min(rho_gene)')} AS min_rho_gene, {r6('min(jaccard_deg)')} AS min_jaccard_deg
-    FROM modes LEFT JOIN (SELECT * FROM conc WHERE method <> 'P20') USING (method) GROUP BY 1, 2"""
-query("A11_gene_summary", GENE)(lambda t: A.gene_summary(V.concordance(t).filter("method <> 'P20'")))
+    FROM modes LEFT JOIN conc USING (method) GROUP BY 1, 2"""
+query("A11_gene_summary", GENE)(lambda t: A.gene_summary(V.concordance(t)))
 PATHWAY = f"""SELECT method, ord, count(SRR_ID) AS n, {r6('median(rho_pathway)')} AS median_rho_pathway,
     {r6('median(jaccard_pathway)')} AS median_jaccard_pathway, {r6('median(dir_concordance)')} AS median_dir_concordance
     FROM modes LEFT JOIN conc USING (method) GROUP BY 1, 2"""
@@ -504,6 +505,30 @@ query("W5_running_score", f"SELECT project, mode, set_name AS pathway, {r6('es')
     ["project", "mode"]))
 query("W6_bh_adjust", f"SELECT project, mode, gene, {r6('pvalue')} AS pvalue, {r6('padj')} AS padj FROM diff")(
     lambda t: O.bh_adjust(project_diff(t).drop("padj"), ["project", "mode"], "pvalue").select("project", "mode", "gene", "pvalue", "padj"))
+
+
+def spread(t):
+    """Rows with null keys, null values, ties and a column of the caller's own called n."""
+    k = F.col("l_linenumber")
+    return t.lineitem.select(
+        "l_orderkey", k.alias("n"), F.when(k != 3, F.col("l_returnflag")).alias("g"),
+        F.when(F.col("l_quantity") <= 45, F.col("l_quantity").cast("double")).alias("v"),
+        F.when(k != 5, F.col("l_orderkey") % 97 / F.lit(97.0)).alias("p"))
+
+
+SPREAD = """(SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_linenumber <> 3 THEN l_returnflag END AS g,
+    CASE WHEN l_quantity <= 45 THEN l_quantity::DOUBLE END AS v, CASE WHEN l_linenumber <> 5 THEN l_orderkey % 97 / 97.0::DOUBLE END AS p
+    FROM lineitem)"""
+query("W1_avg_rank_spread", f"""SELECT l_orderkey, n, g, {r6('v')} AS v, (rank() OVER (PARTITION BY g ORDER BY s.v NULLS FIRST)
+    + (count(*) OVER (PARTITION BY g, s.v) - 1) / 2.0)::DOUBLE AS rank FROM {SPREAD} s""")(
+    lambda t: O.avg_rank(spread(t).drop("p"), ["g"], "v", limit=1))
+query("W6_bh_adjust_spread", f"""SELECT l_orderkey, n, g, {r6('p')} AS p, {r6("least(1.0, min(raw) OVER (PARTITION BY g ORDER BY p DESC NULLS LAST))")}
+    AS padj FROM (SELECT *, s.p * count(*) OVER (PARTITION BY g) / count(*) OVER (PARTITION BY g ORDER BY s.p NULLS FIRST) AS raw
+    FROM {SPREAD} s)""")(lambda t: O.bh_adjust(spread(t).drop("v"), ["g"], "p", limit=1))
+query("A4_stage_summary_spread", f"""SELECT g, count(*) AS rows_in, {r6('avg(v)')} AS mean_v, {r6('quantile_cont(v, 0.25)')} AS q1_v,
+    {r6('median(v)')} AS median_v, {r6('median(p)')} AS median_p FROM {SPREAD} s GROUP BY g""")(lambda t: O.summarise(
+        spread(t), ["g"], {"q1_v": ("v", 0.25), "median_v": ("v", 0.5), "median_p": ("p", 0.5)},
+        [F.count(F.lit(1)).alias("rows_in"), F.avg("v").alias("mean_v")], limit=1))
 query("W7_first_sign", """SELECT project, gene, min_by(CAST(sign(stat) AS INTEGER), ord) AS first_sign FROM diff
     JOIN modes ON method = diff.mode WHERE abs(stat) > 1.0 GROUP BY 1, 2""")(lambda t: O.first_sign(
         project_diff(t), ["project", "gene"], "stat", method_order(F.col("mode")), 1.0))
@@ -650,11 +675,23 @@ MI = " UNION ALL ".join(f"""SELECT '{f}' AS feature, {r6('sum(n / tot * ln(n * t
 query("ST13_mutual_information", MI)(lambda t: qcmodel.feature_scores(evaluation(t)))
 CLS_COLS = ", ".join([f"{r6(f'{m}_delta_path')} AS {m}_delta_path" for m in TRIMMED_METHODS] + [f"{m}_class" for m in TRIMMED_METHODS])
 query("ST14_classify_trimming", f"SELECT project_id, SRR_ID, {CLS_COLS}, t_star FROM cls")(classes)
-query("ST15_qc_forest")(lambda t: qcmodel.qc_forest(_forest_input(t)))
+
+
+@query("ST15_qc_forest", f"""SELECT True_t_star, count(*) AS n_samples, 1::BIGINT AS most_predictions, true AS known_labels
+    FROM (SELECT c.t_star AS True_t_star FROM qual q JOIN cls c USING (SRR_ID)
+    WHERE c.t_star IS NOT NULL AND {' AND '.join(f'q.{f} IS NOT NULL' for f in QC_FEATURES)}) GROUP BY 1""")
+def forest(t):
+    """What holds for any forest: every complete sample is predicted once, with its true label, by a known label."""
+    out = settle(qcmodel.qc_forest(_forest_input(t)), "forest")
+    labels = settle(out.select(F.col("True_t_star").alias("_label")).distinct(), "labels")
+    per = out.groupBy("project_id", "SRR_ID", "True_t_star", "Predicted_t_star").agg(F.count(F.lit(1)).alias("_times"))
+    known = per.join(labels, F.col("Predicted_t_star") == F.col("_label"), "left")
+    return known.groupBy("True_t_star").agg(F.sum("_times").alias("n_samples"), F.max("_times").alias("most_predictions"),
+                                            F.min(F.col("_label").isNotNull()).alias("known_labels"))
 
 
 def _forest_input(t):
-    """Features with the called method; the group is a tenth of the samples so that folds are even."""
+    """Features with the called method; fifty groups of samples, so that folds are even."""
     label = classes(t).select("SRR_ID", "t_star")
     part = F.concat(F.lit("G"), (F.substring("SRR_ID", 4, 20).cast("long") % 50).cast("string"))
     return V.quality(t).drop("project_id").join(label, "SRR_ID").withColumn("project_id", part)
@@ -698,7 +735,7 @@ query("E6_read_survival", f"SELECT *, {r6('100 - median_surviving_pct')} AS medi
     lambda t: P.read_loss(A.read_survival(trim(t)), "median_surviving_pct", "median_read_loss"))
 query("E6_survival_boxes", box_sql("trim", "mode", "surviving_pct"))(lambda t: A.box_stats(trim(t), ["mode"], "surviving_pct"))
 query("E7_quality_sensitivity", TREND)(_sensitivity)
-query("E8_gene_concordance", GENE)(lambda t: A.gene_summary(V.concordance(t).filter("method <> 'P20'")))
+query("E8_gene_concordance", GENE)(lambda t: A.gene_summary(V.concordance(t)))
 query("E8_pathway_concordance", PATHWAY)(lambda t: A.pathway_summary(V.concordance(t)))
 query("E9_outliers", f"""SELECT project_id, SRR_ID, t_star, {r6('preferred_delta_path')} AS preferred_delta_path,
     {r6('preferred_read_loss_pct')} AS preferred_read_loss_pct FROM outliers""")(
@@ -736,29 +773,24 @@ def t1(t):
     root = shared_folder(t.spark, "ingest")
     conc = V.concordance(t)
     src, out, ckpt = (f"{root}/{d}" for d in ("src", "out", "ckpt"))
-    cols = [c for c in conc.columns if c != "project"]
-
-    def drop(df, name):
-        df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if d == "double" else F.col(c) for c, d in df.dtypes]).write.option(
-            "sep", "\t").option("header", True).option("nullValue", "NA").csv(f"{src}/{name}")
-
-    drop(conc.filter(F.col("method").isin("U", "A", "P5")), "first")
+    W.write_results(conc.filter(F.col("method").isin("U", "A", "P5")), f"{src}/first")
     ingest.ingest_results(t.spark, src, out, ckpt)
-    drop(conc.withColumn("rho_gene", F.col("jaccard_deg")), "second")
+    W.write_results(conc.withColumn("rho_gene", F.col("jaccard_deg")), f"{src}/second")
     ingest.ingest_results(t.spark, src, out, ckpt)
     return ingest.ingested(t.spark, out).select("project", "SRR_ID", "method", "rho_gene")
 
 
 @query("T2_live_endpoint_summary", f"""SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS window_start_us, endpoint,
     count(*) AS attempts, count(*) FILTER (status = 'success') AS successes, count(*) FILTER (status = 'failed') AS failed,
-    {r6('quantile_disc(mb_per_sec, 0.5)')} AS median_mb_per_sec FROM (SELECT *, make_timestamp(started_us) AS ts FROM rate)
-    GROUP BY 1, 2 HAVING epoch_us(time_bucket(INTERVAL 6 HOUR, any_value(ts))) + 21600000000
-        <= (SELECT max(started_us) FROM rate) - 600000000""")
+    {r6('median(mb_per_sec)')} AS median_mb_per_sec, epoch_us(time_bucket(INTERVAL 6 HOUR, any_value(ts))) + 21600000000
+        <= (SELECT max(started_us) FROM rate) - 600000000 AS closed
+    FROM (SELECT *, make_timestamp(started_us) AS ts FROM rate) GROUP BY 1, 2""")
 def t2(t):
     root = shared_folder(t.spark, "live")
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
     live = V.Tables(t.spark, t.folder)
     live.__dict__["events"] = stream
-    ingest.run_available(ingest.live_endpoint_summary(V.fetch_attempts(live), "6 hours", "10 minutes"), f"{root}/out", f"{root}/ckpt")
-    return t.spark.read.parquet(f"{root}/out").select(
-        F.unix_micros("window_start").alias("window_start_us"), "endpoint", "attempts", "successes", "failed", "median_mb_per_sec")
+    ingest.run_available(ingest.live_value_counts(V.fetch_attempts(live), "6 hours", "10 minutes"), f"{root}/out", f"{root}/ckpt")
+    return ingest.live_endpoint_summary(t.spark.read.parquet(f"{root}/out"), "10 minutes").select(
+        F.unix_micros("window_start").alias("window_start_us"), "endpoint", "attempts", "successes", "failed",
+        "median_mb_per_sec", "closed")

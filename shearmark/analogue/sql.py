@@ -130,7 +130,7 @@ VIEWS = {
         'tail_quality_decay', 'adapter_rate', 'duplication_rate', 'n_content', 'gc_content', 'gc_deviation'))},
         c.t_star, CASE WHEN c.t_star = 'U' THEN 0 ELSE 1 END AS benefits_from_trimming
         FROM pred p LEFT JOIN qual q USING (SRR_ID, project_id)
-        LEFT JOIN (SELECT * FROM cls WHERE right(SRR_ID, 1) <> '7') c USING (SRR_ID, project_id)""",
+        LEFT JOIN cls c USING (SRR_ID, project_id)""",
     "paths": """SELECT 'data/flattened_' || regexp_extract(url, '^https?://[^/]+/([a-z]+)/(\\d+)', 1) || '/'
             || regexp_extract(url, '^https?://([^/]+)/', 1) || '/SRR'
             || regexp_extract(url, '^https?://[^/]+/([a-z]+)/(\\d+)', 2) || '_x.txt' AS path,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import GROUP_ROWS, join_groups, largest_group, settle
+from ..runtime import BROADCAST_ROWS, GROUP_ROWS, join_groups, largest_group, settle
 
 
 def cumulate(values: DataFrame, by: list[str], order: list[str], weight: str = "n") -> DataFrame:
@@ -80,17 +80,25 @@ def join_per_key(df: DataFrame, per_key: DataFrame, on: list[str], weight: str =
     """Join a unique-key table back to its rows, keeping keys with over ``limit`` rows out of the shuffle.
 
     There are at most rows / limit such keys, and they are counted before the
-    broadcast; all other keys take a normal join.
+    broadcast; all other keys take a normal join.  Null keys match everywhere.
     """
+    def null_safe_join(rows, keys, how):
+        right = keys.withColumnsRenamed({c: f"_k_{c}" for c in on})
+        cond = F.lit(True)
+        for c in on:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        return rows.join(right, cond, how).drop(*[f"_k_{c}" for c in on])
+
     table = settle(per_key, "per_key")
     hot = table.filter(F.col(weight) > limit)
     cold = table.filter(F.col(weight) <= limit)
     if hot.isEmpty():
-        return df.join(table, on)
+        return null_safe_join(df, table, "inner")
     heavy = join_groups(df, settle(hot, "hot"), on)
-    rest = df.join(F.broadcast(hot.select(*on)), on, "left_anti") if hot.count() <= limit else df
+    few = hot.count() <= BROADCAST_ROWS
+    rest = null_safe_join(df, F.broadcast(hot.select(*on)), "left_anti") if few else df
     return heavy.select(*df.columns, *[c for c in table.columns if c not in on]).unionByName(
-        rest.join(cold, on).select(*df.columns, *[c for c in table.columns if c not in on]))
+        null_safe_join(rest, cold, "inner").select(*df.columns, *[c for c in table.columns if c not in on]))
 
 
 def avg_rank(df: DataFrame, by: list[str], col: str, out: str = "rank", bounded: bool = False,
@@ -104,10 +112,10 @@ def avg_rank(df: DataFrame, by: list[str], col: str, out: str = "rank", bounded:
         ordered = Window.partitionBy(*by).orderBy(col)
         peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)  # same shuffle, same sort
         return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0))
-    values = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    ranks = cumulate(values, by, [col]).select(
-        *by, col, "n", (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
-    return join_per_key(df, ranks, [*by, col], limit=limit).drop("n")
+    values = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_weight"))
+    ranks = cumulate(values, by, [col], "_weight").select(
+        *by, col, "_weight", (F.col("below") + (F.col("_weight") + 1) / F.lit(2.0)).alias(out))
+    return join_per_key(df, ranks, [*by, col], "_weight", limit).drop("_weight")
 
 
 def bh_adjust(df: DataFrame, by: list[str], p: str, out: str = "padj", bounded: bool = False,
@@ -119,17 +127,17 @@ def bh_adjust(df: DataFrame, by: list[str], p: str, out: str = "padj", bounded:
         beyond = group.orderBy(F.col(p).desc())
         return (df.withColumn("_raw", F.col(p) * F.count(F.lit(1)).over(group) / F.count(F.lit(1)).over(upto))
                 .withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(beyond))).drop("_raw"))
-    values = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"))
-    ranked = cumulate(values, by, [p]).withColumn(
-        "_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
+    values = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_weight"))
+    ranked = cumulate(values, by, [p], "_weight").withColumn(
+        "_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("_weight")))
     ranked = settle(ranked, "bh")
     later = Window.partitionBy(*by).orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
     tails = ranked.groupBy(*by, "_piece").agg(F.min("_raw").alias("_m")).select(
         *by, "_piece", F.min("_m").over(later).alias("_tail"))
     inside = Window.partitionBy(*by, "_piece").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = join_groups(ranked, settle(tails, "tails"), [*by, "_piece"]).select(
-        *by, p, "n", F.least(F.lit(1.0), F.min("_raw").over(inside), F.col("_tail")).alias(out))
-    return join_per_key(df, adjusted, [*by, p], limit=limit).drop("n")
+        *by, p, "_weight", F.least(F.lit(1.0), F.min("_raw").over(inside), F.col("_tail")).alias(out))
+    return join_per_key(df, adjusted, [*by, p], "_weight", limit).drop("_weight")
 
 
 def top_abs(df: DataFrame, by: list[str], col: str, k: int = 20, tie: str = "pathway") -> DataFrame:

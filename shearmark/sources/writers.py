@@ -24,21 +24,28 @@ def as_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "errorifexists",
-                  by: str = "project") -> None:
-    """Write one folder of TSV files per project, by the job commit protocol."""
-    (as_text(df, columns).write.mode(mode).partitionBy(by).option("sep", "\t").option("header", True)
-     .option("nullValue", "NA").option("emptyValue", "").csv(path))
+                  by: str = "project", files: int = 4) -> None:
+    """Write one folder of TSV files per project, by the job commit protocol.
+
+    The project is a column of the files and names the folder (``in_<by>=``).  A project is written by at most
+    ``files`` tasks, however many tasks hold its rows.
+    """
+    text = as_text(df, columns).withColumn(f"in_{by}", F.col(by))
+    part = F.pmod(F.xxhash64(*[c for c in text.columns if c != f"in_{by}"]), F.lit(files))
+    (text.withColumn("_part", part).repartition(f"in_{by}", "_part").drop("_part").write.mode(mode).partitionBy(f"in_{by}")
+     .option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path))
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType = CONCORDANCE) -> DataFrame:
-    """Read what ``write_results`` wrote; the project comes from the folder."""
-    rest = [f for f in schema if f.name != "project"]
-    body = T.StructType([*rest, T.StructField("project", T.StringType())])
-    raw = (spark.read.schema(body).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path))
-    return raw.select(*schema.fieldNames())
+    """Read what ``write_results`` wrote; a file whose header is another fails."""
+    return (spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", "NA")
+            .option("enforceSchema", False).option("recursiveFileLookup", True).csv(path))
 
 
-def combine_results(spark: SparkSession, path: str, schema: T.StructType = CONCORDANCE) -> DataFrame:
-    """All per-project results in project order."""
+def combine_results(spark: SparkSession, path: str, schema: T.StructType = CONCORDANCE, out: str | None = None) -> DataFrame:
+    """All per-project results in project order; written as one sorted table of TSV files where ``out`` is given."""
     keys = [c for c in ("project", "SRR_ID", "method") if c in schema.fieldNames()]
-    return read_results(spark, path, schema).orderBy(*keys)
+    table = read_results(spark, path, schema).orderBy(*keys)
+    if out:
+        (as_text(table).write.option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(out))
+    return table

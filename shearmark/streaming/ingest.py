@@ -10,26 +10,37 @@ from ..operators.cleaning import transfer_rate
 from ..schemas import CONCORDANCE
 
 KEYS = ["project", "SRR_ID", "method"]
+PRUNED_PROJECTS = 1000
 
 
 def ingest_results(spark: SparkSession, src: str, out: str, checkpoint: str,
                    schema: T.StructType = CONCORDANCE) -> None:
     """Take in all result files that arrived in ``src`` since the last call; the first row of a key wins.
 
-    Each micro-batch goes into its own folder of ``out``, written in overwrite
-    mode, so a batch replayed after a failure replaces itself.
+    ``src`` holds what ``write_results`` writes; a file with another header fails.  First is the row of the earliest
+    file (by modification time, then path); inside one file the order of the values decides.  Each micro-batch goes
+    into its own folder of ``out``, written in overwrite mode, so a batch replayed after a failure replaces itself.
+    Stored rows lie by project, and a batch of few projects reads only theirs.
     """
-    stream = (spark.readStream.schema(schema).option("sep", "\t").option("header", True)
-              .option("nullValue", "NA").option("recursiveFileLookup", True).csv(src))
+    values = [c for c in schema.fieldNames() if c not in KEYS]
+    stream = (spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("enforceSchema", False)
+              .option("nullValue", "NA").option("recursiveFileLookup", True).csv(src).select(
+                  "*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_path")))
 
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/batch=-1")
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("project").parquet(f"{out}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy(*KEYS).agg(F.min(F.struct(*[c for c in schema.fieldNames() if c not in KEYS])).alias("r"))
+        row = F.struct(*values)
+        first = batch.groupBy(*KEYS).agg(F.min_by(row, F.struct("_at", "_path", row)).alias("r"))
         rows = first.select(*KEYS, "r.*").select(*schema.fieldNames())
-        stored = ingested(spark, out, schema).filter(F.col("batch") < batch_id).select(*schema.fieldNames())
-        fresh = rows.join(stored.select(*KEYS), KEYS, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        stored = ingested(spark, out, schema).filter(F.col("batch") < batch_id)
+        projects = [r[0] for r in batch.select("project").distinct().limit(PRUNED_PROJECTS + 1).collect()]
+        if len(projects) <= PRUNED_PROJECTS:
+            stored = stored.filter(F.col("project").isin([p for p in projects if p is not None]) | F.col("project").isNull())
+        known = stored.select(*[F.col(c).alias(f"_{c}") for c in KEYS])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEYS]
+        fresh = rows.join(known, same[0] & same[1] & same[2], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("project").parquet(f"{out}/batch={batch_id}")
 
     query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
@@ -39,29 +50,40 @@ def ingest_results(spark: SparkSession, src: str, out: str, checkpoint: str,
 def ingested(spark: SparkSession, out: str, schema: T.StructType = CONCORDANCE) -> DataFrame:
     """Everything ingested so far, with the number of the batch that brought it."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(full).parquet(out)
+    return spark.read.schema(full).option("basePath", out).parquet(out).select(*full.fieldNames())
 
 
-def live_endpoint_summary(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Windowed endpoint summary over a stream of fetch attempts.
+def live_value_counts(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Attempts by window, endpoint, status and transfer rate over a stream of fetch attempts.
 
-    Late rows are taken in up to ``delay``.  The median comes from a bounded
-    sketch (exact while a window holds fewer rows than its accuracy), since an
-    exact one would keep every value in state.
+    Late rows are taken in up to ``delay``.  State holds one count per distinct rate instead of every value, which is
+    all an exact median needs.
     """
     timed = transfer_rate(stream.withColumn("started_at", F.col("started_at").cast("timestamp")))
     return (timed.withWatermark("started_at", delay)
-            .groupBy(F.window("started_at", window).alias("w"), "endpoint")
-            .agg(F.count(F.lit(1)).alias("attempts"),
-                 F.count_if(F.col("status") == "success").alias("successes"),
-                 F.count_if(F.col("status") == "failed").alias("failed"),
-                 F.percentile_approx("mb_per_sec", 0.5, 10000).alias("median_mb_per_sec"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint",
-                    "attempts", "successes", "failed", "median_mb_per_sec"))
-
-
-def run_available(df: DataFrame, out: str, checkpoint: str) -> None:
-    """Drain what the stream has now into Parquet, emitting windows the watermark has closed."""
-    query = (df.writeStream.outputMode("append").format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .groupBy(F.window("started_at", window).alias("w"), "endpoint", "status", "mb_per_sec")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("started_at").alias("latest"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint", "status",
+                    "mb_per_sec", "n", "latest"))
+
+
+def run_available(counts: DataFrame, out: str, checkpoint: str) -> None:
+    """Drain what the stream has now; every batch writes the counts that changed, open windows included."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def live_endpoint_summary(counts: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Window summary from the written counts: exact median; ``closed`` once the watermark has passed the window."""
+    keys = ["window_start", "window_end", "endpoint", "status", "mb_per_sec"]
+    now = counts.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"), F.max("latest").alias("latest"))
+    seen = counts.agg((F.max("latest") - F.expr(f"interval {delay}")).alias("_mark"))  # one row
+    out = now.groupBy(*keys[:3]).agg(
+        F.sum("n").alias("attempts"), F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("n"))), F.lit(0)).alias("successes"),
+        F.coalesce(F.sum(F.when(F.col("status") == "failed", F.col("n"))), F.lit(0)).alias("failed"),
+        F.expr("percentile(mb_per_sec, 0.5D, n)").alias("median_mb_per_sec"))
+    return out.join(F.broadcast(seen)).withColumn("closed", F.col("window_end") <= F.col("_mark")).drop("_mark")

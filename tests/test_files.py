@@ -2,6 +2,7 @@
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -78,9 +79,11 @@ def test_result_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     W.write_results(df, out)
     text = {p.parent.name: p.read_text().splitlines() for p in (tmp_path / "out").glob("*/part-*")}
-    assert text["project=PRJ1"] == ["SRR_ID\tmethod\trho_gene\tjaccard_deg\trho_pathway\tjaccard_pathway\tdir_concordance",
-                                   "s\tA\tNA\tNA\t0.500000\tNA\t1.000000"]
-    back = W.combine_results(spark, out).collect()
+    assert text["in_project=PRJ1"] == [
+        "project\tSRR_ID\tmethod\trho_gene\tjaccard_deg\trho_pathway\tjaccard_pathway\tdir_concordance",
+        "PRJ1\ts\tA\tNA\tNA\t0.500000\tNA\t1.000000"]
+    back = W.combine_results(spark, out, out=str(tmp_path / "all")).collect()
+    assert rows(W.read_results(spark, str(tmp_path / "all"))) == rows(W.combine_results(spark, out))
     assert [(r.project, r.rho_gene) for r in back] == [("PRJ1", None), ("PRJ2", 0.123457)]
 
 
@@ -88,14 +91,19 @@ def test_ingest_first_row_of_a_key_wins(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / d) for d in ("src", "out", "ckpt"))
 
     def drop(df, name):
-        df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(f"{src}/{name}")
+        W.write_results(df, f"{src}/{name}")
 
     drop(concordance(spark, ("p", "s", "U", 0.1), ("p", "s", "A", 0.2)), "one")
     ingest.ingest_results(spark, src, out, ckpt)
     drop(concordance(spark, ("p", "s", "U", 0.9), ("p", "s", "P5", 0.3)), "two")
     ingest.ingest_results(spark, src, out, ckpt)
     ingest.ingest_results(spark, src, out, ckpt)
-    assert rows(ingest.ingested(spark, out), "method", "rho_gene", "batch") == [("A", 0.2, 0), ("P5", 0.3, 1), ("U", 0.1, 0)]
+    assert rows(ingest.ingested(spark, out), "project", "method", "rho_gene", "batch") == [
+        ("p", "A", 0.2, 0), ("p", "P5", 0.3, 1), ("p", "U", 0.1, 0)]
+    (tmp_path / "src/other").mkdir()
+    (tmp_path / "src/other/x.tsv").write_text("SRR_ID\tproject\n1\t2\n")
+    with pytest.raises(Exception, match="header"):
+        ingest.ingest_results(spark, src, out, ckpt)
 
 
 def test_live_summary_emits_closed_windows(spark, tmp_path):
@@ -105,6 +113,7 @@ def test_live_summary_emits_closed_windows(spark, tmp_path):
         (F.to_timestamp("at") + F.expr("interval 2 seconds")).alias("finished_at"), F.lit(4000000).alias("bytes_downloaded"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    ingest.run_available(ingest.live_endpoint_summary(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.window_start.hour, r.attempts, r.successes, r.median_mb_per_sec) for r in got) == [(0, 6, 3, 2.0), (1, 6, 3, 2.0)]
+    ingest.run_available(ingest.live_value_counts(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = ingest.live_endpoint_summary(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert sorted((r.window_start.hour, r.attempts, r.successes, r.median_mb_per_sec, r.closed) for r in got) == [
+        (0, 6, 3, 2.0, True), (1, 6, 3, 2.0, True), (2, 2, 1, 2.0, False)]

@@ -8,7 +8,7 @@ from check_oracle import compare, oracle
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = ["S5_read_qc_sections", "P16_pick_by_key", "J5_lookup_last", "A4_stage_summary", "A20_directory_audit",
            "A26_replicate_structure", "W4_stage_loss", "U2_set_report", "ST7_diff_test", "ST8_enrich_prerank",
-           "ST10_binned_trend", "ST12_box_stats", "E9_headline", "E12_pending", "T2_live_endpoint_summary"]
+           "ST10_binned_trend", "ST15_qc_forest", "W1_avg_rank_spread", "W6_bh_adjust_spread", "A4_stage_summary_spread", "T1_ingest_results", "ST12_box_stats", "E9_headline", "E12_pending", "T2_live_endpoint_summary"]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,8 @@ def con():
 def test_contract():
     names = entry.queries()
     assert len(names) >= 110 and set(entry.oracle_sql()) <= set(names)
-    assert set(names) - set(entry.oracle_sql()) == {"ST15_qc_forest"}
+    reference = {n for n in names if not n.startswith("op") and n != "pipeline"}
+    assert reference <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
