@@ -701,6 +701,19 @@ def _forest_input(t):
 
 query("E1_loso", "SELECT * FROM e1_conc")(lambda t: loso.loso(
     V.counts(t), V.samples(t), V.gene_sets(t), fdr=LOOSE["fdr"], lfc=LOOSE["lfc"], gene_z=LOOSE["gene_z"]))
+
+
+@query("E12_resume", "SELECT * FROM e1_conc")
+def resume(t):
+    """A run cut short and taken up again: half of the targets are left of it, the pending ones are computed."""
+    counts, samples, sets = settle(V.counts(t), "counts"), V.samples(t), V.gene_sets(t)
+    limits = {"fdr": LOOSE["fdr"], "lfc": LOOSE["lfc"], "gene_z": LOOSE["gene_z"]}
+    early = F.pmod(F.xxhash64("project", "srr"), F.lit(2)) == 0
+    done = settle(loso.loso(counts, samples, sets, targets=samples.filter(early), **limits), "done")
+    left = samples.join(done.select("project", "srr").distinct(), ["project", "srr"], "left_anti")
+    return done.unionByName(loso.loso(counts, samples, sets, targets=left, **limits))
+
+
 query("E2_cohort_funnel", LOSS)(funnel)
 query("E2_count_issues", """SELECT issue, expected, found, expected - found AS difference FROM (
     SELECT 'runs queried against id files' AS issue, (SELECT CAST(sum(n_runs) AS BIGINT) FROM filtered) AS expected,

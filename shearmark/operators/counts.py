@@ -120,12 +120,15 @@ def wald(df: DataFrame) -> DataFrame:
 
 def contrast_levels(samples: DataFrame, by: list[str]) -> DataFrame:
     """Reference and contrasted condition per group: control and treatment, else the first two by name."""
-    names = F.sort_array(F.collect_set("condition"))
-    labels = samples.groupBy(*by).agg(names.alias("c"))  # the handful of conditions of one design
-    usual = F.array_contains("c", "control") & F.array_contains("c", "treatment")
-    return labels.filter(F.size("c") >= 2).select(
-        *by, F.when(usual, F.lit("control")).otherwise(F.get("c", F.lit(0))).alias("level0"),
-        F.when(usual, F.lit("treatment")).otherwise(F.get("c", F.lit(1))).alias("level1"))
+    names = samples.select(*by, "condition").filter(F.col("condition").isNotNull()).distinct()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("condition"))
+    labels = names.withColumn("_place", place).groupBy(*by).agg(
+        F.max(F.when(F.col("_place") == 1, F.col("condition"))).alias("_first"),
+        F.max(F.when(F.col("_place") == 2, F.col("condition"))).alias("_second"),
+        (F.max(F.col("condition") == "control") & F.max(F.col("condition") == "treatment")).alias("_usual"))
+    return labels.filter(F.col("_second").isNotNull()).select(
+        *by, F.when(F.col("_usual"), F.lit("control")).otherwise(F.col("_first")).alias("level0"),
+        F.when(F.col("_usual"), F.lit("treatment")).otherwise(F.col("_second")).alias("level1"))
 
 
 def with_role(samples: DataFrame, by: list[str]) -> DataFrame:

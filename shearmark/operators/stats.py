@@ -158,7 +158,8 @@ def histogram(df: DataFrame, cols: list[str], n_edges: int = 30, pad: float = 0.
     width = ends.select(((F.col("hi") - F.col("lo")) / F.lit(float(n_edges - 1))).alias("w")).scalar()
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).alias("_v")) for c in cols])).alias("e")).select("e.*").dropna()
-    index = F.least(F.floor((F.col("_v") - lo) / width), F.lit(n_edges - 2)).cast("int")
+    place = F.coalesce(F.floor(F.try_divide(F.col("_v") - lo, width)), F.lit(0))  # a constant column has bins of no width
+    index = F.least(place, F.lit(n_edges - 2)).cast("int")
     counted = long.groupBy("variable", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = ends.select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("variable")).withColumn(
         "bin", F.explode(F.sequence(F.lit(0), F.lit(n_edges - 2))))

@@ -86,11 +86,16 @@ def _slot(cols: list[Column], key: Column) -> Column:
     return F.get(F.array(*cols), method_order(key))
 
 
-def loso_tests(counts: DataFrame, files: DataFrame) -> DataFrame:
-    """log2fc, stat and p-value of every (test, gene), adjusted for candidates."""
+def loso_tests(counts: DataFrame, files: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """log2fc, stat and p-value of every (test, gene), adjusted for candidates.
+
+    ``targets`` (project, srr) restricts the tests that are run, not the samples they rest on.
+    """
     tests = contexts(files)
     keyed = files.join(tests.select(*TARGET, "role").distinct(), TARGET).select(
         *TARGET, "mode", "role", "size_factor")
+    if targets is not None:
+        tests = tests.join(targets.select(*TARGET).distinct(), TARGET, "left_semi")
     scaled = counts.join(keyed, [*TARGET, "mode"]).withColumn("q", F.col("count") / F.col("size_factor"))
     zero = F.lit(0.0)
     own = scaled.groupBy(*TARGET, "gene").agg(*[
@@ -171,11 +176,15 @@ def concordance(cand: DataFrame, cand_nes: DataFrame, ref: DataFrame, ref_nes: D
 
 def loso(counts: DataFrame, samples: DataFrame, sets: DataFrame, n_perm: int = 100, seed: int = 42,
          fdr: float = DEG_FDR, lfc: float = DEG_LOG2FC, gene_z: float = GENE_VOTE_Z, nes: float = PATHWAY_NES,
-         frac: float = VOTE_FRACTION, top: int = TOP_PATHWAYS) -> DataFrame:
-    """Concordance record per (project, srr, method) of the leave-one-sample-out evaluation."""
+         frac: float = VOTE_FRACTION, top: int = TOP_PATHWAYS, targets: DataFrame | None = None) -> DataFrame:
+    """Concordance record per (project, srr, method) of the leave-one-sample-out evaluation.
+
+    With ``targets`` (project, srr), as given by ``pending``, only their records are computed; they equal those of a
+    full run.
+    """
     counts = settle(counts, "counts")
     files = scaled_files(counts, samples)
-    tests = settle(loso_tests(counts, files), "loso_tests")
+    tests = settle(loso_tests(counts, files, targets), "loso_tests")
     scores = settle(enrich_prerank(tests, sets, TEST, n_perm, seed).filter(F.col("nes").isNotNull()), "loso_nes")
     reference, candidate = F.col("stage") == "reference", F.col("stage") == "candidate"
     ref_de, ref_nes = tests.filter(reference), scores.filter(reference)
@@ -191,12 +200,12 @@ def loso(counts: DataFrame, samples: DataFrame, sets: DataFrame, n_perm: int = 1
 
 def whole_project(counts: DataFrame, samples: DataFrame, sets: DataFrame, n_perm: int = 100, seed: int = 42,
                   fdr: float = DEG_FDR, lfc: float = DEG_LOG2FC, nes: float = PATHWAY_NES,
-                  top: int = TOP_PATHWAYS) -> DataFrame:
-    """Concordance of each trimmed mode's whole-project result with the untrimmed one."""
+                  top: int = TOP_PATHWAYS, how: str = "library") -> DataFrame:
+    """Concordance of each trimmed mode's whole-project result with the untrimmed one; ``how`` names the size factors."""
     by = ["project", "mode"]
     counts = settle(counts, "counts")
     design = samples.join(counts.select("project", "srr", "mode").distinct(), ["project", "srr"])
-    tests = settle(diff_test(counts, design, by), "project_tests")
+    tests = settle(diff_test(counts, design, by, how), "project_tests")
     scores = settle(enrich_prerank(tests, sets, by, n_perm, seed).filter(F.col("nes").isNotNull()), "project_nes")
     base = F.col("mode") == BASELINE
     ref = tests.filter(base).select("project", "gene", F.col("stat").alias("ref_stat"),
