@@ -40,7 +40,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_path = path
+    return table
+
+
+def discard(tables: list[DataFrame]) -> None:
+    """Delete the files of settled tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: list[str]):
