@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import discard, settle
 
 CHUNK = 1 << 16  # code points
 PRIMES = (2147483647, 2147483629)
@@ -107,7 +107,7 @@ def fingerprints(chunks: DataFrame, primes: tuple[int, int]) -> DataFrame:
     return one.unionByName(many.select("_row", "_key", "chars", "sha", "_f.h1", "_f.h2", "n_bytes"))
 
 
-def classes(chunks: DataFrame, prints: DataFrame) -> DataFrame:
+def classes(chunks: DataFrame, prints: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """_row and _class (a row of the same text) of every row that has an equal; the comparison behind it is exact."""
     found, todo = None, prints.select("_row", *PRINT)
     while True:
@@ -117,6 +117,7 @@ def classes(chunks: DataFrame, prints: DataFrame) -> DataFrame:
         links = settle(todo.join(groups.hint("merge"), PRINT).select("_row", "_class"), "links")
         # the same plan at every size; a group's first row is among its links
         texts = settle(links.join(chunks.select("_row", "k", "chunk").hint("merge"), "_row"), "equal_prints")
+        spent.append(texts)
         first = texts.filter("_row = _class").select("_class", "k", F.col("chunk").alias("_other"))
         differ = texts.filter("_row <> _class").join(first.hint("merge"), ["_class", "k"], "left").filter(
             ~F.col("chunk").eqNullSafe(F.col("_other"))).select("_row").distinct()
@@ -129,17 +130,20 @@ def classes(chunks: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None, chunk: int = CHUNK,
-               primes: tuple[int, int] = PRIMES) -> DataFrame:
+               primes: tuple[int, int] = PRIMES, spent: list[DataFrame] | None = None) -> DataFrame:
     """_row, key, keep_id, group_size, kept and text_sha256 of every row.
 
     Texts are equal when they are after deletion of ASCII white space; null is empty, and all empty texts are equal.
     Of equal texts the one with the most code points stays, then the smallest key (null last), then the first row:
     of repeated rows exactly one stays.  ``row`` names a column that numbers the rows; without it they are numbered
     here.  No other column is read.  A large group is counted map-side; its rows meet one row of the group only.
+    ``spent`` takes the tables that hold texts, for a caller that writes the result and discards them.
     """
+    spent = [] if spent is None else spent
     chunks = chunk_table(docs, key, text, row, chunk, primes)
+    spent.append(chunks)
     prints = fingerprints(chunks, primes)
-    found = classes(chunks, prints)
+    found = classes(chunks, prints, spent)
     rows = prints.join(found, "_row", "left").withColumn("_class", F.coalesce("_class", "_row"))
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"),
                           F.col("_row").alias("row")))
@@ -153,7 +157,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """One document of each group of equal texts, with the columns of ``docs``, whatever their names."""
     rows = settle(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"),
                               F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_doc")), "documents")
-    dropped = duplicates(rows, "_key", "_text", "_row").filter(~F.col("kept")).select("_row")
+    spent: list[DataFrame] = []
+    dropped = settle(duplicates(rows, "_key", "_text", "_row", spent=spent).filter(~F.col("kept")).select("_row"), "copies")
+    discard(spent)
     left = rows.join(dropped, "_row", "left_anti")
     return left.select(*[(F.col("_text") if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 

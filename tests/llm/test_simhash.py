@@ -60,12 +60,13 @@ def test_groups_equal_a_plain_search(spark, bucket_rows):
     assert {g.doc_id: g.component_id for g in got} == brute_groups(prints, 4)
 
 
-def test_wide_prints_with_parts_find_every_link(spark):
+@pytest.mark.parametrize("parts, radius", [(4, 19), (5, 23)])
+def test_wide_prints_with_parts_find_every_link(spark, parts, radius):
     rows = documents(80)
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = {g.doc_id: g for g in simhash.near_groups(frame, 5, 2, 4, 19).collect()}
+    got = {g.doc_id: g for g in simhash.near_groups(frame, 5, 2, parts, radius).collect()}
     prints = {i: int(g.fingerprint, 16) for i, g in got.items()}
-    assert {i: g.component_id for i, g in got.items()} == brute_groups(prints, 19)
+    assert {i: g.component_id for i, g in got.items()} == brute_groups(prints, radius)
 
 
 @pytest.mark.parametrize("radius", [1, 4])
