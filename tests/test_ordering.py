@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from shearmark.operators import ordering as O
+from shearmark.operators import stats as ST
 from shearmark import runtime
 from shearmark.runtime import grid_join, join_groups, settle
 
@@ -133,3 +134,17 @@ def test_keys_with_many_rows_join_apart(spark):
     want = rows(df.join(per, "k"))
     for limit in (0, 15, 10**6):
         assert rows(O.join_per_key(df, per, ["k"], limit=limit)) == want
+
+
+@pytest.mark.parametrize("job", [lambda d, n: O.avg_rank(d, ["g"], "v", limit=n), lambda d, n: O.bh_adjust(d, ["g"], "v", limit=n)])
+def test_both_sides_of_the_limit_keep_null_rows_and_columns(spark, job):
+    data = [("a", 0.1, 7), ("a", 0.1, 8), ("a", None, 9), (None, 0.2, 1), (None, None, 2), (None, 0.2, 3), ("b", 0.5, 4), ("a", 0.1, 7)]
+    df = spark.createDataFrame(data, "g string, v double, n int")
+    plain, spread = job(df, 10**6), job(df, 1)
+    assert plain.columns == spread.columns and len(rows(plain)) == len(data)
+    assert rows(plain) == rows(spread)
+
+
+def test_histogram_of_a_constant_column(spark):
+    got = ST.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), ["x"], 5, pad=0).collect()
+    assert sorted((r.bin, r.n) for r in got) == [(0, 2), (1, 0), (2, 0), (3, 0)]
