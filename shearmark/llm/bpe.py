@@ -80,7 +80,6 @@ class RankMerger:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all words in order, number of tokens of each word)."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        counts = sizes.copy()
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.first[raw]
         ends = np.cumsum(sizes)
@@ -126,5 +125,4 @@ class RankMerger:
         ids = np.concatenate(done_ids) if done_ids else np.zeros(0, dtype=np.int32)
         owner = np.concatenate(done_words) if done_words else np.zeros(0, dtype=np.int32)
         ids = ids[np.argsort(owner, kind="stable")]
-        counts = np.bincount(owner, minlength=len(words)).astype(np.int64) if len(words) else counts
-        return ids, counts
+        return ids, np.bincount(owner, minlength=len(words)).astype(np.int64)

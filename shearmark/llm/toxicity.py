@@ -99,7 +99,7 @@ def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, steps: int =
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_key, label and features (words) of at most ``fit_rows`` labelled rows, those of smallest key hash; equal word sets once.
+    """_key, label and features (words) of at most ``fit_rows`` labelled keys, those of smallest hash.
 
     The rows chosen are few and bounded, so they are broadcast and the documents stay where they are.
     """
