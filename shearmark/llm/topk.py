@@ -194,7 +194,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                      pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
                      pa.array(np.concatenate([f[2] for f in found]), pa.int64())], names=["query_id", "_id", "score"])
 
-    pairs = cells.join(index, "block").select("_q", "dim", "ids", "slices", "low", "digits")
+    # few bytes but much work: the number of tasks must not follow the bytes
+    parts = max(index.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = cells.repartition(parts, "block").join(index.hint("merge"), "block").select("_q", "dim", "ids", "slices", "low", "digits")
     found = pairs.mapInArrow(search, "query_id long, _id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
