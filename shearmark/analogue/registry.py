@@ -452,10 +452,11 @@ query("A19_aligner_speed", "SELECT mode, " + ", ".join(
 query("A20_directory_audit", """SELECT 'flattened_' || lang AS flattened_dir, count(DISTINCT host) AS projects_total,
     count(DISTINCT number) AS unique_srrs_total, count(DISTINCT host) FILTER (ic) AS projects_in_cohort,
     count(DISTINCT number) FILTER (ic) AS unique_srrs_in_cohort, count(DISTINCT host) FILTER (NOT ic) AS projects_outside_cohort,
-    count(DISTINCT number) FILTER (NOT ic) AS unique_srrs_outside_cohort,
-    coalesce(string_agg(DISTINCT host, ', ' ORDER BY host) FILTER (NOT ic), '') AS outside_cohort_projects
+    count(DISTINCT number) FILTER (NOT ic) AS unique_srrs_outside_cohort
     FROM (SELECT *, host IN (SELECT project FROM cohort) AS ic FROM paths) GROUP BY lang""")(
     lambda t: A.directory_audit(V.paths(t), V.cohort(t)))
+query("A20_outside_projects", """SELECT DISTINCT 'flattened_' || lang AS flattened_dir, host AS project FROM paths
+    WHERE host NOT IN (SELECT project FROM cohort)""")(lambda t: A.outside_projects(V.paths(t), V.cohort(t)))
 query("A21_gene_universe", "SELECT project, gene FROM universe")(lambda t: C.gene_universe(V.counts(t)))
 query("A22_eligibility", """SELECT project, CAST(sum(n) AS BIGINT) AS n_samples, count(*) AS n_conditions, min(n) AS min_per_condition,
     sum(n) >= 4 AND count(*) >= 2 AS eligible FROM classes GROUP BY 1""")(lambda t: C.eligibility(V.metadata(t)))

@@ -170,13 +170,8 @@ def pivot_stat(df: DataFrame, index: str, key: str, value: str, labels: list[str
                      [F.avg(f"_{k}").alias(f"{k}_mean") for k in labels])
 
 
-def directory_audit(paths: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Per flattened directory: projects and samples in total, inside and outside the cohort.
-
-    ``paths`` holds one file path per row, ``cohort`` a project column.  Paths
-    are reduced to distinct (directory, project, sample) before anything is
-    counted, and to distinct (directory, project) before names are listed.
-    """
+def _audited(paths: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Distinct (directory, project, sample) of file paths, with whether the project is in the cohort (``_in``)."""
     p = F.col("path")
     # Fixed pattern: <...>/flattened_<kind>/<project>/<anything>
     where = r"(?:^|/)(flattened_[^/]+)/([^/]+)/"
@@ -184,21 +179,28 @@ def directory_audit(paths: DataFrame, cohort: DataFrame) -> DataFrame:
         F.regexp_extract(p, where, 1).alias("flattened_dir"), F.regexp_extract(p, where, 2).alias("project"),
         sample_id(F.element_at(F.split(p, "/"), -1), p).alias("srr")
     ).filter(F.col("flattened_dir") != "").distinct()
-    inside = cohort.select("project").distinct().withColumn("_in", F.lit(True))
-    keyed = keyed.join(inside, "project", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    numbers = keyed.groupBy("flattened_dir").agg(
+    inside = settle(cohort.select("project").distinct().withColumn("_in", F.lit(True)), "inside")
+    return join_groups(keyed, inside, ["project"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+
+
+def directory_audit(paths: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Per flattened directory: projects and samples in total, inside and outside the cohort.
+
+    ``paths`` holds one file path per row, ``cohort`` a project column.  The names of the projects outside are the
+    table of ``outside_projects``.
+    """
+    return _audited(paths, cohort).groupBy("flattened_dir").agg(
         F.count_distinct("project").alias("projects_total"),
         F.count_distinct("srr").alias("unique_srrs_total"),
         F.count_distinct(F.when(F.col("_in"), F.col("project"))).alias("projects_in_cohort"),
         F.count_distinct(F.when(F.col("_in"), F.col("srr"))).alias("unique_srrs_in_cohort"),
         F.count_distinct(F.when(~F.col("_in"), F.col("project"))).alias("projects_outside_cohort"),
-        F.count_distinct(F.when(~F.col("_in"), F.col("srr"))).alias("unique_srrs_outside_cohort"))
-    names = (keyed.filter(~F.col("_in")).select("flattened_dir", "project").distinct()
-             .groupBy("flattened_dir").agg(
-                 F.array_join(F.sort_array(F.collect_list("project")), ", ").alias("outside_cohort_projects")))
-    return (numbers.join(names, "flattened_dir", "left")
-            .withColumn("outside_cohort_projects", F.coalesce("outside_cohort_projects", F.lit("")))
-            .orderBy("flattened_dir"))
+        F.count_distinct(F.when(~F.col("_in"), F.col("srr"))).alias("unique_srrs_outside_cohort")).orderBy("flattened_dir")
+
+
+def outside_projects(paths: DataFrame, cohort: DataFrame) -> DataFrame:
+    """The projects of each flattened directory that are not in the cohort, one per row."""
+    return _audited(paths, cohort).filter(~F.col("_in")).select("flattened_dir", "project").distinct()
 
 
 def cohort_totals(df: DataFrame) -> DataFrame:

@@ -128,6 +128,7 @@ def test_classify_and_headline(spark):
 def test_directory_audit(spark):
     paths = spark.createDataFrame([("d/flattened_a/p1/SRR1_x.tsv",), ("d/flattened_a/p1/SRR1_y.tsv",), ("d/flattened_a/p2/SRR2/z",),
                                    ("d/flattened_a/p3/SRR3.txt",), ("d/other/p1/SRR9.txt",)], "path string")
-    r = A.directory_audit(paths, spark.createDataFrame([("p1",)], "project string")).collect()
+    cohort = spark.createDataFrame([("p1",)], "project string")
+    r = A.directory_audit(paths, cohort).collect()
     assert len(r) == 1 and (r[0].projects_total, r[0].unique_srrs_total, r[0].unique_srrs_in_cohort) == (3, 3, 1)
-    assert r[0].outside_cohort_projects == "p2, p3"
+    assert sorted(map(tuple, A.outside_projects(paths, cohort).collect())) == [("flattened_a", "p2"), ("flattened_a", "p3")]
