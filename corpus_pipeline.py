@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # the workers of earlier stages are still there: small slices
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), slice_bytes=4 << 20, cache_units=100_000)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

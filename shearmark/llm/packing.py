@@ -18,20 +18,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_ROWS, settle
-from .tokens import encoder, pieces_of, texts_of
+from .tokens import CACHE_UNITS, SLICE_BYTES, encoder, pieces_of, texts_of
 
 
 def token_pieces(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, kind: str = "byte",
-                 key: str = "doc_id", text: str = "text") -> DataFrame:
+                 key: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES,
+                 cache_units: int = CACHE_UNITS) -> DataFrame:
     """key, piece, start, length and ids (little-endian u4 bytes) of every document's pieces of at most ``limit``.
 
     A document is its ids and ``end_id``, so a null or empty text is one piece of one id.  Longer documents are cut
     into pieces of ``limit``, of which only the first may be shorter.  Repeated rows give repeated pieces.
+    Smaller slices and caches save memory and cost time.
     """
     def cut(batches):
-        tool = encoder(kind, path)
+        tool = encoder(kind, path, cache_units)
         for batch in batches:
-            for part in pieces_of(batch, "text"):
+            for part in pieces_of(batch, "text", slice_bytes):
                 ids, lens = tool.ids(texts_of(part, "text"))
                 total = lens + 1
                 ends = np.cumsum(total)

@@ -21,8 +21,8 @@ import regex
 
 from .bpe import RankMerger
 
-CACHE_UNITS = 250_000
-SLICE_BYTES = 8 << 20
+CACHE_UNITS = 300_000
+SLICE_BYTES = 16 << 20
 _SPECIAL = re.compile(r"<\|(?:endoftext|startoftext)\|>")
 # Characters on which Python's and the library's lower-casing, composition and white space agree by construction.
 _NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
@@ -197,11 +197,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
 
 
-def encoder(kind: str, path: str) -> UnitEncoder:
+def encoder(kind: str, path: str, cache_units: int = CACHE_UNITS) -> UnitEncoder:
     """The worker's encoder of a file; Python workers keep it, and its bounded cache, over tasks."""
-    key = f"{kind}:{path}"
+    key = f"{kind}:{path}:{cache_units}"
     if key not in _encoders:
-        _encoders[key] = {"byte": ByteBpe, "word": WordBpe}[kind](path)
+        _encoders[key] = {"byte": ByteBpe, "word": WordBpe}[kind](path, cache_units)
     return _encoders[key]
 
 
@@ -213,6 +213,7 @@ def pieces_of(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Ite
     for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # idle workers would keep it beside the next stage's
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:

@@ -20,7 +20,7 @@ from ..runtime import settle
 FIT_ROWS = 20_000
 FEATURES = 512
 BEGINNINGS = (4, 5, 6)
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -164,7 +164,9 @@ def severity(model: Model, text: str) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.severity(t.as_py(), known) for t in texts], pa.float64())
+        out = pa.array([model.severity(t.as_py(), known) for t in texts], pa.float64())
+        pa.default_memory_pool().release_unused()
+        return out
 
     return score(F.col(text))
 
