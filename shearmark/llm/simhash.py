@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import join_groups, settle
 from .tokens import pieces_of
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -64,10 +64,24 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, key: str = "do
     return rows.mapInArrow(prints, f"_key {kind}, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
+def even_codes(count: int, size: int) -> list[int]:
+    """Different non-zero codes under ``size``, chosen one by one so that no mask gets few bits (few bits: large buckets)."""
+    odd = np.array([[bin(c & v).count("1") % 2 for v in range(1, size)] for c in range(1, size)])
+    out, weight = [], np.zeros(size - 1, dtype=np.int64)
+    for _ in range(count):
+        best = min((c for c in range(size - 1) if c + 1 not in out), key=lambda c: (np.exp2(-(weight + odd[c])).sum(), c))
+        out.append(best + 1)
+        weight += odd[best]
+    return out
+
+
 def covering_masks(positions: list[int], radius: int) -> list[int]:
     """Masks over the given bit positions; any ``radius`` of the positions are avoided by one of them."""
     size = 1 << (radius + 1)
-    code = {p: 1 + i % (size - 1) for i, p in enumerate(positions)}  # every non-zero code, as evenly as can be
+    if len(positions) < size - 1:
+        code = dict(zip(positions, even_codes(len(positions), size), strict=True))
+    else:
+        code = {p: 1 + i % (size - 1) for i, p in enumerate(positions)}  # every non-zero code, as evenly as can be
     return [sum(1 << p for p in positions if bin(code[p] & v).count("1") % 2) for v in range(1, size)]
 
 
@@ -142,10 +156,14 @@ def linked(lanes: int, radius: int, limits: list[int]):
 
     def search(prints):
         """Links of one bucket."""
-        if len(prints) <= 512:
-            near = distance(prints[:, None, :], prints[None, :, :]) <= radius
-            if near.sum() == len(prints):
-                return prints[:0], prints[:0]
+        if len(prints) <= BUCKET_ROWS:
+            linked_rows = np.zeros(len(prints), dtype=bool)
+            for at in range(0, len(prints), 128):
+                near = distance(prints[at:at + 128, None, :], prints[None, at:, :]) <= radius
+                np.fill_diagonal(near, False)
+                linked_rows[at:at + 128] |= near.any(axis=1)
+                linked_rows[at:] |= near.any(axis=0)
+            prints = prints[linked_rows]
         pairs = np.array(forest(prints, radius), dtype=np.int64).reshape(-1, 2)
         return prints[pairs[:, 0]], prints[pairs[:, 1]]
 
@@ -269,6 +287,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def rooted(nodes: DataFrame, lanes: int, parts: int, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``nodes`` (different fingerprints f0.. and other columns) with the root of each one's component of links."""
+    pairs = links(nodes, lanes, parts, radius, bucket_rows)
+    if lanes == 1:
+        edges = pairs.select(F.col("a0").alias("a"), F.col("b0").alias("b"))
+        name: Column = F.col("f0")
+    else:  # a wider fingerprint is compared as one string of digits
+        wide = lambda s: F.concat(*[F.lpad(F.hex(F.col(f"{s}{i}")), 16, "0") for i in range(lanes)])
+        edges = pairs.select(wide("a").alias("a"), wide("b").alias("b"))
+        name = wide("f")
+    roots = components(edges)
+    return nodes.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, parts: int = 1, radius: int = 4, key: str = "doc_id",
                 text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """key, fingerprint (hex digits) and component_id (smallest key reachable over links) of every row.
@@ -280,16 +312,7 @@ def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, parts: int = 1,
     cols = [f"f{i}" for i in range(lanes)]
     rows = settle(fingerprints(docs, words, lanes, key, text), "fingerprints")
     nodes = settle(rows.groupBy(*cols).agg(F.min("_key").alias("_low")), "nodes")
-    pairs = links(nodes, lanes, parts, radius, bucket_rows)
-    if lanes == 1:
-        edges = pairs.select(F.col("a0").alias("a"), F.col("b0").alias("b"))
-        name: Column = F.col("f0")
-    else:  # a wider fingerprint is compared as one string of digits
-        wide = lambda s: F.concat(*[F.lpad(F.hex(F.col(f"{s}{i}")), 16, "0") for i in range(lanes)])
-        edges = pairs.select(wide("a").alias("a"), wide("b").alias("b"))
-        name = wide("f")
-    roots = components(edges)
-    known = nodes.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = rooted(nodes, lanes, parts, radius, bucket_rows)
     lowest = known.groupBy("root").agg(F.min("_low").alias("component_id"))
     per_node = known.select(*cols, "root").join(lowest, "root").select(*[F.col(c).alias(f"_{c}") for c in cols], "component_id")
     same = [F.col(c) == F.col(f"_{c}") for c in cols]
@@ -298,16 +321,129 @@ def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, parts: int = 1,
     return rows.join(per_node, on).select(F.col("_key").alias(key), digits.alias("fingerprint"), "component_id")
 
 
-def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: int = 5, radius: int = 23,
-                      text: str = "text") -> DataFrame:
+def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words, seed))
+
+
+def set_prints(rows: DataFrame, words: int, lanes: int) -> DataFrame:
+    """_row, n (different shingles), s (digest of their set) and the fingerprint of the set, f0.., of every row (_row, _text)."""
+    def prints(batches):
+        for batch in batches:
+            for part in pieces_of(batch, "_text"):
+                size, digest, bits = [], [], [[] for _ in range(lanes)]
+                for t in pc.fill_null(part.column("_text"), "").cast(pa.binary()).to_pylist():
+                    sets = [shingle_set(t, words, s) for s in SEEDS[:lanes]]
+                    size.append(len(sets[0]))
+                    digest.append(xxhash.xxh3_128_digest(sets[0].tobytes()))
+                    for lane, found in zip(bits, sets, strict=True):
+                        lane.append(majority(found))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(b, pa.int64()) for b in bits]],
+                    names=["_row", "n", "s", *[f"f{i}" for i in range(lanes)]])
+
+    return rows.select("_row", "_text").mapInArrow(
+        prints, "_row long, n long, s binary, " + ", ".join(f"f{i} long" for i in range(lanes)))
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span every component of the non-empty sets of at least this Jaccard similarity to each other."""
+    out, rest, front = [], np.arange(len(sets)), []
+    held = np.zeros(0, dtype=np.int64)  # the sets that the arrays below hold: those not reached at the last build
+    while len(rest):
+        if not front:
+            front, rest = [int(rest[0])], rest[1:]
+        if not len(rest):
+            break
+        if not len(held) or 2 * len(rest) < len(held):
+            held = rest
+            sizes = np.fromiter((len(sets[i]) for i in held), np.int64, len(held))
+            known, token = np.unique(np.concatenate([sets[i] for i in held]), return_inverse=True)
+            starts, open_ = np.r_[0, np.cumsum(sizes)[:-1]], np.ones(len(held), dtype=bool)
+        a = front.pop()
+        open_ &= held != a
+        at = np.minimum(np.searchsorted(known, sets[a]), len(known) - 1)
+        present = np.zeros(len(known), dtype=np.int64)
+        present[at[known[at] == sets[a]]] = 1
+        shared = np.add.reduceat(present[token], starts)
+        near = open_ & (shared / (len(sets[a]) + sizes - shared) >= similarity)
+        reached = held[near].tolist()
+        out.extend((a, b) for b in reached)
+        front.extend(reached)
+        open_ &= ~near
+        rest = held[open_]
+    return out
+
+
+def similar_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links a, b (rows) that span, in every group, the components of texts of at least this Jaccard similarity.
+
+    ``members`` (_row, _text, root, blocks): a group of one block is searched in one task; the rows of a larger one
+    are dealt over its blocks, and every pair of blocks is a task of its own.
+    """
+    def shingles(batches):
+        for batch in batches:
+            for part in pieces_of(batch, "_text", 1 << 20):  # a word of two bytes becomes eight
+                texts = pc.fill_null(part.column("_text"), "").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_row"), part.column("root"), part.column("blocks"),
+                     pa.array([shingle_set(t, words, SEEDS[0]).tobytes() for t in texts], pa.binary())],
+                    names=["_row", "root", "blocks", "h"])
+
+    def searched(ids, sets):
+        pairs = np.array(similar_forest(sets, similarity), dtype=np.int64).reshape(-1, 2)
+        ids = np.array(ids, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, i]], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def search(batches):
+        last, ids, sets = None, [], []
+        for batch in batches:
+            for g, i, h in zip(*[batch.column(c).to_pylist() for c in ("g", "_row", "h")], strict=True):
+                if g != last:
+                    if len(ids) > 1:
+                        yield searched(ids, sets)
+                    last, ids, sets = g, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(h, dtype=np.uint64))
+        if len(ids) > 1:
+            yield searched(ids, sets)
+
+    sets = members.mapInArrow(shingles, "_row long, root string, blocks long, h binary")
+    mine, last = F.pmod(F.xxhash64("_row"), F.col("blocks")), F.col("blocks") - 1
+    others = F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), last), mine))
+    dealt = sets.withColumn("_other", F.explode(others)).select(
+        F.xxhash64("root", F.least(mine, "_other"), F.greatest(mine, "_other")).alias("g"), "_row", "h")
+    count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(count, "g").sortWithinPartitions("g").mapInArrow(search, "a long, b long")
+
+
+def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: int = 7, radius: int = 32, text: str = "text",
+                      similarity: float = 0.8, block_rows: int = 256) -> DataFrame:
     """One document of each group, the first, with the columns of ``docs`` whatever their names.
 
-    The defaults take five words and a similarity of 0.8: shingle sets of that overlap have a cosine of 8/9, hence
-    differ in acos(8/9) / pi = 0.151 of the bits, 19 of 128 on average; one standard deviation (4) is added.
+    A group is connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
+    checked exactly.  Fingerprints only say where to look: sets of that similarity have a cosine of 8/9, hence differ in
+    acos(8/9) / pi = 0.151 of the bits, 19 of 128 on average, and three standard deviations (4) are added.  All texts
+    that are connected within the radius are compared, also those beyond it.  Texts of equal shingle sets are one
+    node.  Those without words have the empty set: they are copies of each other and of nothing else.
     """
     rows = settle(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"),
                               F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_doc")), "documents")
-    groups = near_groups(rows, words, lanes, parts, radius, "_row", "_text")
-    dropped = settle(groups.filter("_row <> component_id").select("_row"), "near_copies")
+    cols = [f"f{i}" for i in range(lanes)]
+    prints = settle(set_prints(rows, words, lanes), "fingerprints")
+    nodes = settle(prints.groupBy("s", "n", *cols).agg(F.min("_row").alias("_row")), "nodes")
+    worded = nodes.filter("n > 0")
+    found = rooted(worded.select(*cols).distinct(), lanes, parts, radius).select(*[F.col(c).alias(f"_{c}") for c in cols], "root")
+    on = F.lit(True)
+    for c in cols:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    members = settle(worded.join(found, on).select("_row", "n", "root"), "members")
+    groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n")).filter("_m > 1")
+    blocks = F.greatest(F.ceil(F.col("_m") / block_rows), F.ceil(F.col("_n") / (1 << 20))).cast("long")
+    groups = settle(groups.select("root", blocks.alias("blocks")), "groups")
+    compared = settle(join_groups(members, groups, ["root"]).select("_row", "root", "blocks"), "compared")
+    pairs = settle(similar_links(rows.select("_row", "_text").join(compared, "_row"), words, similarity), "similar")
+    copies = components(pairs).filter("node <> root").select(F.col("node").alias("_row"))
+    kept = nodes.select("_row").join(copies, "_row", "left_anti")
+    dropped = settle(prints.select("_row").join(kept, "_row", "left_anti"), "near_copies")
     left = rows.join(dropped, "_row", "left_anti")
     return left.select(*[(F.col("_text") if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns])

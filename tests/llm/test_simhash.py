@@ -116,3 +116,64 @@ def test_spark_and_python_hash_alike(spark):
     words = ["", "a", "abc d", "x" * 33, "é ü 日本"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
     assert all(r.h & (2**64 - 1) == xxhash.xxh64_intdigest(r.w.encode(), 42) for r in got)
+
+
+def brute_kept(rows, words=5, similarity=0.8):
+    """First row of each component of exact Jaccard similarity; texts without words are copies of each other only."""
+    def shingles(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    sets, seen, kept = [shingles(r[1]) for r in rows], set(), set()
+    for i, mine in enumerate(sets):
+        if i in seen:
+            continue
+        kept.add(rows[i][0])
+        front = [i]
+        seen.add(i)
+        while front:
+            a = sets[front.pop()]
+            new = [k for k, b in enumerate(sets) if k not in seen and (a == b or len(a & b) / len(a | b) >= similarity)]
+            seen.update(new)
+            front.extend(new)
+    return kept
+
+
+def mixed_documents():
+    """Texts whose similarity to their original is around 0.8 on both sides, and many short ones."""
+    rnd, rows = random.Random(11), [(0, "", "r", "f"), (1, None, "r", "f")]
+    for k in range(40):
+        base = [f"w{rnd.randrange(9999)}" for _ in range(rnd.choice([60, 120, 300]))]
+        rows.append((len(rows), " ".join(base), "r", "f"))
+        for _ in range(6):
+            other = list(base)
+            for at in rnd.sample(range(len(base)), rnd.randrange(1, max(2, len(base) // 15))):
+                other[at] = f"x{rnd.randrange(9999)}"
+            rows.append((len(rows), " ".join(other), "r", "f"))
+    for _ in range(200):
+        rows.append((len(rows), " ".join(f"w{rnd.randrange(9999)}" for _ in range(6)), "r", "f"))
+    return rows
+
+
+@pytest.mark.parametrize("block_rows", [3, 256])
+def test_near_dedup_drops_by_exact_similarity(spark, block_rows):
+    rows = mixed_documents()
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = {r.doc_id for r in simhash.near_deduplicated(frame, block_rows=block_rows).collect()}
+    assert got == brute_kept(rows)
+
+
+def test_forest_of_similar_sets_spans_their_components():
+    import numpy as np
+
+    rnd = random.Random(4)
+    for n in (2, 30, 90):
+        sets = [np.unique(np.array([rnd.randrange(14) for _ in range(rnd.randrange(3, 14))], dtype=np.uint64)) for _ in range(n)]
+        got, want = list(range(n)), list(range(n))
+        for label, edges in ((got, simhash.similar_forest(sets, 0.8)),
+                             (want, [(a, b) for a in range(n) for b in range(a) if len(np.intersect1d(sets[a], sets[b]))
+                                     / len(np.union1d(sets[a], sets[b])) >= 0.8])):
+            for a, b in edges:
+                old, new = label[a], label[b]
+                label[:] = [new if x == old else x for x in label]
+        groups = lambda label: {tuple(i for i in range(n) if label[i] == x) for x in label}
+        assert groups(got) == groups(want)
