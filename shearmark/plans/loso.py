@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import median_of
 from ..operators.cleaning import neutral_fill
-from ..operators.counts import diff_test, gene_universe, leave_one_out, library_factors, wald, with_role
+from ..operators.counts import diff_test, gene_universe, leave_one_out, library_factors, wald
 from ..operators.enrich import enrich_prerank
 from ..operators.ordering import bh_adjust, top_abs
 from ..operators.stats import direction_concordance, jaccard, spearman, vote
@@ -27,7 +27,7 @@ TEST = [*TARGET, "stage", "method"]
 
 
 def scaled_files(counts: DataFrame, samples: DataFrame) -> DataFrame:
-    """(project, srr, mode, size_factor, role, condition) of every usable count file.
+    """(project, srr, mode, size_factor, condition) of every usable count file.
 
     Size factors are library totals over the project's mean untrimmed total.  A
     sample takes part when its untrimmed file exists; a file without a single
@@ -41,44 +41,49 @@ def scaled_files(counts: DataFrame, samples: DataFrame) -> DataFrame:
 def contexts(files: DataFrame) -> DataFrame:
     """Every test to run: per target four references and up to six candidates.
 
-    Holds the per-condition sample numbers and sums of 1/size factor of the
-    test, and ``take`` / ``give``: whether the target's own terms leave the
-    method totals, and whether its terms under ``method`` come in.
+    Every available sample with a condition is a target.  The two conditions of a test are chosen from what is left in
+    it: control and treatment, else the first two by name (``level0``, ``level1``); all its samples count towards
+    MIN_SAMPLES.  Holds the sample numbers and sums of 1/size factor of both, ``role`` (the target's place among them,
+    null if it is of another condition) and ``take`` / ``give``: whether the target's own terms leave the method totals,
+    and whether its terms under ``method`` come in.
     """
     available = files.filter(F.col("mode") == BASELINE).select(*TARGET, "condition")
-    roles = with_role(available, ["project"])
-    loo = leave_one_out(available).select(*TARGET, "leave")
-    targets = settle(roles.join(loo, TARGET), "targets")
-    inverse = F.lit(1.0) / F.col("size_factor")
-    mine = settle(files.join(targets.select(*TARGET, "role"), TARGET)
-                  .select(*TARGET, "mode", "role", inverse.alias("inv")), "inverse")
-    sums = settle(mine.groupBy("project", "mode").agg(*[
-        F.coalesce(F.sum(F.when(F.col("role") == r, v)), F.lit(0.0)).alias(f"{k}{r}")
-        for r in (0, 1) for k, v in (("n", F.lit(1.0)), ("r", F.col("inv")))]), "file_sums")
+    targets = settle(leave_one_out(available).select(*TARGET, "condition", "leave").filter(F.col("condition").isNotNull()), "targets")
+    mine = settle(files.filter(F.col("condition").isNotNull())
+                  .select(*TARGET, "mode", "condition", (F.lit(1.0) / F.col("size_factor")).alias("inv")), "inverse")
+    sums = mine.groupBy("project", "mode", "condition").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("inv").alias("r"))
+    sums = settle(sums.groupBy("project", "mode").agg(F.collect_list(F.struct("condition", "n", "r")).alias("totals")), "file_sums")
 
     plan = [("reference", m, m) for m in REFERENCE_METHODS] + [("candidate", m, BASELINE) for m in METHODS]
     tests = targets.withColumn("t", F.explode(F.array(*[
         F.struct(F.lit(s).alias("stage"), F.lit(m).alias("method"), F.lit(b).alias("base")) for s, m, b in plan])))
-    tests = tests.select(*TARGET, "role", "leave", "t.*")
+    tests = tests.select(*TARGET, "condition", "leave", "t.*")
     own = lambda mode, name: mine.select(*TARGET, F.col("mode").alias(mode), F.col("inv").alias(name))
     tests = (tests.join(own("base", "inv_base"), [*TARGET, "base"], "left")
              .join(own("method", "inv_method"), [*TARGET, "method"], "left"))
     tests = join_groups(tests, sums.withColumnRenamed("mode", "base"), ["project", "base"])
-    candidate = F.col("stage") == "candidate"
-    take = F.col("leave") & F.col("inv_base").isNotNull()
-    give = candidate & F.col("inv_method").isNotNull()
-    out = tests.withColumns({"take": take, "give": give})
-    change = {}
-    for r in (0, 1):
-        is_r = F.col("role") == r
-        for k, taken, given in (("n", F.lit(1.0), F.lit(1.0)), ("r", F.col("inv_base"), F.col("inv_method"))):
-            minus = F.when(F.col("take") & is_r, taken).otherwise(F.lit(0.0))
-            plus = F.when(F.col("give") & is_r, given).otherwise(F.lit(0.0))
-            change[f"{k}{r}"] = F.col(f"{k}{r}") - minus + plus
-    out = out.withColumns(change)
-    enough = F.when(candidate, F.col("give")).otherwise(F.col("n0") + F.col("n1") >= MIN_SAMPLES)
-    return out.filter(enough & (F.col("n0") > 0.5) & (F.col("n1") > 0.5)).select(
-        *TEST, "base", "role", "take", "give", "n0", "n1", "r0", "r1")
+    candidate, zero, one = F.col("stage") == "candidate", F.lit(0.0), F.lit(1.0)
+    out = tests.withColumns({"take": F.col("leave") & F.col("inv_base").isNotNull(),
+                             "give": candidate & F.col("inv_method").isNotNull()})
+    same = F.get(F.filter("totals", lambda e: e["condition"] == F.col("condition")), F.lit(0))
+    mine_left = F.struct("condition", *[
+        (F.coalesce(same[k], zero) - F.when(F.col("take"), taken).otherwise(zero) + F.when(F.col("give"), given).otherwise(zero)).alias(k)
+        for k, taken, given in (("n", one, one), ("r", F.col("inv_base"), F.col("inv_method")))])
+    others = F.filter("totals", lambda e: e["condition"] != F.col("condition"))
+    out = out.withColumn("left", F.filter(F.concat(others, F.array(mine_left)), lambda e: e["n"] > 0.5))
+    names = F.array_sort(F.transform("left", lambda e: e["condition"]))
+    usual = F.array_contains(names, "control") & F.array_contains(names, "treatment")
+    out = out.withColumns({f"level{r}": F.when(usual, F.lit(name)).otherwise(F.get(names, F.lit(r)))
+                           for r, name in ((0, "control"), (1, "treatment"))}).filter(F.col("level1").isNotNull())
+    enough = F.when(candidate, F.col("give")).otherwise(
+        F.aggregate("left", zero, lambda total, e: total + e["n"]) >= MIN_SAMPLES)
+    entry = lambda name: F.get(F.filter("left", lambda e: e["condition"] == F.col(name)), F.lit(0))
+    level = [entry("level0"), entry("level1")]
+    role = F.when(F.col("condition") == F.col("level0"), 0).when(F.col("condition") == F.col("level1"), 1)
+    return out.filter(enough).select(
+        *TEST, "base", role.alias("role"), "level0", "level1", "take", "give",
+        *[level[r][k].alias(f"{k}{r}") for k in ("n", "r") for r in (0, 1)])
 
 
 def _slot(cols: list[Column], key: Column) -> Column:
@@ -92,30 +97,31 @@ def loso_tests(counts: DataFrame, files: DataFrame, targets: DataFrame | None =
     ``targets`` (project, srr) restricts the tests that are run, not the samples they rest on.
     """
     tests = contexts(files)
-    keyed = files.join(tests.select(*TARGET, "role").distinct(), TARGET).select(
-        *TARGET, "mode", "role", "size_factor")
+    keyed = files.filter(F.col("condition").isNotNull()).select(*TARGET, "mode", "condition", "size_factor")
     if targets is not None:
         tests = tests.join(targets.select(*TARGET).distinct(), TARGET, "left_semi")
     scaled = counts.join(keyed, [*TARGET, "mode"]).withColumn("q", F.col("count") / F.col("size_factor"))
     zero = F.lit(0.0)
     own = scaled.groupBy(*TARGET, "gene").agg(*[
         F.coalesce(F.max(F.when(F.col("mode") == m, F.col("q"))), zero).alias(f"own_{m}") for m in METHODS])
-    sums = scaled.groupBy("project", "gene").agg(*[
-        F.coalesce(F.sum(F.when((F.col("mode") == m) & (F.col("role") == r), v)), zero).alias(f"{k}{r}_{m}")
-        for m in REFERENCE_METHODS for r in (0, 1) for k, v in (("s", F.col("q")), ("q", F.col("q") * F.col("q")))])
+    sums = scaled.groupBy("project", "gene", "condition").agg(*[
+        F.array(*[F.coalesce(F.sum(F.when(F.col("mode") == m, v)), zero) for m in REFERENCE_METHODS]).alias(k)
+        for k, v in (("s", F.col("q")), ("q", F.col("q") * F.col("q")))])
+    sums = sums.groupBy("project", "gene").agg(
+        F.map_from_entries(F.collect_list(F.struct("condition", F.struct("s", "q")))).alias("totals"))
     genes = sums.join(gene_universe(counts), ["project", "gene"])
     # One row per target carrying its handful of tests.
-    packed = tests.groupBy(*TARGET, "role").agg(F.collect_list(F.struct(
-        "stage", "method", "base", "take", "give", "n0", "n1", "r0", "r1")).alias("tests"))
+    packed = tests.groupBy(*TARGET).agg(F.collect_list(F.struct(
+        "stage", "method", "base", "role", "level0", "level1", "take", "give", "n0", "n1", "r0", "r1")).alias("tests"))
     wide = (grid_join(genes, packed, ["project"], "gene", "srr").join(own, [*TARGET, "gene"], "left")
             .withColumn("t", F.explode("tests")))
-    refs = list(REFERENCE_METHODS)
+    wide = wide.withColumns({f"totals{r}": F.try_element_at("totals", F.col(f"t.level{r}")) for r in (0, 1)})
     minus = F.when(F.col("t.take"), _slot([F.col(f"own_{m}") for m in METHODS], F.col("t.base")))
     plus = F.when(F.col("t.give"), _slot([F.col(f"own_{m}") for m in METHODS], F.col("t.method")))
     moved = wide.select(
-        *TARGET, "gene", "role", "t.stage", "t.method", "t.n0", "t.n1", "t.r0", "t.r1",
+        *TARGET, "gene", "t.role", "t.stage", "t.method", "t.n0", "t.n1", "t.r0", "t.r1",
         F.coalesce(minus, zero).alias("minus"), F.coalesce(plus, zero).alias("plus"),
-        *[_slot([F.col(f"{k}{r}_{m}") for m in refs], F.col("t.base")).alias(f"{k}{r}")
+        *[F.coalesce(F.get(F.col(f"totals{r}.{k}"), method_order(F.col("t.base"))), zero).alias(f"{k}{r}")
           for k in ("s", "q") for r in (0, 1)])
     sign = {r: F.col("role") == r for r in (0, 1)}
     change = {}

@@ -346,3 +346,36 @@ def test_pending(spark):
     out = pending(targets, spark.createDataFrame(done, "project string, srr string, method string"),
                   spark.createDataFrame(skips, "project string, srr string, stage string, method string"))
     assert rows(out, "srr") == [("c",), ("e",)]
+
+
+def test_loso_keeps_targets_of_every_condition(spark):
+    from shearmark.plans.loso import loso_tests, scaled_files
+    rng, genes = np.random.default_rng(5), [f"g{i:02d}" for i in range(8)]
+    cond = {("even", f"S{i:02d}"): "abc"[i // 4] for i in range(12)}
+    cond |= {("single", f"S{i}"): "abbbbcccc"[i] for i in range(9)}  # without S0, b is contrasted with c
+    cond |= {("usual", f"S{i:02d}"): ("control", "dose", "treatment")[i // 4] for i in range(12)}
+    counts = {(p, s, m, g): int(rng.poisson(20 + 5 * k)) + 1 for p, s in cond for m in METHODS for k, g in enumerate(genes)}
+    df = settle(spark.createDataFrame([(*k, n) for k, n in counts.items()], "project string, srr string, mode string, gene string, count long"))
+    samples = spark.createDataFrame([(p, s, c) for (p, s), c in cond.items()], "project string, srr string, condition string")
+    got = {(r.project, r.srr, r.stage, r.method, r.gene): (r.log2fc, r.stat) for r in loso_tests(df, scaled_files(df, samples)).collect()}
+    total = {(p, s, m): sum(counts[p, s, m, g] for g in genes) for p, s in cond for m in METHODS}
+    want = {}
+    for project, target in cond:
+        mine = {s: c for (p, s), c in cond.items() if p == project}
+        depth = np.mean([total[project, s, "U"] for s in mine])
+        others = [s for s in mine if s != target]
+        if any(sum(mine[s] == c for s in others) < 3 for c in {mine[s] for s in others}):
+            others = list(mine)
+        tests = [("reference", m, [(s, m) for s in others]) for m in ("U", "A", "P5", "P10")]
+        tests += [("candidate", m, [(s, "U") for s in others] + [(target, m)]) for m in METHODS]
+        for stage, method, cols in tests:
+            names = sorted({mine[s] for s, _ in cols})
+            low, high = ("control", "treatment") if {"control", "treatment"} <= set(names) else names[:2]
+            cols = [c for c in cols if mine[c[0]] in (low, high)]
+            sf = [total[project, s, m] / depth for s, m in cols]
+            for g in genes:
+                want[project, target, stage, method, g] = brute_test(
+                    [counts[project, s, m, g] / f for (s, m), f in zip(cols, sf)], [1 / f for f in sf], [mine[s] for s, _ in cols], low)
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w[:2], abs=1e-9), k
