@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, secret_scan, sharding, simhash, token_counts, token_files, topk, toxicity
+from . import (collocations, exact_dedup, mixing, packing, secret_scan, sharding, simhash, substrings, token_counts, token_files, topk,
+               toxicity, whitening)
 
 QUERIES, ORACLES = {}, {}
 
@@ -82,3 +83,25 @@ def op9_token_files(spark, folder):
 def op10_sharding(spark, folder):
     shards = [f"shard-{n:03d}" for n in range(64)]
     return sharding.assign_shards(table(spark, folder, "documents"), shards, columns=["doc_id"])
+
+
+@query
+def op11_substring_dedup(spark, folder):
+    return substrings.repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
+ORACLES["op11_substring_dedup"] = substrings.ORACLE
+
+
+@query
+def op12_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE
+
+
+@query
+def op13_embedding_whitening(spark, folder):
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
