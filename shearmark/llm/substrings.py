@@ -1,7 +1,7 @@
 """Removal of long word sequences that repeat anywhere in the corpus, by suffix automata over reference shards.
 
-A window is ``window`` words in a row.  Its anchor is the smallest hash among its runs of ``ANCHOR`` words, so equal
-windows have equal anchors.  Consecutive windows of one anchor form a context; a document is cut into contexts, each
+A window is ``window`` words in a row.  Its anchor is the first of its runs of ``ANCHOR`` words with the smallest hash, so
+equal windows have equal anchors.  Consecutive windows with their anchor in one place form a context; a document is cut into contexts, each
 window lying in exactly one.  Only contexts whose anchor occurs at least twice can hold a repeated window: their
 different texts, weighted by the number of their occurrences, are the reference.  It is sharded by anchor, which makes
 one shard enough for any passage: a task builds the suffix automaton of a bounded shard and streams the shard's
@@ -75,13 +75,14 @@ class Words:
 
 
 def minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` values in a row."""
-    have = 1
+    """Where the first least of every ``width`` values in a row lies."""
+    have, at = 1, np.arange(len(values))
     while have < width:
         step = min(have, width - have)
-        values = np.minimum(values[:-step], values[step:])
+        left, right = at[:-step], at[step:]
+        at = np.where(values[left] <= values[right], left, right)
         have += step
-    return values
+    return at
 
 
 def contexts(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -94,18 +95,17 @@ def contexts(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     grams = np.zeros(n - anchor + 1, np.uint64)
     for i in range(anchor):
         grams = grams * np.uint64(_BASE) + words.hashes[i:n - anchor + 1 + i]
-    least = minima(mixed(grams), width)
+    grams = mixed(grams)
+    least = minima(grams, width)
     ends = np.repeat(words.starts[1:], sizes)[:len(least)]
     at = np.flatnonzero(np.arange(len(least)) + window <= ends)  # windows inside one text
     if not len(at):
         return none, none, none, none, none
     low, end = least[at], ends[at]
     new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (end[1:] != end[:-1])])
-    run = np.arange(len(at)) - np.repeat(new, np.diff(np.r_[new, len(at)]))
-    first = np.flatnonzero(run % width == 0)  # no context has more windows than an anchor can have alone
-    count = np.diff(np.r_[first, len(at)])
-    text = np.searchsorted(words.starts, at[first], "right") - 1
-    return text, at[first] - words.starts[text], count, low[first].view(np.int64), words.digest(at[first], at[first] + count + window - 1)
+    count = np.diff(np.r_[new, len(at)])  # at most ``width``: the anchor lies in all of them
+    text = np.searchsorted(words.starts, at[new], "right") - 1
+    return text, at[new] - words.starts[text], count, grams[low[new]].view(np.int64), words.digest(at[new], at[new] + count + window - 1)
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:

@@ -34,6 +34,7 @@ def corpus(seed, vocabulary, n=120):
             parts += rng.choice(shared) if rng.random() < 0.5 else [word() for _ in range(rng.randint(0, 80))]
         texts.append(rng.choice([" ", "  ", "\n", "\x0b\t"]).join(parts) + rng.choice(["", " "]))
     texts += [texts[10], texts[10], texts[20]]
+    texts += [(" ".join(f"q{seed}{k}x{i}" for i in range(p)) + " ") * 5 for k, p in enumerate((3, 9, 20, 40))]  # only in themselves
     texts.append(" ".join(str(i) for i in range(30000)) + " " + " ".join(shared[0] * 3))  # very long
     return texts
 
