@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ GROUP_ROWS = 1_000_000
 SALTS = 32
 GRID_CELLS = 16
 _local_folders: dict[str, str] = {}
+_recorders: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
@@ -42,9 +45,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.settled_path = path
+    for made in _recorders:
+        made.append(table)
     return table
 
 
+@contextmanager
+def recording() -> Iterator[list[DataFrame]]:
+    """The tables settled inside the block, for a caller that discards them when their result has been written."""
+    made: list[DataFrame] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
 def discard(tables: list[DataFrame]) -> None:
     """Delete the files of settled tables that nothing will read again."""
     for table in tables:
