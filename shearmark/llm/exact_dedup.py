@@ -160,7 +160,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spent: list[DataFrame] = []
     dropped = settle(duplicates(rows, "_key", "_text", "_row", spent=spent).filter(~F.col("kept")).select("_row"), "copies")
     discard(spent)
-    left = rows.join(dropped, "_row", "left_anti")
+    left = rows.join(dropped.hint("merge"), "_row", "left_anti")  # the same plan at every size
     return left.select(*[(F.col("_text") if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import join_groups, settle
+from ..runtime import discard, join_groups, settle
 from .tokens import pieces_of
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEEDS = (42, 43)
 BUCKET_ROWS = 4096
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -266,17 +268,18 @@ def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bu
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of all nodes of an undirected edge table (a, b), by large and small stars.
 
-    Every round is written to the shared folder; nothing but one number a round reaches the driver.
+    Every round is written to the shared folder; nothing but one number a round reaches the driver.  The minima are
+    found map-side and written before they are joined back, so that a hub's rows can be split over tasks.
     """
     edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = settle(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m")), "low")
+        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = settle(large, "large_star")
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+        floor = settle(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
+        small = large.join(floor.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                               F.col("m").alias("v")).filter("u <> v").distinct()
         edges = settle(small, "small_star")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -374,50 +377,128 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def similar_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links a, b (rows) that span, in every group, the components of texts of at least this Jaccard similarity.
+def similar_across(sets: list[np.ndarray], labels: list[int], asks: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of different labels: the first ``asks`` sets meet all, and what a link joins is one label from then on."""
+    own = np.unique(np.array(labels), return_inverse=True)[1]
+    if not len(own) or (own == own[0]).all():
+        return []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    known, token = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, out = np.r_[0, np.cumsum(sizes)[:-1]], []
+    for a in range(asks):
+        if (own == own[a]).all():
+            break
+        present = np.zeros(len(known), dtype=np.int64)
+        present[token[starts[a]:starts[a] + sizes[a]]] = 1
+        shared = np.add.reduceat(present[token], starts)
+        for b in np.flatnonzero((own != own[a]) & (shared / (sizes[a] + sizes - shared) >= similarity)).tolist():
+            if own[b] != own[a]:
+                out.append((a, b))
+                own[own == own[b]] = own[a]
+    return out
+
+
+def shingle_sets(members: DataFrame, words: int, kept: list[str]) -> DataFrame:
+    """_row, the other kept columns and h (the bytes of the sorted shingle hashes) of members with their _text."""
+    kinds = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in kept)
 
-    ``members`` (_row, _text, root, blocks): a group of one block is searched in one task; the rows of a larger one
-    are dealt over its blocks, and every pair of blocks is a task of its own.
-    """
     def shingles(batches):
         for batch in batches:
             for part in pieces_of(batch, "_text", 1 << 20):  # a word of two bytes becomes eight
                 texts = pc.fill_null(part.column("_text"), "").cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), part.column("root"), part.column("blocks"),
-                     pa.array([shingle_set(t, words, SEEDS[0]).tobytes() for t in texts], pa.binary())],
-                    names=["_row", "root", "blocks", "h"])
+                    [*[part.column(c) for c in kept], pa.array([shingle_set(t, words, SEEDS[0]).tobytes() for t in texts], pa.binary())],
+                    names=[*kept, "h"])
+
+    return members.select(*kept, "_text").mapInArrow(shingles, f"{kinds}, h binary")
 
-    def searched(ids, sets):
-        pairs = np.array(similar_forest(sets, similarity), dtype=np.int64).reshape(-1, 2)
-        ids = np.array(ids, dtype=np.int64)
+
+def searched_cells(dealt: DataFrame, find) -> DataFrame:
+    """Links a, b that ``find`` (rows of a cell as lists by column) gives in every cell g, in the order of ``o`` inside it."""
+    columns = [c for c in dealt.columns if c not in ("g", "h")]
+
+    def links_of(cell):
+        pairs = np.array(find(cell), dtype=np.int64).reshape(-1, 2)
+        ids = np.array(cell["_row"], dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, i]], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def search(batches):
-        last, ids, sets = None, [], []
+        last, cell = None, None
         for batch in batches:
-            for g, i, h in zip(*[batch.column(c).to_pylist() for c in ("g", "_row", "h")], strict=True):
+            for g, h, *rest in zip(*[batch.column(c).to_pylist() for c in ("g", "h", *columns)], strict=True):
                 if g != last:
-                    if len(ids) > 1:
-                        yield searched(ids, sets)
-                    last, ids, sets = g, [], []
-                ids.append(i)
-                sets.append(np.frombuffer(h, dtype=np.uint64))
-        if len(ids) > 1:
-            yield searched(ids, sets)
-
-    sets = members.mapInArrow(shingles, "_row long, root string, blocks long, h binary")
-    mine, last = F.pmod(F.xxhash64("_row"), F.col("blocks")), F.col("blocks") - 1
-    others = F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), last), mine))
-    dealt = sets.withColumn("_other", F.explode(others)).select(
-        F.xxhash64("root", F.least(mine, "_other"), F.greatest(mine, "_other")).alias("g"), "_row", "h")
-    count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(count, "g").sortWithinPartitions("g").mapInArrow(search, "a long, b long")
+                    if cell is not None and len(cell["_row"]) > 1:
+                        yield links_of(cell)
+                    last, cell = g, {c: [] for c in ("h", *columns)}
+                for c, value in zip(("h", *columns), (np.frombuffer(h, dtype=np.uint64), *rest), strict=True):
+                    cell[c].append(value)
+        if cell is not None and len(cell["_row"]) > 1:
+            yield links_of(cell)
+
+    count = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(count, "g").sortWithinPartitions("g", "o").mapInArrow(search, "a long, b long")
+
+
+def similar_links(members: DataFrame, words: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links a, b (rows) that connect, in every group, the components of texts of at least this Jaccard similarity.
+
+    ``members``: _row, _text, root, blocks.  The rows of a group are dealt over its blocks, and every block gives a
+    spanning forest of its links.  Then neighbouring blocks are compared, where they are not connected yet.  What is left
+    outside its group's largest component is compared with the whole group, in cells of so many such rows and a
+    block.  Two components are linked once however many of their rows are similar, so a dense group has about as many
+    links as rows.
+    """
+    mine = F.pmod(F.xxhash64("_row"), F.col("blocks"))
+    sets = settle(shingle_sets(members, words, ["_row", "root", "blocks"]).withColumn("block", mine), "shingle_sets")
+    inside = sets.select(F.xxhash64("root", "block").alias("g"), F.col("_row").alias("o"), "_row", "h")
+    found = settle(searched_cells(inside, lambda cell: similar_forest(cell["h"], similarity)), "similar")
+    large = sets.filter("blocks > 1")
+    if large.isEmpty():
+        discard([sets])
+        return found
+
+    def labelled(links):
+        roots = components(links).select(F.col("node").alias("_row"), F.col("root").alias("_root"))
+        return large.join(roots.hint("merge"), "_row", "left").withColumn("label", F.coalesce("_root", "_row")).drop("_root")
+
+    def once(links, rows):
+        """One link of every pair of labels."""
+        label = lambda c: rows.select(F.col("_row").alias(c), F.col("label").alias(f"_l{c}"))
+        pairs = links.join(label("a").hint("merge"), "a").join(label("b").hint("merge"), "b")
+        return pairs.groupBy(F.least("_la", "_lb").alias("x"), F.greatest("_la", "_lb").alias("y")).agg(
+            F.min(F.struct("a", "b")).alias("_p")).select("_p.a", "_p.b")
+
+    # ring of blocks: a row asks the next block and is asked by the one before
+    rows = settle(labelled(found), "labelled")
+    turns = F.explode(F.array(F.struct(F.col("block").alias("c"), F.lit(0).alias("o")),
+                              F.struct(F.pmod(F.col("block") - 1, F.col("blocks")).alias("c"), F.lit(1).alias("o"))))
+    ring = rows.select("_row", "root", "h", "label", turns.alias("_t")).select(
+        F.xxhash64("root", "_t.c").alias("g"), "_t.o", "_row", "label", "h")
+    across = lambda cell: similar_across(cell["h"], cell["label"], cell["o"].count(0), similarity)
+    found = settle(found.unionByName(once(settle(searched_cells(ring, across), "ring"), rows)), "similar")
+
+    discard([rows])
+    rows = settle(labelled(found), "labelled")
+    discard([sets])
+    sizes = rows.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    open_ = settle(sizes.filter("others > 0").select("root", "main", F.ceil(F.col("others") / block_rows).alias("askers")), "open_groups")
+    if open_.isEmpty():
+        discard([rows])
+        return found
+    rest = join_groups(rows, open_, ["root"])
+    asks = rest.filter("label <> main").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        F.xxhash64("root", F.pmod(F.xxhash64("_row", F.lit(1)), F.col("askers")), "_b").alias("g"), F.lit(0).alias("o"), "_row", "label", "h")
+    asked = rest.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1))).select(
+        F.xxhash64("root", "_a", "block").alias("g"), F.lit(1).alias("o"), "_row", "label", "h")
+    last = settle(searched_cells(asks.unionByName(asked), across), "outside")
+    found = settle(found.unionByName(once(last, rows)), "similar")
+    discard([rows])
+    return found
 
 
 def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: int = 7, radius: int = 32, text: str = "text",
-                      similarity: float = 0.8, block_rows: int = 256) -> DataFrame:
+                      similarity: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One document of each group, the first, with the columns of ``docs`` whatever their names.
 
     A group is connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
@@ -438,12 +519,13 @@ def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: in
         on = on & (F.col(c) == F.col(f"_{c}"))
     members = settle(worded.join(found, on).select("_row", "n", "root"), "members")
     groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n")).filter("_m > 1")
-    blocks = F.greatest(F.ceil(F.col("_m") / block_rows), F.ceil(F.col("_n") / (1 << 20))).cast("long")
+    blocks = F.greatest(F.ceil(F.col("_m") / block_rows), F.ceil(F.col("_n") / BLOCK_SHINGLES)).cast("long")
     groups = settle(groups.select("root", blocks.alias("blocks")), "groups")
     compared = settle(join_groups(members, groups, ["root"]).select("_row", "root", "blocks"), "compared")
-    pairs = settle(similar_links(rows.select("_row", "_text").join(compared, "_row"), words, similarity), "similar")
-    copies = components(pairs).filter("node <> root").select(F.col("node").alias("_row"))
+    # the same plan at every size; rows of large groups are spread by their number
+    texts = rows.select("_row", "_text").join(compared.hint("merge"), "_row")
+    copies = components(similar_links(texts, words, similarity, block_rows)).filter("node <> root").select(F.col("node").alias("_row"))
     kept = nodes.select("_row").join(copies, "_row", "left_anti")
     dropped = settle(prints.select("_row").join(kept, "_row", "left_anti"), "near_copies")
-    left = rows.join(dropped, "_row", "left_anti")
+    left = rows.join(dropped.hint("merge"), "_row", "left_anti")
     return left.select(*[(F.col("_text") if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns])

@@ -175,6 +175,68 @@ def test_secret_spans(spark):
     assert secret_scan.digest(secret_scan.scan(frame.limit(0))).count() == 0
 
 
+def pair_weights(samples):
+    """Ratios by character pair, straight from the definition."""
+    n = len(secret_scan.ALPHABET) + 1
+    logs = []
+    for label in (0, 1):
+        table = np.zeros((n, n))
+        for text, own in samples:
+            codes = [secret_scan.ALPHABET.find(c) + 1 for c in text]
+            for a, b in zip(codes, codes[1:]):
+                table[a, b] += own == label
+        single = (table.sum(axis=0) + 1) / (table.sum() + n)
+        logs.append(np.log((table + secret_scan.BACKOFF * single) / (table.sum(axis=1, keepdims=True) + secret_scan.BACKOFF)))
+    return np.clip(logs[1] - logs[0], -secret_scan.CLIP, secret_scan.CLIP)
+
+
+def test_markov_spans_equal_brute_force(spark):
+    """Runs of all lengths, beside and around base spans, against a plain version of the models and of the cutting."""
+    rnd = random.Random(18)
+    some = lambda k: "".join(rnd.choices(secret_scan.ALPHABET, k=k))
+    words = ["configuration", "identifier", "parameter_name", "connectionHandler", "maximum_length", "responseStatus"]
+    samples = [(some(24), 1) for _ in range(200)] + [(a + b, 0) for a in words for b in words]
+    pieces = [lambda: some(rnd.randrange(1, 40)), lambda: rnd.choice(words), lambda: "0123456789abcdef" * 2 + some(rnd.randrange(12)),
+              lambda: some(10) + "AKIA" + "ABCDEFGH" * 2, lambda: "token=" + some(rnd.randrange(4, 30)), lambda: rnd.choice([".", " ", "é", "\n"])]
+    rows = [(i, "".join(rnd.choice(pieces)() + rnd.choice(["", " ", "."]) for _ in range(rnd.randrange(12))), "s") for i in range(150)]
+    rows += [(1000, None, "s"), (1001, "", "s"), (1002, " ".join(some(17) for _ in range(3000)), "s")]
+    weights, threshold = pair_weights(samples), secret_scan.THRESHOLD
+    got = {g.doc_id: g for g in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string"),
+                                                 samples=spark.createDataFrame(samples, "text string, label int")).collect()}
+    hits = 0
+    for i, text, _ in rows:
+        base = {(a, e) for a, _, e in base_of(text or "")}
+        taken = {p for a, e in base for p in range(a, e)}
+        want = []
+        for run in re.finditer("[A-Za-z0-9+/_=-]+", text or ""):
+            at = run.start()
+            while at < run.end():
+                end = at
+                while end < run.end() and end not in taken:
+                    end += 1
+                codes = [secret_scan.ALPHABET.find(c) + 1 for c in text[at:end]]
+                score = sum(weights[a, b] for a, b in zip(codes, codes[1:]))
+                assert abs(score - threshold) > 1e-9
+                if score >= threshold and run.end() - run.start() >= secret_scan.SHORTEST:
+                    want.append((at, end))
+                at = max(end, at) + 1 if end in taken or end == run.end() else end
+        mine = [(s.start, s.end) for s in got[i].spans if s.kind == 3]
+        assert mine == want, text
+        assert all(text[s.start:s.end] == s.text for s in got[i].spans if s.kind == 3)
+        hits += len(mine)
+    assert hits > 300
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+    text = " ".join(f"{i:032x}" for i in range(32000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    samples = spark.createDataFrame([("aZ9" * 9, 1), ("some_name", 0)], "text string, label int")
+    start = time.time()
+    row = secret_scan.digest(secret_scan.scan(frame, samples=samples)).collect()[0]
+    assert row.n_hex == 32000 and time.time() - start < 30
+
+
 def toxic_corpus(n=900):
     rnd = random.Random(9)
     words, bad = [f"{a}{b}" for a in "bcdfghklm" for b in ("an", "ode", "ist", "ura", "elle")], ["grubwort", "schnodd", "zilkmar", "pornack"]

@@ -177,3 +177,19 @@ def test_forest_of_similar_sets_spans_their_components():
                 label[:] = [new if x == old else x for x in label]
         groups = lambda label: {tuple(i for i in range(n) if label[i] == x) for x in label}
         assert groups(got) == groups(want)
+
+
+def test_links_of_a_dense_group_grow_with_its_rows(spark):
+    rnd, base = random.Random(5), [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(1200):
+        other = list(base)
+        other[rnd.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(base if i % 3 else other), 7, 1200 // 64))
+    loners = [(2000 + i, " ".join(f"y{i}z{k}" for k in range(30)), 7, 1200 // 64) for i in range(20)]
+    pair = [(3000, " ".join(f"p{k}" for k in range(60)), 7, 1200 // 64), (3001, " ".join(f"p{k}" for k in range(58)), 7, 1200 // 64)]
+    members = spark.createDataFrame(rows + loners + pair, "_row long, _text string, root long, blocks long")
+    links = simhash.similar_links(members, 5, 0.8, 64)
+    assert links.count() < 2 * len(rows)
+    got = {(r.node, r.root) for r in simhash.components(links).collect()}
+    assert got == {(i, 0) for i in range(1200)} | {(3000, 3000), (3001, 3000)}
