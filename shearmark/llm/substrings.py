@@ -12,8 +12,7 @@ sending every shard to every document, which would be quadratic.
 An anchor of very many different contexts (the edge of a passage that much of the corpus quotes) is no shard: its
 windows are counted one by one, equal ones before the shuffle, and go to shards by their own hash.
 
-Rows are known by a hash of their text, since equal texts lose the same words; what is looked up by it is compared
-with the hash of the context in question before use.
+Rows are known by the MD5 of their text, since equal texts lose the same words.
 """
 
 from __future__ import annotations
@@ -118,7 +117,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     [part.column("t").take(pa.array(text)), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(a), pa.array(c)],
                     names=["t", "at", "n", "a", "c"])
 
-    return docs.mapInArrow(scan, "t long, at int, n int, a long, c long")
+    return docs.mapInArrow(scan, "t binary, at int, n int, a long, c long")
 
 
 class Automaton:
@@ -188,7 +187,7 @@ def repeated(passages: DataFrame, window: int, shard_words: int = SHARD_WORDS) -
     def shard(rows):
         automaton, known, coded = Automaton(), {}, []
         for *_, m, text in rows:
-            words = [known.setdefault(w, len(known)) for w in text.split(" ")]
+            words = [known.setdefault(w, len(known)) for w in text.split(b" ")]
             coded.append(words)
             automaton.add(words, m)
         automaton.close()
@@ -226,39 +225,31 @@ def cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for part in pieces_of(batch, "_text", SLICE):
-                words = Words(part.column("_text"))
                 out = [[] for _ in range(7)]
-                for i, marks in enumerate(part.column("marks").to_pylist()):
-                    start, end = int(words.starts[i]), int(words.starts[i + 1])
-                    marks = [m for m in marks if start + m["at"] + m["n"] + window - 1 <= end]
-                    if not marks:
-                        continue
-                    own = words.flat.slice(start, end - start).to_pylist()
-                    first = np.array([m["at"] for m in marks]) + start
-                    found = words.digest(first, first + np.array([m["n"] for m in marks]) + window - 1)
-                    for m, c in zip(marks, found.tolist(), strict=True):
-                        if c != m["c"]:  # of another text with the same hash
-                            continue
-                        spans = [(m["a"], -1, m["at"], m["at"] + m["n"] + window - 1)]
+                for text, marks in zip(part.column("_text").cast(pa.binary()).to_pylist(), part.column("marks").to_pylist(), strict=True):
+                    own = text.split()
+                    for m in marks:
+                        first, count, rest = m["at"], m["n"], (m["a"], m["c"], m["n"])
                         if m["heavy"]:
-                            s = np.arange(m["at"], m["at"] + m["n"])
-                            hashes = words.digest(s + start, s + start + window).tolist()
-                            spans = [(h, k, m["at"] + k, m["at"] + k + window) for k, h in enumerate(hashes)]
-                        for g, off, a, b in spans:
-                            for column, value in zip(out, (g, m["a"], m["c"], m["n"], off, m["m"], " ".join(own[a:b])), strict=True):
+                            cuts = [b" ".join(own[first + k:first + k + window]) for k in range(count)]
+                            spans = [(xxhash.xxh3_64_intdigest(cut) - (1 << 63), k, cut) for k, cut in enumerate(cuts)]
+                        else:
+                            spans = [(m["a"], -1, b" ".join(own[first:first + count + window - 1]))]
+                        for g, off, cut in spans:
+                            for column, value in zip(out, (g, *rest, off, m["m"], cut), strict=True):
                                 column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
                                                  names=["g", "a", "c", "n", "off", "m", "text"])
 
     found = docs.join(wanted.hint("merge"), "t").select("_text", "marks").mapInArrow(
-        scan, "g long, a long, c long, n int, off int, m long, text string")
+        scan, "g long, a long, c long, n int, off int, m long, text binary")
     # copies of a text give the same passages
     return found.groupBy("g", "a", "c", "n", "off").agg(F.first("m").alias("m"), F.first("text").alias("text"))
 
 
 def marks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, heavy: int = HEAVY) -> DataFrame:
-    """t and marks (at, n, c, mask) of the texts with a repeated window; ``docs``: t, _text."""
+    """t and marks (at, n, mask) of the texts with a repeated window; ``docs``: t, _text."""
     every = settle(anchors(docs, window, anchor), "anchors")
     twice = settle(every.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("a"), "repeated_anchors")
     some = settle(every.join(twice.hint("merge"), "a"), "candidates")
@@ -277,55 +268,57 @@ def marks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, heavy: in
     hot = passages.filter("off >= 0").select("g", "a", "c", "n", "off").join(hot.hint("merge"), ["a", "g"]).groupBy(
         "a", "c", "n").agg(F.expr("bit_or(shiftleft(1L, off))").alias("mask"))
     masks = settle(found.filter("n > 0").unionByName(hot), "all_masks")
-    return settle(some.join(masks.hint("merge"), ["a", "c", "n"]).select("t", "at", "n", "c", "mask").distinct().groupBy("t").agg(
-        F.collect_list(F.struct("at", "n", "c", "mask")).alias("marks")), "marks")
-
-
-def with_spans(docs: DataFrame, text: str, window: int = WINDOW, **how) -> DataFrame:
-    """``docs`` with _spans (start, end in words: the maximal runs to remove), _n_words, _n_removed and _kept (text left)."""
-    def spans_of(found, words, start, end):
-        cover = np.zeros(end - start + 1, np.int64)
-        found = [m for m in found if start + m["at"] + m["n"] + window - 1 <= end]
-        if found:
-            first = np.array([m["at"] for m in found]) + start
-            same = words.digest(first, first + np.array([m["n"] for m in found]) + window - 1)
-            for m, c in zip(found, same.tolist(), strict=True):
-                if c == m["c"]:
-                    at = m["at"] + np.flatnonzero((m["mask"] >> np.arange(m["n"])) & 1)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+    return settle(some.join(masks.hint("merge"), ["a", "c", "n"]).select("t", "at", "n", "mask").distinct().groupBy("t").agg(
+        F.collect_list(F.struct("at", "n", "mask")).alias("marks")), "marks")
+
+
+def null_name(docs: DataFrame) -> str:
+    """A name that no column has."""
+    return max(docs.columns, key=len) + "_"
+
+
+def with_spans(docs: DataFrame, text: str, window: int = WINDOW, whole: bool = True, **how) -> DataFrame:
+    """_doc (the other columns), _spans (start, end in words: the maximal runs to remove), _n_words, _n_removed, _sha (of the
+    kept words) and, if ``whole``, the text and the words _kept."""
+    def spans_of(found, n):
+        cover = np.zeros(n + 1, np.int64)
+        for m in found:
+            at = m["at"] + np.flatnonzero((m["mask"] >> np.arange(m["n"])) & 1)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + window, -1)
         inside = np.cumsum(cover)[:-1] > 0
-        edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
-        return inside, edge.reshape(-1, 2)
+        return inside, np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8))).reshape(-1, 2)
 
     def scan(batches):
         for batch in batches:
             for part in pieces_of(batch, "_text", SLICE):
-                found, texts = part.column("marks").to_pylist(), part.column("_text")
-                some = np.flatnonzero([bool(m) for m in found])
-                words, at = Words(texts.take(pa.array(some))), dict(zip(some.tolist(), range(len(some)), strict=True))
-                spans, n_words, removed, kept = [], [], [], []
-                for i, t in enumerate(texts.cast(pa.binary()).to_pylist()):
-                    own, inside, runs = t.split(), None, []
-                    if i in at:
-                        inside, runs = spans_of(found[i], words, int(words.starts[at[i]]), int(words.starts[at[i] + 1]))
+                spans, n_words, removed, kept, digest = [], [], [], [], []
+                for t, found in zip(part.column("_text").cast(pa.binary()).to_pylist(), part.column("marks").to_pylist(), strict=True):
+                    own, runs = t.split(), []
                     n_words.append(len(own))
-                    removed.append(int(inside.sum()) if inside is not None else 0)
+                    if found:
+                        inside, runs = spans_of(found, len(own))
+                        own = [w for w, gone in zip(own, inside.tolist(), strict=True) if not gone]
+                    removed.append(n_words[-1] - len(own))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in runs])
-                    kept.append(b" ".join(own if not removed[-1] else [w for w, gone in zip(own, inside.tolist(), strict=True) if not gone]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_doc"), texts, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                     pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
-                     pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                    names=["_doc", "_text", "_spans", "_n_words", "_n_removed", "_kept", "_sha"])
-
-    own = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(own).alias("t"), own.alias("_text"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias("_null")).alias("_doc"))
+                    left = b" ".join(own)
+                    digest.append(hashlib.sha256(left).hexdigest())
+                    if whole:
+                        kept.append(left)
+                columns = {"_doc": part.column("_doc"), "_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                           "_n_words": pa.array(n_words, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_sha": pa.array(digest)}
+                if whole:
+                    columns |= {"_text": part.column("_text"), "_kept": pa.array(kept, pa.binary()).cast(pa.string())}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    own, null = F.coalesce(F.col(text), F.lit("")), null_name(docs)
+    rows = docs.select(F.unhex(F.md5(own)).alias("t"), own.alias("_text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias(null)).alias("_doc"))
     found = marks(rows.select("t", "_text"), window, **how)
     kind = rows.schema["_doc"].dataType.simpleString()
     return rows.join(found.hint("merge"), "t", "left").select("_doc", "_text", "marks").mapInArrow(
-        scan, f"_doc {kind}, _text string, _spans array<struct<start:int,end:int>>, _n_words long, _n_removed long, _kept string, _sha string")
+        scan, f"_doc {kind}, _spans array<struct<start:int,end:int>>, _n_words long, _n_removed long, _sha string"
+        + ", _text string, _kept string" * whole)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **how) -> DataFrame:
@@ -337,15 +330,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = with_spans(rows, "text", window, **how)
+    out = with_spans(rows, "text", window, False, **how)
     return out.select(F.col("_doc.key").alias(key), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
                       F.col("_sha").alias("kept_sha256"), F.col("_spans").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, **how) -> DataFrame:
     """``docs`` whose texts have lost their repeated words; texts that lose none stay as they are, null stays null."""
-    out = with_spans(docs, text, window, **how)
-    left = F.when(F.col("_doc._null"), None).when(F.col("_n_removed") == 0, F.col("_text")).otherwise(F.col("_kept"))
+    out = with_spans(docs, text, window, True, **how)
+    left = F.when(F.col("_doc").getField(null_name(docs)), None).when(F.col("_n_removed") == 0, F.col("_text")).otherwise(F.col("_kept"))
     return out.select(*[(left if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from shearmark.llm import substrings
 
-SCHEMA = "doc_id long, text string, t string, _doc string, marks int"
+SCHEMA = "doc_id long, text string, t string, _null string, marks int"
 
 
 def brute(texts, window):
