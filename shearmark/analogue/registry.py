@@ -529,7 +529,7 @@ query("W6_bh_adjust_spread", f"""SELECT l_orderkey, n, g, {r6('p')} AS p, {r6("l
 query("A4_stage_summary_spread", f"""SELECT g, count(*) AS rows_in, {r6('avg(v)')} AS mean_v, {r6('quantile_cont(v, 0.25)')} AS q1_v,
     {r6('median(v)')} AS median_v, {r6('median(p)')} AS median_p FROM {SPREAD} s GROUP BY g""")(lambda t: O.summarise(
         spread(t), ["g"], {"q1_v": ("v", 0.25), "median_v": ("v", 0.5), "median_p": ("p", 0.5)},
-        [F.count(F.lit(1)).alias("rows_in"), F.avg("v").alias("mean_v")], limit=1))
+        [F.count(F.lit(1)).alias("rows_in"), F.avg("v").alias("mean_v")], leaf=1))
 query("W7_first_sign", """SELECT project, gene, min_by(CAST(sign(stat) AS INTEGER), ord) AS first_sign FROM diff
     JOIN modes ON method = diff.mode WHERE abs(stat) > 1.0 GROUP BY 1, 2""")(lambda t: O.first_sign(
         project_diff(t), ["project", "gene"], "stat", method_order(F.col("mode")), 1.0))
@@ -624,8 +624,8 @@ query("ST9_profile_similarity", f"SELECT project, srr, pair, {r6('pear')} AS pea
 
 def trend_sql(src: str) -> str:
     return f"""WITH src AS ({src}), ends AS (SELECT floor(min(x)) AS lo, ceil(max(x)) AS hi FROM src),
-        med AS (SELECT method, greatest(ceil(x - lo), 1)::INTEGER AS bin, median(y) AS m, count(*) AS n FROM src, ends GROUP BY 1, 2),
-        grid AS (SELECT DISTINCT method, unnest(range(1, greatest(hi - lo, 1)::BIGINT + 1))::INTEGER AS bin, lo FROM src, ends)
+        med AS (SELECT method, greatest(ceil(x - lo), 1)::BIGINT AS bin, median(y) AS m, count(*) AS n FROM src, ends GROUP BY 1, 2),
+        grid AS (SELECT DISTINCT method, unnest(range(1, greatest(hi - lo, 1)::BIGINT + 1))::BIGINT AS bin, lo FROM src, ends)
         SELECT g.method, g.bin, {r6('m')} AS spearman, coalesce(n, 0) AS n,
         {r6('lo + g.bin - 0.5 - CASE WHEN g.bin = 1 THEN 0.0005 ELSE 0 END')} AS mid
         FROM grid g LEFT JOIN med ON med.method = g.method AND med.bin = g.bin"""
@@ -647,6 +647,22 @@ def _trend(t):
 
 
 query("ST10_binned_trend", TREND)(_trend)
+
+
+@query("ST10_binned_trend_wide", f"""WITH src AS (SELECT l_returnflag AS g, CASE WHEN l_orderkey % 997 = 0 THEN 3e9 + l_partkey ELSE 1 + l_partkey % 900 END::DOUBLE AS x,
+    l_quantity::DOUBLE AS y FROM lineitem), ends AS (SELECT floor(min(x)) AS lo, ceil(max(x)) AS hi FROM src),
+    med AS (SELECT g, greatest(ceil(x - lo), 1)::BIGINT AS bin, median(y) AS m, count(*) AS n FROM src, ends GROUP BY 1, 2),
+    nxt AS (SELECT g, bin, lead(bin) OVER (PARTITION BY g ORDER BY bin) AS nb FROM (SELECT g, bin FROM med UNION ALL SELECT DISTINCT g, 0 FROM src)),
+    runs AS (SELECT g, bin, bin AS last_bin, m, n FROM med UNION ALL
+        SELECT g, bin + 1, coalesce(nb, greatest(hi - lo, 1)::BIGINT + 1) - 1, NULL, 0 FROM nxt, ends WHERE coalesce(nb, greatest(hi - lo, 1)::BIGINT + 1) > bin + 1)
+    SELECT g, bin, last_bin, {r6('m')} AS y, n, {r6('lo + (bin + last_bin) / 2.0::DOUBLE - 0.5 - CASE WHEN bin = 1 THEN 0.0005 ELSE 0 END')} AS mid FROM runs, ends""")
+def trend_wide(t):
+    """A column that holds small numbers and numbers beyond 32 bits: bins of width one, empty ones as runs."""
+    rows = t.lineitem.select(F.col("l_returnflag").alias("g"), F.when(F.col("l_orderkey") % 997 == 0, F.lit(3e9) + F.col("l_partkey"))
+                             .otherwise(1 + F.col("l_partkey") % 900).cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    return ST.binned_trend(rows, "x", "y", ["g"], expand=False)
+
+
 HIST = f"""WITH ends AS (SELECT least(min(Q_mean), min(terminal_q_mean)) - 0.5 AS lo,
     (greatest(max(Q_mean), max(terminal_q_mean)) + 0.5 - (least(min(Q_mean), min(terminal_q_mean)) - 0.5)) / 29.0::DOUBLE AS w FROM qfull),
     vals AS (SELECT 'Q_mean' AS variable, Q_mean AS v FROM qfull UNION ALL SELECT 'terminal_q_mean', terminal_q_mean FROM qfull),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import settle, small_side
+from ..runtime import BROADCAST_ROWS, settle, small_side
 from ..schemas import MIN_RANKED_GENES, SET_SIZE
 from .ordering import rank_list
 
 
+RANK_CELLS = 10_000_000  # of four bytes
+
+
 def set_members(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     """Ranked genes joined to the sets they belong to; the set table is broadcast if its count allows."""
     return ranked.join(small_side(sets.select(F.col("set_name").alias("pathway"), "gene")), "gene")
@@ -64,17 +67,33 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def permutation_ranks(genes: DataFrame, n_perm: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(gene, gid) with numbers from 0, and (perm, ranks): the place of every gid in each permutation of all genes.
+
+    Permutation b orders the genes by md5(gene|b|seed), so it is the same on every run and in every engine.  All tests
+    share this table; the genes of a test keep their order in it.  A window spans the gene catalogue.
+    """
+    numbered = settle(genes.select("gene").filter(F.col("gene").isNotNull()).distinct().withColumn(
+        "gid", (F.row_number().over(Window.orderBy("gene")) - 1).cast("int")), "gene_numbers")
+    keyed = numbered.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn(
+        "key", F.md5(F.concat(F.col("gene"), F.lit("|"), F.col("perm").cast("string"), F.lit(f"|{seed}"))))
+    place = (F.row_number().over(Window.partitionBy("perm").orderBy("key", "gene")) - 1).cast("int")
+    ranked = keyed.select("perm", "gid", place.alias("rank"))
+    ranks = ranked.groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("gid", "rank"))).alias("_r"))
+    return numbered, settle(ranks.select("perm", F.col("_r.rank").alias("ranks")), "permutations")
+
+
 def enrich_prerank(results: DataFrame, sets: DataFrame, by: list[str], n_perm: int = 100, seed: int = 42,
-                   size: tuple[int, int] = SET_SIZE, min_genes: int = MIN_RANKED_GENES) -> DataFrame:
+                   size: tuple[int, int] = SET_SIZE, min_genes: int = MIN_RANKED_GENES,
+                   table_cells: int = RANK_CELLS) -> DataFrame:
     """ES and NES of every set in every test (``by``) with enough non-zero statistics.
 
-    Null: permutation b places the genes in the order of md5(gene|b|seed), so
-    it is the same on every run and in every engine.  NES = ES over the mean
-    absolute null ES of the same sign.
+    Null: the genes of a test in the order of ``permutation_ranks``.  NES = ES over the mean absolute null ES of the
+    same sign.
 
-    The permutations need no shuffle: a test's rank list (bounded by the gene
-    catalogue) becomes one row of arrays, and each permutation is an array
-    sort within that row.
+    A test's rank list (bounded by the gene catalogue) becomes one row of arrays.  The rank table of all tests is
+    attached to it, by broadcast while it has at most ``table_cells`` numbers, else by the permutation's number, and each
+    permutation is two sorts of whole numbers within the row: (rank, place) and back.
     """
     ranked = settle(rank_list(results.select(*by, "gene", "stat"), by, min_genes=min_genes)
                     .withColumn("weight", F.abs("stat")).drop("stat"), "ranked")
@@ -83,27 +102,30 @@ def enrich_prerank(results: DataFrame, sets: DataFrame, by: list[str], n_perm: i
         *by, "pathway", "pos", "n_genes", "weight"), "hits")
     observed = running_score(hits, by)
 
-    lists = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "gene", "weight"))).alias("r"))
+    numbers, ranks = permutation_ranks(ranked, n_perm, seed)
+    n_genes = numbers.count()
+    numbers = F.broadcast(numbers) if n_genes <= BROADCAST_ROWS else numbers
+    lists = ranked.join(numbers, "gene").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "gid", "weight"))).alias("r"))
     per_set = hits.groupBy(*by, "pathway").agg(F.collect_list("pos").alias("members"))
     per_test = per_set.groupBy(*by).agg(F.collect_list(F.struct("pathway", "members")).alias("sets"))
     # The array work outweighs the bytes by far.  Hashing an expression asks for a partitioning of its own,
     # which is neither dropped as redundant nor coalesced by size.
     parts = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.join(per_test, by).repartition(parts, F.xxhash64(*by)).select(
-        *by, "sets", F.col("r.gene").alias("genes"), F.col("r.weight").alias("weights"))
-    perm = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    suffix = F.concat(F.lit("|"), F.col("perm").cast("string"), F.lit(f"|{seed}"))
-    perm = _once(perm, "suffix", suffix)
-    order = F.sort_array(F.transform("genes", lambda g, k: F.struct(
-        F.md5(F.concat(g, F.col("suffix"))).alias("key"), k.alias("k"))))
+        *by, "sets", F.col("r.gid").alias("gids"), F.col("r.weight").alias("weights"))
+    ranks = F.broadcast(ranks) if n_genes * n_perm <= table_cells else ranks.hint("merge")
+    perm = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).join(ranks, "perm")
+    low = (1 << 32) - 1
+    order = F.sort_array(F.transform("gids", lambda g, k: F.shiftleft(F.get("ranks", g).cast("long"), 32) + k))
+    perm = _once(perm, "order", order)
     # place[k] is the null position of the gene at observed position k + 1.
-    place = F.sort_array(F.transform(order, lambda o, i: F.struct(o["k"].alias("k"), (i + 1).alias("pos"))))["pos"]
-    perm = _once(perm, "place", place)
+    back = F.sort_array(F.transform("order", lambda o, i: F.shiftleft(o.bitwiseAND(F.lit(low)), 32) + i + 1))
+    perm = _once(perm, "place", F.transform(back, lambda b: b.bitwiseAND(F.lit(low)).cast("int")))
     at = lambda p: F.get("place", p - 1)
-    hit = lambda p: F.struct(at(p).alias("pos"), F.get("weights", at(p) - 1).alias("w"))
-    scored = perm.select(*by, F.size("genes").alias("n"), F.explode(F.transform("sets", lambda s: F.struct(
-        s["pathway"].alias("pathway"), F.sort_array(F.transform(s["members"], hit)).alias("hits")))).alias("e"))
-    scored = _once(scored.select(*by, "n", "e.*"), "total", F.aggregate("hits", F.lit(0.0), lambda t, h: t + h["w"]))
+    scored = perm.select(*by, "weights", "place", F.size("gids").alias("n"), F.explode("sets").alias("s")).select(
+        *by, "weights", "n", "s.pathway", F.sort_array(F.transform("s.members", at)).alias("at"))
+    scored = _once(scored, "hits", F.transform("at", lambda p: F.struct(p.alias("pos"), F.get("weights", p - 1).alias("w"))))
+    scored = _once(scored.select(*by, "n", "pathway", "hits"), "total", F.aggregate("hits", F.lit(0.0), lambda t, h: t + h["w"]))
     scored = _once(scored, "ends", _ends(F.col("hits"), F.col("total"), F.col("n")))
     scored = scored.select(*by, "pathway", _peak(F.col("ends.up"), F.col("ends.down")).alias("es"))
     null = scored.groupBy(*by, "pathway").agg(

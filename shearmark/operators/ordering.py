@@ -1,9 +1,12 @@
 """Exact order statistics that do not depend on a group fitting in one task.
 
-Every function counts its largest group first.  While that fits, Spark's own
-window or ``percentile`` runs.  Beyond it the distinct values are counted,
-range-partitioned over the whole cluster and numbered by two-level prefix sums,
-so a group with a third of all rows is spread like any other data.
+Quantiles come from histograms of leading digits, which are merged map-side: the digit that holds a quantile's rank is
+counted again by its next digits, until it is one value or few enough to be sorted.  All groups, columns and
+quantiles go through the same passes.
+
+Ranks count their largest group first.  While that fits, a window runs.  Beyond it the distinct values are counted,
+range-partitioned over the whole cluster and numbered by two-level prefix sums, so a group with a third of all rows is
+spread like any other data.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_ROWS, GROUP_ROWS, join_groups, largest_group, settle
 
+LEAF_VALUES = 4096
+DIGITS = 4096
+
 
 def cumulate(values: DataFrame, by: list[str], order: list[str], weight: str = "n") -> DataFrame:
     """Add ``below`` (weight before the row in its group) and ``total`` (weight of the group).
@@ -37,42 +43,113 @@ def cumulate(values: DataFrame, by: list[str], order: list[str], weight: str = "
             .drop("_offset"))
 
 
+def first_digit(v: Column) -> Column:
+    """Number of a double's first digit in ascending order: sign and binary logarithm in steps of 1/64.
+
+    Zero is 0, infinities and NaN (which Spark sorts last) have digits of their own.  The logarithm is monotone, so
+    digits are in the order of values whatever its rounding.
+    """
+    size = F.floor(F.log2(F.abs(v)) * 64).cast("int") + 70_000  # from 2**-1074 to 2**1024: positive
+    return (F.when(F.isnan(v), 200_000).when(v == float("inf"), 190_000).when(v == float("-inf"), -190_000)
+            .when(v == 0, 0).when(v > 0, size).otherwise(-size))
+
+
+def select_ranks(long: DataFrame, keys: list[str], wanted: list[tuple[int, float]], leaf: int) -> DataFrame:
+    """(keys, _q, _part, value, _w): per quantile the values at the ranks below and above it, and its weight between them.
+
+    ``long`` has (keys, _col, _v) with non-null values; ``wanted`` the (column number, probability) of every quantile.
+    A task sees counts of digits, and at most ``leaf`` values of one digit.
+    """
+    group = Window.partitionBy(*keys, "_col")
+    digits = long.groupBy(*keys, "_col", first_digit(F.col("_v")).alias("_d")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    return refined(long, keys, placed(digits, group, wanted), leaf)
+
+
+def placed(digits: DataFrame, group, wanted: list[tuple[int, float]]) -> DataFrame:
+    """The digits (_col, _d, _n, _lo, _hi and keys) that hold the ranks of the wanted quantiles, with the rank inside (_k)."""
+    upto = group.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # some thousand digits at most
+    counted = digits.withColumns({"_below": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_total": F.sum("_n").over(group)})
+    ranks = []
+    for q, (c, p) in enumerate(wanted):
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        ranks += [F.struct(F.lit(c).alias("_c"), F.lit(q).alias("_q"), F.lit(part).alias("_part"), (h - F.floor(h)).alias("_w"),
+                           r.cast("long").alias("_k")) for part, r in ((0, F.floor(h)), (1, F.ceil(h)))]
+    hit = counted.withColumn("_r", F.explode(F.filter(F.array(*ranks), lambda r: (r["_c"] == F.col("_col")) & (
+        r["_k"] >= F.col("_below")) & (r["_k"] < F.col("_below") + F.col("_n")))))
+    return hit.withColumns({"_q": F.col("_r._q"), "_part": F.col("_r._part"), "_w": F.col("_r._w"),
+                            "_k": F.col("_r._k") - F.col("_below")}).drop("_r", "_below", "_total", "_d")
+
+
+def refined(long: DataFrame, keys: list[str], found: DataFrame, leaf: int) -> DataFrame:
+    """Values at the ranks that ``placed`` has found the digits of; only rows of digits that hold more than one value are read."""
+    place = ["_q", "_part", "_w"]
+    found = settle(found, "digits")
+    one = F.col("_lo") == F.col("_hi")
+    done = found.filter(one).select(*keys, *place, F.col("_lo").alias("value"))
+    open_ = found.filter(~one)
+    while not open_.isEmpty():
+        ranges = settle(open_.select(*keys, "_col", "_lo", "_hi", "_n").distinct(), "ranges")
+        inside = join_groups(long, ranges, [*keys, "_col"]).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        few = F.col("_n") <= leaf
+        step = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * DIGITS)  # splits lo from hi in any case
+        digits = inside.groupBy(*keys, "_col", "_lo", "_hi", F.when(few, 0).otherwise(F.least(step, F.lit(DIGITS - 1))).alias("_d")).agg(
+            F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_l"), F.max("_v").alias("_h"),
+            F.sort_array(F.collect_list(F.when(few, F.col("_v")))).alias("_vs"))
+        span = Window.partitionBy(*keys, "_col", "_lo", "_hi").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+        digits = settle(digits.withColumn("_below", F.coalesce(F.sum("_m").over(span), F.lit(0))), "digits")
+        hit = join_groups(open_, digits, [*keys, "_col", "_lo", "_hi"]).filter(
+            (F.col("_k") >= F.col("_below")) & (F.col("_k") < F.col("_below") + F.col("_m")))
+        value = F.when(F.size("_vs") > 0, F.get("_vs", F.col("_k").cast("int"))).when(F.col("_l") == F.col("_h"), F.col("_l"))
+        found = settle(hit.select(*keys, "_col", *place, value.alias("value"), (F.col("_k") - F.col("_below")).alias("_k"),
+                                  F.col("_m").alias("_n"), F.col("_l").alias("_lo"), F.col("_h").alias("_hi")), "digits")
+        done = done.unionByName(found.filter("value is not null").select(*keys, *place, "value"))
+        open_ = found.filter("value is null").drop("value")
+    return done
+
+
+def interpolated(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """One row per group from ``refined``: every quantile between its two values."""
+    picks = []
+    for q, name in enumerate(names):
+        low, high = (F.max(F.when((F.col("_q") == q) & (F.col("_part") == part), F.col("value"))) for part in (0, 1))
+        weight = F.max(F.when(F.col("_q") == q, F.col("_w")))
+        picks.append(F.when(low == high, low).otherwise(low + (high - low) * weight).alias(name))
+    return found.groupBy(*keys).agg(*picks)
+
+
 def summarise(df: DataFrame, by: list[str], quantiles: dict[str, tuple[str, float]],
-              aggs: list[Column] = (), limit: int = GROUP_ROWS) -> DataFrame:
+              aggs: list[Column] = (), leaf: int = LEAF_VALUES) -> DataFrame:
     """One row per group: ``aggs`` plus exact, linearly interpolated quantiles.
 
-    ``quantiles`` maps an output name to (column, probability); null values are
-    skipped and null keys form a group of their own.
+    ``quantiles`` maps an output name to (column, probability); null values are skipped and null keys form a group of
+    their own.  ``df`` is evaluated once and written; the passes read its columns.
     """
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
-    if largest_group(source, keys) <= limit:
-        # One value map per column, whatever the number of its quantiles.
-        probs = {c: sorted({p for k, p in quantiles.values() if k == c}) for c, _ in quantiles.values()}
-        maps = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in ps])).alias(f"_q_{c}") for c, ps in probs.items()]
-        out = df.groupBy(*by).agg(*aggs, *maps)
-        picked = {n: F.get(F.col(f"`_q_{c}`"), F.lit(probs[c].index(p))) for n, (c, p) in quantiles.items()}
-        return out.withColumns(picked).drop(*[f"_q_{c}" for c in probs])
+    if not hasattr(df, "settled_path"):
+        source = settle(source, "summarised")
     cols = sorted({c for c, _ in quantiles.values()})
     long = source.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_e")
+        F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])).alias("_e")
     ).select(*keys, "_e.*").filter(F.col("_v").isNotNull())
-    values = long.groupBy(*keys, "_col", "_v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = cumulate(values, [*keys, "_col"], ["_v"])
-    picks = []
-    for i, (c, p) in enumerate(quantiles.values()):
-        h = (F.col("total") - 1) * F.lit(p)
-        mine = F.col("_col") == c
-        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = mine & (F.col("below") <= r) & (r < F.col("below") + F.col("n"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-        picks.append(F.max(F.when(mine, h - F.floor(h))).alias(f"_w{i}"))
-    found = ranked.groupBy(*keys).agg(*picks).select(*keys, *[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(n)
-        for i, n in enumerate(quantiles)])
+    found = select_ranks(long, keys, [(cols.index(c), p) for c, p in quantiles.values()], leaf)
+    found = settle(interpolated(found, keys, list(quantiles)), "quantiles")
+    if not by:
+        return source.groupBy().agg(F.lit(0).alias("_all"), *aggs).join(found, "_all", "left").drop("_all")
     base = source.groupBy(*keys).agg(*aggs) if aggs else source.select(*keys).distinct()
-    out = join_groups(base, settle(found, "quantiles"), keys, "left")
-    return out if by else out.drop("_all")
+    return join_groups(base, found, keys, "left")
+
+
+def following(values: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
+    """Add the next larger ``order`` of the group, by range-partitioned pieces; ``values`` has one row per (by, order)."""
+    pieces = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(values.repartitionByRange(pieces, *by, order).withColumn("_piece", F.spark_partition_id()), "ranged")
+    firsts = ranged.groupBy(*by, "_piece").agg(F.min(order).alias("_first"))
+    later = F.lead("_first").over(Window.partitionBy(*by).orderBy("_piece"))  # one row a piece
+    firsts = settle(firsts.withColumn("_later", later).drop("_first"), "firsts")
+    inside = F.lead(order).over(Window.partitionBy(*by, "_piece").orderBy(order))
+    return join_groups(ranged, firsts, [*by, "_piece"]).withColumn(out, F.coalesce(inside, F.col("_later"))).drop("_piece", "_later")
 
 
 def join_per_key(df: DataFrame, per_key: DataFrame, on: list[str], weight: str = "n",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import to_double
 from ..runtime import join_groups, settle
 from ..schemas import MIN_PAIRS, PROFILE_PAIRS
-from .ordering import avg_rank, summarise
+from .ordering import avg_rank, following, summarise
 
 
 def pearson(x: str, y: str) -> Column:
@@ -129,23 +129,33 @@ def profile_similarity(counts: DataFrame, pairs=PROFILE_PAIRS) -> DataFrame:
         F.when(both, (F.sum(kl[0]) + F.sum(kl[1])) / F.lit(2.0)).alias("jsd"))
 
 
-def binned_trend(df: DataFrame, x: str, y: str, by: list[str], width: float = 1.0) -> DataFrame:
+def binned_trend(df: DataFrame, x: str, y: str, by: list[str], width: float = 1.0, expand: bool = True) -> DataFrame:
     """Median of ``y`` per (group, bin of ``x``), bins right-closed, empty bins kept.
 
-    Edges run from floor(min) to ceil(max); the minimum belongs to the first
-    bin, whose lower edge sits 0.001 further down.
+    Edges run from floor(min) to ceil(max); the minimum belongs to the first bin, whose lower edge sits 0.001 further
+    down.  Empty bins are found as gaps between occupied ones.  With ``expand`` each becomes a row; without, a run of
+    them is one row from ``bin`` to ``last_bin``, so that a range may be as wide as bin numbers of 64 bits.
     """
-    complete = settle(df.select(*by, x, y).dropna(), "trend")  # read four times below
+    complete = settle(df.select(*by, x, y).dropna(), "trend")  # read three times below
     edges = settle(complete.agg(F.floor(F.min(x)).cast("double").alias("lo"),
                                 F.ceil(F.max(x)).cast("double").alias("hi")), "edges")
     lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
-    index = F.greatest(F.ceil((F.col(x) - lo) / F.lit(width)), F.lit(1)).cast("int")
-    medians = summarise(complete.withColumn("bin", index), [*by, "bin"], {y: (y, 0.5)}, [F.count(F.lit(1)).alias("n")])
-    bins = F.sequence(F.lit(1), F.greatest(F.ceil((hi - lo) / F.lit(width)), F.lit(1)).cast("int"))
-    grid = complete.select(*by).distinct().withColumn("bin", F.explode(bins))
-    mid = lo + F.lit(width) * (F.col("bin") - F.lit(0.5)) - F.when(F.col("bin") == 1, F.lit(0.0005)).otherwise(F.lit(0.0))
-    return (grid.join(medians, [*by, "bin"], "left").withColumn("mid", mid)
-            .withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
+    number = lambda v: F.greatest(F.ceil((v - lo) / F.lit(width)), F.lit(1)).cast("long")
+    medians = summarise(complete.withColumn("bin", number(F.col(x))), [*by, "bin"], {y: (y, 0.5)}, [F.count(F.lit(1)).alias("n")])
+    start = complete.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"),
+                                                   F.lit(None).cast("double").alias(y))
+    known = following(medians.unionByName(start), by, "bin", "_next")
+    end = F.coalesce(F.col("_next"), number(hi) + 1)
+    empty = F.struct((F.col("bin") + 1).alias("bin"), (end - 1).alias("last_bin"), F.lit(0).cast("long").alias("n"),
+                     F.lit(None).cast("double").alias(y))
+    runs = known.withColumn("_e", F.explode(F.filter(
+        F.array(F.struct("bin", F.col("bin").alias("last_bin"), "n", y), empty),
+        lambda e: (e["bin"] > 0) & (e["bin"] <= e["last_bin"])))).select(*by, "_e.*")
+    if expand:
+        runs = runs.withColumn("bin", F.explode(F.sequence("bin", "last_bin"))).withColumn("last_bin", F.col("bin"))
+    middle = lo + F.lit(width) * ((F.col("bin") + F.col("last_bin")) / F.lit(2.0) - F.lit(0.5))
+    runs = runs.withColumn("mid", middle - F.when(F.col("bin") == 1, F.lit(0.0005)).otherwise(F.lit(0.0)))
+    return runs.drop("last_bin") if expand else runs
 
 
 def histogram(df: DataFrame, cols: list[str], n_edges: int = 30, pad: float = 0.5) -> DataFrame:
@@ -174,20 +184,15 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     A value's bin is the number of interior quantile edges below it, so equal
     values share a bin and no row-level ordering is needed.
     """
-    complete = settle(df.select(*features, label).dropna(), "features")  # read three times below
-    probs = [i / bins for i in range(1, bins)]
-    edges = settle(summarise(complete, [], {f"{f}_{i}": (f, p) for f in features for i, p in enumerate(probs)}),
-                   "edges")
-    cut = edges.select(F.array(*[F.array(*[F.col(f"{f}_{i}") for i in range(len(probs))]) for f in features])).scalar()
-    binned = complete.withColumn("_cut", cut)
-    cells = []
-    for k, f in enumerate(features):
-        index = F.lit(0)
-        for i in range(len(probs)):
-            index = index + (F.col(f) > F.get(F.get("_cut", F.lit(k)), F.lit(i))).cast("int")
-        cells.append(F.struct(F.lit(f).alias("feature"), index.alias("bin"), F.col(label).alias("label")))
-    joint = (binned.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
-             .groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n")))
+    complete = df.select(*features, label).dropna()
+    long = settle(complete.select(F.col(label).alias("label"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("e")).select(
+        "label", "e.*"), "features")
+    names = [f"e{i}" for i in range(1, bins)]
+    edges = summarise(long, ["feature"], {n: ("v", i / bins) for i, n in enumerate(names, 1)})
+    edges = settle(edges.select("feature", F.array(*names).alias("edges")), "edges")
+    index = F.size(F.filter("edges", lambda e: F.col("v") > e)).alias("bin")
+    joint = join_groups(long, edges, ["feature"]).groupBy("feature", index, "label").agg(F.count(F.lit(1)).alias("n"))
     # At most features x bins x labels rows from here on.
     w = lambda *c: F.sum("n").over(Window.partitionBy(*c))
     term = F.col("n") / w("feature") * F.ln(F.col("n") * w("feature") / (w("feature", "bin") * w("feature", "label")))

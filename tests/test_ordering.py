@@ -148,3 +148,40 @@ def test_both_sides_of_the_limit_keep_null_rows_and_columns(spark, job):
 def test_histogram_of_a_constant_column(spark):
     got = ST.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), ["x"], 5, pad=0).collect()
     assert sorted((r.bin, r.n) for r in got) == [(0, 2), (1, 0), (2, 0), (3, 0)]
+
+
+def test_quantiles_of_hard_values(spark):
+    """Many magnitudes, both signs, zeros, neighbours in the last bit, ties, infinities, NaN; every leaf size."""
+    rng = np.random.default_rng(3)
+    near = [1.0]
+    for _ in range(40):
+        near.append(float(np.nextafter(near[-1], 2)))
+    groups = {"wide": [float(s * 2.0**e) for e in range(-1060, 1000, 13) for s in (1, -1)] + [0.0, -0.0, 5e-324],
+              "near": near, "tied": [2.5] * 999 + [3.5], "large": rng.lognormal(0, 3, 9000).tolist(), "one": [7.0],
+              "inf": [float("inf"), float("-inf"), 1.0, 2.0, 3.0], "nan": [1.0, 2.0, float("nan")]}
+    frame = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    for leaf in (1, 16, O.LEAF_VALUES):
+        got = {r.g: [r[f"q{i}"] for i in range(len(probs))] for r in
+               O.summarise(frame, ["g"], {f"q{i}": ("v", p) for i, p in enumerate(probs)}, leaf=leaf).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            vs = sorted(vs, key=lambda v: (v != v, v))
+            for p, mine in zip(probs, got[g]):
+                h = (len(vs) - 1) * p
+                lo, hi = vs[int(np.floor(h))], vs[int(np.ceil(h))]
+                want = lo if lo == hi or lo != lo else lo + (hi - lo) * (h - np.floor(h))
+                assert mine == want or mine == pytest.approx(want, rel=1e-15) or (mine != mine and want != want), (g, p, leaf)
+    assert O.summarise(frame.limit(0), [], {"m": ("v", 0.5)}, [F.count("v").alias("n")]).collect() == [(0, None)]
+    assert O.summarise(frame.limit(0), ["g"], {"m": ("v", 0.5)}).count() == 0
+
+
+def test_following_crosses_pieces(spark):
+    values = [(g, b) for g in (None, "a", "b") for b in range(0, 300, 7 if g == "a" else 3)]
+    frame = spark.createDataFrame(values, "g string, b long")
+    got = {(r.g, r.b): r.n for r in O.following(frame, ["g"], "b", "n").collect()}
+    want = {}
+    for g in (None, "a", "b"):
+        own = sorted(b for k, b in values if k == g)
+        want |= {(g, a): b for a, b in zip(own, [*own[1:], None])}
+    assert got == want
