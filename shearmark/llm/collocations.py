@@ -6,9 +6,10 @@ key; an equal partition goes on with the next key, and its size is the count of
 suffixes of a slice leave it as one row with a count.  Merged over slices, the weighted suffixes are routed by their
 leading words and sorted again, and there a partition below the least count is abandoned: no phrase in it can reach it.
 
-Most suffixes need not travel: counts of hashed word pairs say which pairs can be frequent.  Their hashes set bits in a
-map of at most ``FILTER_BITS`` bits, and a suffix is cut before the first pair whose bit is not set.  A bit set by
-chance costs one row; when the map fills up, fewer suffixes are cut.
+Most suffixes need not travel.  Hashes of all words, pairs and triples are counted first, as packed numbers of 32 bits
+within segments of the hash range.  Those that can be frequent set bits in a map of at most ``FILTER_BITS`` bits, and a
+suffix is cut where its words are not among them.  A bit set by chance costs one row; when the map fills up, fewer
+suffixes are cut.
 """
 
 from __future__ import annotations
@@ -33,8 +34,13 @@ SLICE = 4 << 20
 FILTER_BITS = 1 << 29
 SEGMENT_BITS = 1 << 19
 TASK_ROWS = 500_000
+HASH_SEGMENTS = 4096
 _BREAK = "\n"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# bytes of a text: A-Z lower-cased, a tab as a space, everything that ends a piece as a line break
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[65:91] += 32
+_BYTES[9] = 32
+_BYTES[[*b".,;:!?\n\x0b\x0c\r"]] = 10
 
 
 def multikey(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,46 +89,83 @@ def multikey(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang and _text: lower-cased, words between single spaces, a line break as a word of its own between pieces."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER + "\t", _LOWER + " ")
-    broken = F.regexp_replace(low, r"[.,;:!?\x0A-\x0D]", f" {_BREAK} ")
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
-                       F.concat(F.lit(f"{_BREAK} "), broken).alias("_text"))
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, a line break as a word of its own between pieces, and the text of each."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(_BYTES[data]))
+    lists = pc.split_pattern(pc.replace_substring(plain, _BREAK, f" {_BREAK} "), " ")
+    flat, parents = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(real), parents.filter(real).to_numpy()
 
 
 class Suffixes:
-    """The words of some prepared texts: ``ids`` (-1: a break), ``lang`` of every word, and the hash of each pair."""
+    """The words of some texts: ``ids`` (-1: a break) and ``lang`` of every word, ``after`` (the next word of its piece, else
+    -1), and hashes of the word alone, with the next one and with the next two, by language."""
 
     def __init__(self, part: pa.RecordBatch):
-        lists = pc.split_pattern(part.column("_text"), " ")
-        flat, parents = lists.flatten(), pc.list_parent_indices(lists)
-        real = pc.greater(pc.binary_length(flat), 0)
-        coded = flat.filter(real).dictionary_encode()
+        flat, parents = words_of(part.column("_text"))
+        coded = flat.dictionary_encode()
         self.words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         langs = part.column("lang").dictionary_encode()
         self.langs = langs.dictionary
-        self.lang = langs.indices.to_numpy().astype(np.int64)[parents.filter(real).to_numpy()]
+        self.lang = langs.indices.to_numpy().astype(np.int64)[parents]
         digest = lambda a: np.fromiter(map(xxhash.xxh3_64_intdigest, a.cast(pa.binary()).to_pylist()), np.uint64, len(a))
-        each = digest(self.words)
-        stop = pc.index(self.words, _BREAK).as_py()
-        self.ids = np.where(ids == stop, -1, ids)
-        self.after = np.r_[self.ids[1:], -1]
-        h = each[ids] if len(ids) else each
-        self.pair = mixed(mixed(h * np.uint64(3) + digest(self.langs)[self.lang] if len(ids) else h) + np.r_[h[1:], h[:1]])
-        self.paired = (self.ids >= 0) & (self.after >= 0)
-
-
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """h and c of every hashed pair of a slice."""
+        self.ids = np.where(ids == pc.index(self.words, _BREAK).as_py(), -1, ids)
+        n = len(ids)
+        near = np.r_[parents[1:] == parents[:-1], np.zeros(min(n, 1), bool)]
+        self.after = np.where(near, np.r_[self.ids[1:], np.full(min(n, 1), -1)], -1)
+        paired = (self.ids >= 0) & (self.after >= 0)
+        h = digest(self.words)[ids]
+        one = mixed(h * np.uint64(3) + digest(self.langs)[self.lang])
+        two = mixed(one + np.r_[h[1:], h[:1]])
+        three = mixed(two * np.uint64(5) + np.r_[h[2:], h[:2]][:n])
+        self.grams = [one, two, three]
+        self.real = [self.ids >= 0, paired, paired & np.r_[paired[1:], paired[:1]]]
+
+
+def gram_counts(texts: DataFrame, bits: int) -> DataFrame:
+    """s (the leading bits of the hash) and m (the next 32 bits of different hashes, and their counts) of every slice."""
     def scan(batches):
         for batch in batches:
             for part in pieces_of(batch, "_text", SLICE):
                 s = Suffixes(part)
-                h, c = np.unique(s.pair[s.paired].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.int64())], names=["h", "c"])
+                h, c = np.unique(np.concatenate([g[r] for g, r in zip(s.grams, s.real, strict=True)]) >> np.uint64(32 - bits), return_counts=True)
+                segment = (h >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(h) else np.zeros(0, np.int64)
+                low, count = h.astype("<u4"), c.astype("<u4")
+                blobs = [low[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(first, [*first[1:], len(h)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(segment[first]), pa.array(blobs, pa.binary())], names=["s", "m"])
+
+    return texts.mapInArrow(scan, "s long, m binary")
+
+
+def frequent_hashes(counts: DataFrame, least: int) -> DataFrame:
+    """h of the grams whose counts add up to at least ``least``."""
+    def merged(segment, blobs):
+        tables = [np.frombuffer(b, "<u4").reshape(2, -1) for b in blobs]
+        low, count = np.concatenate(tables, axis=1)
+        order = np.argsort(low, kind="stable")
+        low, count = low[order], count[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        often = low[first][np.add.reduceat(count, first) >= least]
+        return pa.RecordBatch.from_arrays([pa.array((segment << 32) + often.astype(np.int64))], names=["h"])
+
+    def scan(batches):
+        last, blobs = None, []
+        for batch in batches:
+            for segment, blob in zip(batch.column("s").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                if segment != last and blobs:
+                    yield merged(last, blobs)
+                    blobs = []
+                last = segment
+                blobs.append(blob)
+        if blobs:
+            yield merged(last, blobs)
 
-    return texts.mapInArrow(scan, "h long, c long")
+    count = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.repartition(count, "s").sortWithinPartitions("s").mapInArrow(scan, "h long")
 
 
 def bit_map(hashes: DataFrame, limit: int) -> np.ndarray:
@@ -145,36 +188,41 @@ def bit_map(hashes: DataFrame, limit: int) -> np.ndarray:
     place = F.col("h").bitwiseAND(F.lit(bits - 1))
     rows = hashes.select(F.shiftright(place, 19).alias("s"), place.bitwiseAND(F.lit(SEGMENT_BITS - 1)).alias("b"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows.repartition("s").sortWithinPartitions("s").mapInArrow(segments, "s long, m binary").toLocalIterator():
+    for r in rows.repartition("s").sortWithinPartitions("s").mapInArrow(segments, "s long, m binary").collect():
         out[r["s"] * SEGMENT_BITS // 8:(r["s"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(r["m"], np.uint8)
     return out
 
 
-def suffixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """depth, lang, w1, w2, w3 and c of the different suffixes of every slice: single words (depth 1), and what begins with a
-    pair that may be frequent (depth 3; w3 is null where the next pair is not)."""
+def suffixes(texts: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
+    """depth, lang, w1, w2, w3 and c of the different suffixes of every slice, as far as they may be frequent: single words
+    (depth 1), and two or three words (depth 3).  Depth 0 has the number of all words."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)  # at most FILTER_BITS bits
 
     def scan(batches):
-        bits = shared.value
-        last = np.uint64(len(bits) * 8 - 1)
+        table = shared.value
+        last = np.uint64(len(table) * 8 - 1)
         for batch in batches:
             for part in pieces_of(batch, "_text", SLICE):
                 s = Suffixes(part)
-                at = s.pair & last
-                may = s.paired & ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0)
-                second = np.where(may, s.after, -1)
-                third = np.where(may & np.r_[may[1:], False], np.r_[s.after[1:], -1], -1)
-                own = np.flatnonzero(s.ids >= 0)
+                may = []
+                for h, real in zip(s.grams, s.real, strict=True):
+                    at = (h >> np.uint64(32 - bits)) & last
+                    may.append(real & ((table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0))
+                own = np.flatnonzero(may[0])
+                second = np.where(may[1], s.after, -1)
+                third = np.where(may[1] & may[2], np.r_[s.after[1:], s.after[:1]], -1)
                 keys = np.stack([s.lang[own], s.ids[own], second[own], third[own]])
                 depth, at, c = multikey(keys, np.ones(len(own), np.int64), 1)
-                word = depth == 2
-                pick = word | ((depth == 4) & (keys[2, at] >= 0))
-                depth, at, c, word = depth[pick], at[pick], c[pick], word[pick]
+                pick = (depth == 2) | ((depth == 4) & (keys[2, at] >= 0))
+                depth, at, c = depth[pick], at[pick], c[pick]
+                word, n = depth == 2, np.bincount(s.lang[s.real[0]], minlength=len(s.langs))
                 take = lambda k, gone: s.words.take(pa.array(keys[k, at], mask=gone | (keys[k, at] < 0)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(depth - 1, pa.int32()), s.langs.take(pa.array(keys[0, at])), take(1, np.zeros(len(at), bool)),
-                     take(2, word), take(3, word), pa.array(c, pa.int64())], names=["depth", "lang", "w1", "w2", "w3", "c"])
+                rows = [pa.array(depth - 1, pa.int32()), s.langs.take(pa.array(keys[0, at])), take(1, np.zeros(len(at), bool)),
+                        take(2, word), take(3, word), pa.array(c, pa.int64())]
+                none = pa.nulls(len(n), pa.string())
+                names = ["depth", "lang", "w1", "w2", "w3", "c"]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n)), pa.int32()), s.langs, none, none, none, pa.array(n, pa.int64())], names=names)
 
     return texts.mapInArrow(scan, "depth int, lang string, w1 string, w2 string, w3 string, c long")
 
@@ -222,11 +270,13 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     Repeated rows count as often as they are there; very long texts and words are treated like any other.  Ties go by a
     and then by the bytes of the phrase.  Other columns are not read; an empty table gives no rows.
     """
-    texts = prepared(docs, text, lang)
-    pairs = settle(pair_counts(texts).groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("h"), "pairs")
-    rows = suffixes(texts, bit_map(pairs, filter_bits)).groupBy("depth", "lang", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
+    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    segments = max(HASH_SEGMENTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bits = math.ceil(math.log2(segments))
+    often = settle(frequent_hashes(gram_counts(texts, bits), least), "frequent_hashes")
+    rows = suffixes(texts, bit_map(often, filter_bits), bits).groupBy("depth", "lang", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
     rows = settle(rows, "suffixes")
-    totals = settle(rows.filter("depth = 1").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
+    totals = settle(rows.filter("depth = 0").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     words = settle(rows.filter("depth = 1").filter(F.col("c") >= least).select("lang", F.col("w1").alias("w"), F.col("c").alias("f")), "words")
     counts = settle(phrase_counts(rows.filter("depth = 3").drop("depth"), least), "phrases")
     two = counts.filter("w3 is null").select("lang", "w1", "w2", F.col("f").alias("a"))

@@ -11,6 +11,7 @@ matrices of the dimension by some dozens of columns.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,11 +192,11 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, key: str = "vec_id"
     fit = settle(rows.select("x").distinct(), "fit_list")
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
-    out = rows.sparkSession.createDataFrame([], schema)
     # as many numbers as there are different lengths: one, unless tables are mixed
-    for dim in sorted(r[0] for r in fit.select(F.size("x")).distinct().collect() if r[0] > 0):
-        out = out.unionByName(whitened_rows(rows.filter(F.size("x") == dim), fit.filter(F.size("x") == dim), dim, components,
-                                            tolerance, inner, schema))
+    dims = sorted(r[0] for r in fit.select(F.size("x")).distinct().collect() if r[0] > 0)
+    parts = [whitened_rows(rows.filter(F.size("x") == dim), fit.filter(F.size("x") == dim), dim, components, tolerance, inner, schema)
+             for dim in dims]
+    out = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("key", key)
 
 
