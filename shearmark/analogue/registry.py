@@ -80,8 +80,8 @@ def panel(t):
     return A.replicate_structure(V.metadata(t))
 
 
-def filtered(t):
-    return J.left_join(P.runs_between(V.queue(t)), R.id_list_sizes(V.id_files(t)), ["project_id"])
+def filtered(t, lists=V.id_files):
+    return J.left_join(P.runs_between(V.queue(t)), R.id_list_sizes(lists(t)), ["project_id"])
 
 
 def annotation(t):
@@ -362,6 +362,16 @@ def _dense(t):
     return J.dense_counts(counts, C.gene_universe(counts), files).select("project", "srr", "mode", "gene", "count")
 
 
+@query("J10_dense_sums", f"""WITH f AS (SELECT DISTINCT project, srr, mode FROM counts),
+    d AS (SELECT u.project, f.mode, u.gene, coalesce(c."count", 0) AS c FROM universe u JOIN f ON f.project = u.project
+    LEFT JOIN counts c ON c.project = u.project AND c.srr = f.srr AND c.mode = f.mode AND c.gene = u.gene)
+    SELECT project, mode, gene, count(*) AS n_files, count(*) FILTER (c > 0) AS n_positive, CAST(sum(c) AS BIGINT) AS total,
+    {r6('avg(c)')} AS mean, {r6('var_samp(c)')} AS variance FROM d GROUP BY 1, 2, 3""")
+def dense_sums(t):
+    counts = settle(V.counts(t), "counts")
+    return J.dense_sums(counts, C.gene_universe(counts), counts.select("project", "srr", "mode").distinct())
+
+
 query("J11_leave_one_out", """SELECT s.project, s.srr, s.condition, leave,
     coalesce(a.n, 0) + CASE WHEN leave THEN 0 ELSE 1 END AS n_same, coalesce(b.n, 0) AS n_other
     FROM samples s JOIN leave l ON l.project = s.project AND l.srr = s.srr
@@ -486,7 +496,7 @@ query("W3_tail_mean", f"""SELECT project_id, SRR_ID, mate, {r6('avg(mean_q)')} A
     PARTITION BY project_id, SRR_ID, mate ORDER BY pos DESC) AS rn FROM qcpos) WHERE rn <= 10 GROUP BY 1, 2, 3""")(
     lambda t: O.tail_mean(V.qc_positions(t), ["project_id", "SRR_ID", "mate"], "pos", "mean_q"))
 FUNNEL = """SELECT '1. query' AS stage, count(*) AS projects, NULL::BIGINT AS samples FROM (SELECT DISTINCT project_id FROM queue)
-    UNION ALL SELECT '2. run-count filter', count(*), CAST(sum(n_files) AS BIGINT) FROM filtered LEFT JOIN n_files USING (project_id)
+    UNION ALL SELECT '2. run-count filter', count(*), CAST(sum(n_files) AS BIGINT) FROM filtered LEFT JOIN n_ids USING (project_id)
     UNION ALL SELECT '3. queue', count(DISTINCT project_id), count(*) FROM queue WHERE project_id IN (SELECT project_id FROM filtered)
     UNION ALL SELECT '4. curated panel', count(DISTINCT project), CAST(sum(total_srrs) AS BIGINT) FROM panel
     UNION ALL SELECT '5. eligible', count(*), CAST(sum(eligible_srrs) AS BIGINT) FROM panel WHERE included = 'Yes'
@@ -495,7 +505,7 @@ LOSS = f"SELECT *, lag(projects) OVER (ORDER BY stage) - projects AS loss FROM (
 
 
 def funnel(t):
-    queue, kept = V.queue(t), filtered(t)
+    queue, kept = V.queue(t), settle(filtered(t, V.id_lists), "filtered")
     return cohort.cohort_funnel(queue.select("project_id").distinct(), kept,
                                 queue.join(kept.select("project_id"), "project_id", "left_semi"), panel(t), V.concordance(t))
 
@@ -653,9 +663,9 @@ query("ST10_binned_trend", TREND)(_trend)
     l_quantity::DOUBLE AS y FROM lineitem), ends AS (SELECT floor(min(x)) AS lo, ceil(max(x)) AS hi FROM src),
     med AS (SELECT g, greatest(ceil(x - lo), 1)::BIGINT AS bin, median(y) AS m, count(*) AS n FROM src, ends GROUP BY 1, 2),
     nxt AS (SELECT g, bin, lead(bin) OVER (PARTITION BY g ORDER BY bin) AS nb FROM (SELECT g, bin FROM med UNION ALL SELECT DISTINCT g, 0 FROM src)),
-    runs AS (SELECT g, bin, bin AS last_bin, m, n FROM med UNION ALL
+    bands AS (SELECT g, bin, bin AS last_bin, m, n FROM med UNION ALL
         SELECT g, bin + 1, coalesce(nb, greatest(hi - lo, 1)::BIGINT + 1) - 1, NULL, 0 FROM nxt, ends WHERE coalesce(nb, greatest(hi - lo, 1)::BIGINT + 1) > bin + 1)
-    SELECT g, bin, last_bin, {r6('m')} AS y, n, {r6('lo + (bin + last_bin) / 2.0::DOUBLE - 0.5 - CASE WHEN bin = 1 THEN 0.0005 ELSE 0 END')} AS mid FROM runs, ends""")
+    SELECT g, bin, last_bin, {r6('m')} AS y, n, {r6('lo + (bin + last_bin) / 2.0::DOUBLE - 0.5 - CASE WHEN bin = 1 THEN 0.0005 ELSE 0 END')} AS mid FROM bands, ends""")
 def trend_wide(t):
     """A column that holds small numbers and numbers beyond 32 bits: bins of width one, empty ones as runs."""
     rows = t.lineitem.select(F.col("l_returnflag").alias("g"), F.when(F.col("l_orderkey") % 997 == 0, F.lit(3e9) + F.col("l_partkey"))
@@ -720,14 +730,42 @@ query("E1_loso", "SELECT * FROM e1_conc")(lambda t: loso.loso(
     V.counts(t), V.samples(t), V.gene_sets(t), fdr=LOOSE["fdr"], lfc=LOOSE["lfc"], gene_z=LOOSE["gene_z"]))
 
 
+@query("E1_loso_conditions", "SELECT * FROM e1_conc_c3")
+def loso_conditions(t):
+    """Three conditions, of which two are contrasted; samples of the third are targets like any other."""
+    return loso.loso(V.counts(t), V.samples_of_three(t), V.gene_sets(t), fdr=LOOSE["fdr"], lfc=LOOSE["lfc"], gene_z=LOOSE["gene_z"])
+
+
+@query("E1_loso_samples", """SELECT BioProject AS project, SRR_ID AS srr, condition FROM annotation
+    WHERE (exclude IS NULL OR exclude = '') AND TRY_CAST("group" AS INTEGER) > 0""")
+def loso_samples(t):
+    return loso.loso_samples(annotation(t))
+
+
+@query("E12_skip_ledger", """WITH t AS (SELECT f.project, f.srr, f.mode, s.condition FROM (SELECT DISTINCT project, srr, mode FROM counts WHERE srr <> 'S3' OR mode <> 'P20') f
+    JOIN (SELECT * FROM samples WHERE project <> 'P2' OR srr IN ('S1', 'S2', 'S12')) s USING (project, srr)),
+    a AS (SELECT project, srr, condition FROM t WHERE mode = 'U'),
+    k AS (SELECT project, count(*) AS n, count(*) FILTER (condition = 'control') AS c, count(*) FILTER (condition = 'treatment') AS r FROM a GROUP BY 1)
+    SELECT a.project, a.srr, 'target' AS stage, NULL AS method, 'too few samples' AS reason, n AS n_samples FROM a JOIN k USING (project) WHERE n < 4
+    UNION ALL SELECT a.project, a.srr, 'candidate', m.method, 'no count file', n - 1 FROM a JOIN k USING (project), modes m
+    WHERE NOT EXISTS (FROM t WHERE t.project = a.project AND t.srr = a.srr AND t.mode = m.method)
+        AND least(c - (a.condition = 'control')::INT, r - (a.condition = 'treatment')::INT) >= 3""")
+def skip_ledger(t):
+    """A project of three samples, and a sample without one of its files."""
+    counts = V.counts(t).filter("srr <> 'S3' or mode <> 'P20'")
+    samples = V.samples(t).filter("project <> 'P2' or srr in ('S1', 'S2', 'S12')")
+    return loso.loso_skips(settle(counts, "counts"), samples).select("project", "srr", "stage", "method", "reason", "n_samples")
+
+
 @query("E12_resume", "SELECT * FROM e1_conc")
 def resume(t):
-    """A run cut short and taken up again: half of the targets are left of it, the pending ones are computed."""
+    """A run cut short and taken up again: half of the targets are left of it, what its records and its ledger of skipped
+    tests leave open is computed."""
     counts, samples, sets = settle(V.counts(t), "counts"), V.samples(t), V.gene_sets(t)
     limits = {"fdr": LOOSE["fdr"], "lfc": LOOSE["lfc"], "gene_z": LOOSE["gene_z"]}
-    early = F.pmod(F.xxhash64("project", "srr"), F.lit(2)) == 0
-    done = settle(loso.loso(counts, samples, sets, targets=samples.filter(early), **limits), "done")
-    left = samples.join(done.select("project", "srr").distinct(), ["project", "srr"], "left_anti")
+    early = samples.filter(F.pmod(F.xxhash64("project", "srr"), F.lit(2)) == 0)
+    done = settle(loso.loso(counts, samples, sets, targets=early, **limits), "done")
+    left = loso.pending(samples, done, loso.loso_skips(counts, samples, early))
     return done.unionByName(loso.loso(counts, samples, sets, targets=left, **limits))
 
 
@@ -820,7 +858,7 @@ def t2(t):
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
     live = V.Tables(t.spark, t.folder)
     live.__dict__["events"] = stream
-    ingest.run_available(ingest.live_value_counts(V.fetch_attempts(live), "6 hours", "10 minutes"), f"{root}/out", f"{root}/ckpt")
-    return ingest.live_endpoint_summary(t.spark.read.parquet(f"{root}/out"), "10 minutes").select(
+    ingest.run_available(ingest.live_digit_counts(V.fetch_attempts(live), "6 hours", "10 minutes"), f"{root}/out", f"{root}/ckpt")
+    return ingest.live_endpoint_summary(t.spark.read.parquet(f"{root}/out"), V.fetch_attempts(t), "6 hours", "10 minutes").select(
         F.unix_micros("window_start").alias("window_start_us"), "endpoint", "attempts", "successes", "failed",
         "median_mb_per_sec", "closed")

@@ -71,6 +71,7 @@ VIEWS = {
         nullif(o_orderpriority, '5-LOW') AS run_status, o_orderkey FROM orders""",
     "id_files": "SELECT project_id, srr_id FROM queue WHERE o_orderkey % 11 <> 0",
     "n_files": "SELECT project_id, count(*) AS n_files FROM id_files GROUP BY 1",
+    "n_ids": "SELECT project_id, count(*) AS n_files FROM queue GROUP BY 1",
     "filtered": "SELECT project_id, count(*) AS n_runs FROM queue GROUP BY 1 HAVING count(*) > 10 AND count(*) < 50",
     "meta": """SELECT 'PRJ' || (c_custkey // 5) AS project, 'SRR' || c_custkey AS Run, c_mktsegment AS condition,
         CASE c_nationkey % 3 WHEN 1 THEN 'PAIRED' WHEN 2 THEN 'SINGLE' END AS layout FROM customer""",
@@ -354,6 +355,38 @@ VIEWS.update({
 })
 
 
+def variant(suffix: str, root: str, changed: dict[str, str]) -> dict[str, str]:
+    """Copies, with ``suffix``, of all views between ``changed`` ones and ``root``."""
+    used = lambda text, name: re.search(rf"(?<![\w.'\"]){name}\b(?!['\"(])", text)
+    copied = set(changed)
+    while more := {n for n, text in VIEWS.items() if n not in copied and any(used(text, c) for c in copied)}:
+        copied |= more
+    rename = lambda text: re.sub(rf"(?<![\w.'\"])(?<!AS )({'|'.join(sorted(copied, key=len, reverse=True))})\b(?!['\"(])", rf"\1{suffix}", text)
+    out = {f"{n}{suffix}": rename(text) for n, text in VIEWS.items() if n in copied and n not in changed}
+    return {f"{n}{suffix}": rename(text) for n, text in changed.items()} | out
+
+
+# Three conditions: control and treatment where both are left in a test, else its first two by name.
+PAIR = "(CASE WHEN has(names, 'control') AND has(names, 'treatment') THEN ['control', 'treatment'] ELSE names[1:2] END)".replace("has(", "list_contains(")
+VIEWS.update(variant("_c3", "e1_conc", {
+    "samples": """SELECT project, srr, CASE WHEN n < 7 THEN names[1] WHEN n < 14 THEN names[2] ELSE names[3] END AS condition
+        FROM (SELECT DISTINCT project, srr, CAST(substr(srr, 2) AS INTEGER) AS n,
+        CASE WHEN project = 'P1' THEN ['warm', 'cold', 'mild'] ELSE ['control', 'treatment', 'other'] END AS names FROM reads)""",
+    "member_sums": f"""SELECT m.project, m.srr, m.stage, m.method, any_value(pair) AS pair,
+        CAST(count(*) FILTER (condition = pair[1]) AS DOUBLE) AS n0, CAST(count(*) FILTER (condition = pair[2]) AS DOUBLE) AS n1,
+        sum(1 / sf) FILTER (condition = pair[1]) AS r0, sum(1 / sf) FILTER (condition = pair[2]) AS r1
+        FROM members m JOIN (SELECT {KEYS}, {PAIR} AS pair FROM (SELECT {KEYS}, list_sort(list(DISTINCT condition)) AS names
+            FROM members GROUP BY {KEYS})) p USING ({KEYS})
+        GROUP BY ALL HAVING n0 > 0 AND n1 > 0 AND (m.stage = 'candidate' OR count(*) >= 4)""",
+    "member_genes": f"""SELECT m.project, m.srr, m.stage, m.method, gene,
+        sum("count" / sf) FILTER (condition = pair[1]) AS s0, sum("count" / sf) FILTER (condition = pair[2]) AS s1,
+        sum(("count" / sf) * ("count" / sf)) FILTER (condition = pair[1]) AS q0,
+        sum(("count" / sf) * ("count" / sf)) FILTER (condition = pair[2]) AS q1
+        FROM members m JOIN (SELECT {KEYS}, pair FROM member_sums) p USING ({KEYS})
+        JOIN counts c ON c.project = m.project AND c.srr = m.other AND c.mode = m.mode GROUP BY ALL""",
+}))
+
+
 def with_views(query: str) -> str:
     """``query`` behind a WITH clause of every view it needs, directly or through others."""
     needed: list[str] = []

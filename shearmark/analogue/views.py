@@ -56,6 +56,14 @@ def samples(t: Tables) -> DataFrame:
     return reads(t).select("project", "srr", "condition").distinct()
 
 
+def samples_of_three(t: Tables) -> DataFrame:
+    """The samples in three conditions; those of project P1 have none of the usual names."""
+    number = F.substring("srr", 2, 10).cast("int")
+    name = F.when(number < 7, "control").when(number < 14, "treatment").otherwise("other")
+    other = F.when(number < 7, "warm").when(number < 14, "cold").otherwise("mild")
+    return samples(t).select("project", "srr", F.when(F.col("project") == "P1", other).otherwise(name).alias("condition"))
+
+
 def gene_sets(t: Tables) -> DataFrame:
     number = F.col("p_partkey") % 200
     return t.part.select(number.alias("n")).distinct().select(
@@ -119,6 +127,11 @@ def id_files(t: Tables) -> DataFrame:
     return queue(t).select("project_id", "srr_id").filter(F.substring("srr_id", 4, 20).cast("long") % 11 != 0)
 
 
+def id_lists(t: Tables) -> DataFrame:
+    """Id lists of every queued run, as the cohort's flow counts them."""
+    return queue(t).select("project_id", "srr_id")
+
+
 def metadata(t: Tables) -> DataFrame:
     """Run annotation: five customers make a project, the market segment is the condition."""
     return t.customer.select(

@@ -61,3 +61,21 @@ def dense_counts(counts: DataFrame, universe: DataFrame, samples: DataFrame) ->
     grid = grid_join(universe, cells, ["project"], "gene", "srr")
     return (grid.join(counts, ["project", "srr", "mode", "gene"], "left")
             .withColumn("count", F.coalesce("count", F.lit(0).cast("long"))))
+
+
+def dense_sums(counts: DataFrame, universe: DataFrame, samples: DataFrame) -> DataFrame:
+    """Files, files with a count, total, mean and variance per (project, mode, gene), where absent cells count as zero.
+
+    What ``dense_counts`` would add up, from the present cells alone: a zero adds to the number of files only.
+    """
+    n = F.col("n_files").cast("double")
+    files = settle(samples.select("project", "srr", "mode").distinct().groupBy("project", "mode").agg(F.count(F.lit(1)).alias("n_files")), "files")
+    present = counts.groupBy("project", "mode", "gene").agg(
+        F.count_if(F.col("count") > 0).alias("n_positive"), F.sum("count").alias("total"),
+        F.sum(F.col("count").cast("double") * F.col("count")).alias("_squares"))
+    grid = join_groups(universe.select("project", "gene").distinct(), files, ["project"])
+    out = grid.join(present, ["project", "mode", "gene"], "left").select(
+        "project", "mode", "gene", "n_files", *[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in (
+            ("n_positive", "long"), ("total", "long"), ("_squares", "double"))])
+    spread = F.greatest(F.col("_squares") - F.col("total") * F.col("total") / n, F.lit(0.0))
+    return out.withColumns({"mean": F.col("total") / n, "variance": F.try_divide(spread, n - F.lit(1.0))}).drop("_squares")

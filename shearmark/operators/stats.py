@@ -145,12 +145,11 @@ def binned_trend(df: DataFrame, x: str, y: str, by: list[str], width: float = 1.
     start = complete.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"),
                                                    F.lit(None).cast("double").alias(y))
     known = following(medians.unionByName(start), by, "bin", "_next")
-    end = F.coalesce(F.col("_next"), number(hi) + 1)
-    empty = F.struct((F.col("bin") + 1).alias("bin"), (end - 1).alias("last_bin"), F.lit(0).cast("long").alias("n"),
+    end = F.coalesce(F.col("_next"), number(hi) + 1) - 1
+    empty = F.struct((F.col("bin") + 1).alias("bin"), end.alias("last_bin"), F.lit(0).cast("long").alias("n"),
                      F.lit(None).cast("double").alias(y))
-    runs = known.withColumn("_e", F.explode(F.filter(
-        F.array(F.struct("bin", F.col("bin").alias("last_bin"), "n", y), empty),
-        lambda e: (e["bin"] > 0) & (e["bin"] <= e["last_bin"])))).select(*by, "_e.*")
+    known = known.withColumn("_e", F.explode(F.array(F.struct("bin", F.col("bin").alias("last_bin"), "n", y), empty)))
+    runs = known.select(*by, "_e.*").filter("bin > 0 and bin <= last_bin")
     if expand:
         runs = runs.withColumn("bin", F.explode(F.sequence("bin", "last_bin"))).withColumn("last_bin", F.col("bin"))
     middle = lo + F.lit(width) * ((F.col("bin") + F.col("last_bin")) / F.lit(2.0) - F.lit(0.5))

@@ -86,7 +86,7 @@ def describe_long(df: DataFrame, cols: dict[str, tuple[str, str]]) -> DataFrame:
 
 def read_survival(df: DataFrame) -> DataFrame:
     """Samples, paired-end rows and surviving percentage per trimming mode."""
-    rows = df.dropna(subset=["mode"])
+    rows = settle(df.dropna(subset=["mode"]), "survival")
     out = summarise(rows, ["mode"], {"median_surviving_pct": ("surviving_pct", 0.5)}, [
         F.count_if(F.col("layout") == "PE").alias("paired_srrs"), F.avg("surviving_pct").alias("mean_surviving_pct")])
     # Counted apart: in one aggregate every (mode, sample) pair would carry a value map.
@@ -189,13 +189,15 @@ def directory_audit(paths: DataFrame, cohort: DataFrame) -> DataFrame:
     ``paths`` holds one file path per row, ``cohort`` a project column.  The names of the projects outside are the
     table of ``outside_projects``.
     """
-    return _audited(paths, cohort).groupBy("flattened_dir").agg(
-        F.count_distinct("project").alias("projects_total"),
-        F.count_distinct("srr").alias("unique_srrs_total"),
-        F.count_distinct(F.when(F.col("_in"), F.col("project"))).alias("projects_in_cohort"),
-        F.count_distinct(F.when(F.col("_in"), F.col("srr"))).alias("unique_srrs_in_cohort"),
-        F.count_distinct(F.when(~F.col("_in"), F.col("project"))).alias("projects_outside_cohort"),
-        F.count_distinct(F.when(~F.col("_in"), F.col("srr"))).alias("unique_srrs_outside_cohort")).orderBy("flattened_dir")
+    pairs = _audited(paths, cohort).select("flattened_dir", "project", "srr", "_in").distinct()
+    # every project and every sample once, with its membership on both sides
+    kinds = F.explode(F.array(F.struct(F.lit("projects").alias("kind"), F.col("project").alias("id")),
+                              F.struct(F.lit("unique_srrs").alias("kind"), F.col("srr").alias("id"))))
+    each = pairs.select("flattened_dir", kinds.alias("_k"), "_in").filter("_k.id is not null").groupBy("flattened_dir", "_k.kind", "_k.id").agg(
+        F.max("_in").alias("inside"), F.max(~F.col("_in")).alias("outside"))
+    return each.groupBy("flattened_dir").agg(*[F.count_if((F.col("kind") == kind) & part).alias(f"{kind}_{name}") for kind, part, name in (
+        (kind, part, name) for part, name in ((F.lit(True), "total"), (F.col("inside"), "in_cohort"), (F.col("outside"), "outside_cohort"))
+        for kind in ("projects", "unique_srrs"))]).orderBy("flattened_dir")
 
 
 def outside_projects(paths: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import median_of
-from ..operators.cleaning import neutral_fill
+from ..operators.cleaning import active_samples, neutral_fill
 from ..operators.counts import diff_test, gene_universe, leave_one_out, library_factors, wald
 from ..operators.enrich import enrich_prerank
 from ..operators.ordering import bh_adjust, top_abs
@@ -38,8 +38,18 @@ def scaled_files(counts: DataFrame, samples: DataFrame) -> DataFrame:
     return settle(files.join(samples.join(base, TARGET), TARGET), "files")
 
 
+def loso_samples(annotation: DataFrame) -> DataFrame:
+    """(project, srr, condition) of the samples of an annotation table that are not excluded and have a positive group."""
+    return active_samples(annotation).select(F.col("BioProject").alias("project"), F.col("SRR_ID").alias("srr"), "condition")
+
+
 def contexts(files: DataFrame) -> DataFrame:
-    """Every test to run: per target four references and up to six candidates.
+    """Every test to run: per target four references and up to six candidates, see ``planned``."""
+    return planned(files).filter("reason is null").drop("reason", "n_samples")
+
+
+def planned(files: DataFrame) -> DataFrame:
+    """Every test, with the reason why it cannot be run (null if it can) and its number of samples.
 
     Every available sample with a condition is a target.  The two conditions of a test are chosen from what is left in
     it: control and treatment, else the first two by name (``level0``, ``level1``); all its samples count towards
@@ -75,24 +85,44 @@ def contexts(files: DataFrame) -> DataFrame:
     names = F.array_sort(F.transform("left", lambda e: e["condition"]))
     usual = F.array_contains(names, "control") & F.array_contains(names, "treatment")
     out = out.withColumns({f"level{r}": F.when(usual, F.lit(name)).otherwise(F.get(names, F.lit(r)))
-                           for r, name in ((0, "control"), (1, "treatment"))}).filter(F.col("level1").isNotNull())
-    enough = F.when(candidate, F.col("give")).otherwise(
-        F.aggregate("left", zero, lambda total, e: total + e["n"]) >= MIN_SAMPLES)
+                           for r, name in ((0, "control"), (1, "treatment"))})
+    out = out.withColumn("n_samples", F.aggregate("left", zero, lambda total, e: total + e["n"]).cast("long"))
+    reason = (F.when(candidate & ~F.col("give"), "no count file").when(F.col("level1").isNull(), "one condition")
+              .when(~candidate & (F.col("n_samples") < MIN_SAMPLES), "too few samples"))
     entry = lambda name: F.get(F.filter("left", lambda e: e["condition"] == F.col(name)), F.lit(0))
     level = [entry("level0"), entry("level1")]
     role = F.when(F.col("condition") == F.col("level0"), 0).when(F.col("condition") == F.col("level1"), 1)
-    return out.filter(enough).select(
-        *TEST, "base", role.alias("role"), "level0", "level1", "take", "give",
+    return out.select(
+        *TEST, reason.alias("reason"), "n_samples", "base", role.alias("role"), "level0", "level1", "take", "give",
         *[level[r][k].alias(f"{k}{r}") for k in ("n", "r") for r in (0, 1)])
 
 
+def loso_skips(counts: DataFrame, samples: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Ledger of the tests that ``loso`` does not run: (project, srr, stage, method, reason, n_samples).
+
+    A target without any reference is one row of stage ``target``; ``pending`` drops it.  Other targets have a row of stage
+    ``candidate`` for each method that cannot be judged and of ``reference_method`` for each that does not vote.
+    """
+    tests = planned(scaled_files(counts, samples))
+    if targets is not None:
+        tests = tests.join(targets.select(*TARGET).distinct(), TARGET, "left_semi")
+    tests = settle(tests.select(*TEST, "reason", "n_samples"), "planned")
+    reference = F.col("stage") == "reference"
+    per = tests.filter(reference).groupBy(*TARGET).agg(
+        F.count_if(F.col("reason").isNull()).alias("_run"), F.min_by(F.struct("reason", "n_samples"), method_order(F.col("method"))).alias("_r"))
+    gone = settle(per.filter("_run = 0"), "dropped_targets")
+    dropped = gone.select(*TARGET, F.lit("target").alias("stage"), F.lit(None).cast("string").alias("method"), "_r.*")
+    rest = tests.filter("reason is not null").join(gone.select(*TARGET), TARGET, "left_anti")
+    return dropped.unionByName(rest.withColumn("stage", F.when(reference, "reference_method").otherwise(F.col("stage"))))
+
+
 def _slot(cols: list[Column], key: Column) -> Column:
     """The entry of ``cols`` that belongs to the method in ``key``."""
     return F.get(F.array(*cols), method_order(key))
 
 
 def loso_tests(counts: DataFrame, files: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """log2fc, stat and p-value of every (test, gene), adjusted for candidates.
+    """log2fc, stat, p-value and adjusted p-value of every (test, gene).
 
     ``targets`` (project, srr) restricts the tests that are run, not the samples they rest on.
     """
@@ -106,9 +136,9 @@ def loso_tests(counts: DataFrame, files: DataFrame, targets: DataFrame | None =
         F.coalesce(F.max(F.when(F.col("mode") == m, F.col("q"))), zero).alias(f"own_{m}") for m in METHODS])
     sums = scaled.groupBy("project", "gene", "condition").agg(*[
         F.array(*[F.coalesce(F.sum(F.when(F.col("mode") == m, v)), zero) for m in REFERENCE_METHODS]).alias(k)
-        for k, v in (("s", F.col("q")), ("q", F.col("q") * F.col("q")))])
+        for k, v in (("s", F.col("q")), ("q", F.col("q") * F.col("q")), ("k", (F.col("q") > 0).cast("double")))])
     sums = sums.groupBy("project", "gene").agg(
-        F.map_from_entries(F.collect_list(F.struct("condition", F.struct("s", "q")))).alias("totals"))
+        F.map_from_entries(F.collect_list(F.struct("condition", F.struct("s", "q", "k")))).alias("totals"))
     genes = sums.join(gene_universe(counts), ["project", "gene"])
     # One row per target carrying its handful of tests.
     packed = tests.groupBy(*TARGET).agg(F.collect_list(F.struct(
@@ -122,22 +152,21 @@ def loso_tests(counts: DataFrame, files: DataFrame, targets: DataFrame | None =
         *TARGET, "gene", "t.role", "t.stage", "t.method", "t.n0", "t.n1", "t.r0", "t.r1",
         F.coalesce(minus, zero).alias("minus"), F.coalesce(plus, zero).alias("plus"),
         *[F.coalesce(F.get(F.col(f"totals{r}.{k}"), method_order(F.col("t.base"))), zero).alias(f"{k}{r}")
-          for k in ("s", "q") for r in (0, 1)])
+          for k in ("s", "q", "k") for r in (0, 1)])
     sign = {r: F.col("role") == r for r in (0, 1)}
     change = {}
     for r in (0, 1):
         one, two = F.col("plus") - F.col("minus"), F.col("plus") * F.col("plus") - F.col("minus") * F.col("minus")
         change[f"s{r}"] = F.greatest(F.col(f"s{r}") + F.when(sign[r], one).otherwise(zero), zero)
         change[f"q{r}"] = F.greatest(F.col(f"q{r}") + F.when(sign[r], two).otherwise(zero), zero)
-    # Subtraction leaves rounding dust where a gene's whole sum was the target's own: make it an exact zero.
-    dust = {f"s{r}": F.when(F.col(f"s{r}") < 1e-9, zero).otherwise(F.col(f"s{r}")) for r in (0, 1)}
+        given = (F.col("plus") > 0).cast("double") - (F.col("minus") > 0).cast("double")
+        change[f"k{r}"] = F.col(f"k{r}") + F.when(sign[r], given).otherwise(zero)
+    # Subtraction leaves rounding dust where no sample with a count is left: make it an exact zero.
+    dust = {f"{v}{r}": F.when(F.col(f"k{r}") < 0.5, zero).otherwise(F.col(f"{v}{r}")) for v in ("s", "q") for r in (0, 1)}
     moved = moved.withColumns(change).withColumns(dust)
-    fit = settle(wald(moved.drop("role", "minus", "plus"))
-                 .withColumn("pvalue", F.coalesce("pvalue", F.lit(1.0))), "loso_fit")
-    # Adjusted p-values are only read for candidates; a window spans one test's genes.
-    candidates = bh_adjust(fit.filter(F.col("stage") == "candidate"), TEST, "pvalue", bounded=True)
-    references = fit.filter(F.col("stage") == "reference").withColumn("padj", F.lit(1.0))
-    return neutral_fill(candidates.unionByName(references))
+    fit = wald(moved.drop("role", "minus", "plus", "k0", "k1")).withColumn("pvalue", F.coalesce("pvalue", F.lit(1.0)))
+    # A window spans one test's genes.
+    return neutral_fill(bh_adjust(fit, TEST, "pvalue", bounded=True))
 
 
 def _consensus(df: DataFrame, by: list[str], key: str, col: str, thr: float, n_methods: DataFrame,

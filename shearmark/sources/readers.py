@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import percent, sample_id, to_double
+from ..runtime import join_groups, settle
 from ..schemas import ALIGN_STATS, PROJECT_METADATA, STAGE_TIMINGS, TRIM_STATS
 
 PATH = "_metadata.file_path"
@@ -68,21 +69,58 @@ def read_feature_counts(spark: SparkSession, root: str) -> DataFrame:
 def read_qc_sections(spark: SparkSession, path: str) -> DataFrame:
     """Per-position mean quality of QC reports: (project_id, SRR_ID, report, pos, mean_q).
 
-    One report is one row of text (reports have a fixed layout of some
-    hundred lines); the first quality section is cut out of it by pattern.
+    A report begins with a ``##FastQC`` line; a file may hold many, and be split anywhere.  A report alone in a folder
+    ``*_fastqc`` is named by it, any other by its ``Filename`` line.  Only the first quality section of a report counts, and
+    pos numbers its lines.  What a line belongs to follows from the last marker lines before it: inside a split by a
+    window, over the splits of a file by what each of them ends with.
     """
-    # Fixed markers: >>Per base sequence quality ... >>END_MODULE
-    section = r"(?s)(?:^|\n)>>Per base sequence quality[^\n]*(\n.*?)(?:\n>>END_MODULE|\z)"
-    folder = r"([^/=]+)/(?:[^/=]+=)?([^/=]+_fastqc)/"
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        _path_part(folder, 1).alias("project_id"), _path_part(folder, 2).alias("report"),
-        F.regexp_extract("value", section, 1).alias("body"), F.col(PATH).alias("path"))
-    lines = raw.filter(F.col("report") != "").select(
-        "project_id", "report", sample_id(F.col("report"), F.col("path")).alias("SRR_ID"),
-        F.posexplode(F.split("body", "\r?\n")).alias("pos", "line"))
-    rows = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith(">>"))
-    return rows.select("project_id", "SRR_ID", "report", "pos",
-                       to_double(F.get(F.split("line", "\t"), F.lit(1))).alias("mean_q")).dropna(subset=["mean_q"])
+    # Fixed markers: ##FastQC, >>Per base sequence quality ... >>END_MODULE, Filename
+    folder, parent = r"([^/=]+)/(?:[^/=]+=)?([^/=]+_fastqc)/", r"([^/=]+)/[^/]*$"
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col(PATH).alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    head, quality = F.col("value").startswith("##FastQC"), F.col("value").startswith(">>Per base sequence quality")
+    name = F.when(F.col("value").startswith("Filename\t"), F.split("value", "\t")[1])
+    lines = settle(raw.filter((F.col("value") != "") & (head | ~F.col("value").startswith("#"))).select(
+        "path", "split", "line", head.cast("int").alias("head"), quality.cast("int").alias("quality"), name.alias("name"),
+        F.col("value").startswith(">>").alias("marker"),
+        F.when(~F.col("value").startswith(">>") & ~head, F.get(F.split("value", "\t"), F.lit(1))).alias("cell")), "qc_lines")
+
+    # inside a split: reports begun, quality sections since the last of them, and whether the last marker opened one
+    upto = Window.partitionBy("path", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inner = lines.withColumn("reports", F.sum("head").over(upto)).withColumn("open", F.last(
+        F.when(F.col("marker") | (F.col("head") == 1), F.col("quality") == 1), ignorenulls=True).over(upto))
+    since = Window.partitionBy("path", "split", "reports").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inner = settle(inner.withColumn("sections", F.sum("quality").over(since)), "qc_split_lines")
+    # one row a split: what it hands on to the next
+    ends = inner.groupBy("path", "split").agg(
+        F.max("reports").alias("reports"), F.max_by("open", F.when(F.col("open").isNotNull(), F.col("line"))).alias("open"),
+        F.max_by("sections", "line").alias("sections"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_r", F.coalesce(F.sum("reports").over(before), F.lit(0)))
+    # sections since the report that is open at the split's start: those of the splits since the one that began it
+    ends = ends.withColumn("_began", F.sum((F.col("reports") > 0).cast("int")).over(
+        Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)))
+    piece = Window.partitionBy("path", "_began").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_upto", F.sum("sections").over(piece))
+    last = Window.partitionBy("path").orderBy("split")
+    ends = settle(ends.select("path", "split", "_r", F.coalesce(F.lag("_upto").over(last), F.lit(0)).alias("_s"),
+                              F.last("open", ignorenulls=True).over(before).alias("_o")), "qc_splits")
+    known = join_groups(inner, ends, ["path", "split"])
+    known = known.select(
+        "path", "split", "line", "name", "cell", (F.col("reports") + F.col("_r")).alias("number"),
+        (F.col("sections") + F.when(F.col("reports") == 0, F.col("_s")).otherwise(F.lit(0))).alias("section"),
+        F.coalesce("open", "_o", F.lit(False)).alias("open"))
+    names = known.filter("name is not null").groupBy("path", "number").agg(F.min_by("name", F.struct("split", "line")).alias("name"))
+    cells = known.filter((F.col("section") == 1) & F.col("open") & F.col("cell").isNotNull()).drop("name")
+    place = F.row_number().over(Window.partitionBy("path", "number").orderBy("split", "line"))  # some hundred lines
+    cells = cells.join(names, ["path", "number"], "left").withColumn("pos", place)
+    alone = F.nullif(F.regexp_extract("path", folder, 2), F.lit(""))
+    report = F.coalesce(alone, F.concat(F.regexp_replace("name", r"(\.fastq|\.fq)?(\.gz)?$", ""), F.lit("_fastqc")))
+    project = F.coalesce(F.nullif(F.regexp_extract("path", folder, 1), F.lit("")), F.regexp_extract("path", parent, 1))
+    return cells.select(project.alias("project_id"), report.alias("report"), "pos", to_double(F.col("cell")).alias("mean_q"), "path").filter(
+        "report is not null").select("project_id", sample_id(F.col("report"), F.col("path")).alias("SRR_ID"), "report", "pos",
+                                     "mean_q").dropna(subset=["mean_q"])
 
 
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:

@@ -52,6 +52,30 @@ def test_qc_sections(spark, tmp_path):
     assert rows(quality_table(q, terminal), "SRR_ID", "terminal_q_mean") == [("SRR5", 32.25), ("SRR9", 30.0)]
 
 
+def test_packed_qc_reports(spark, tmp_path):
+    """Many reports in one file that is read in splits of a few lines, against a plain parser."""
+    body, want = [], []
+    for i in range(24):
+        body += ["##FastQC\t0.11", ">>Basic Statistics\tpass", "#Measure\tValue", f"Filename\tSRR{i}_{1 + i % 2}.fastq.gz", ">>END_MODULE"]
+        if i % 5:
+            body += [">>Per base sequence quality\tpass", "#Base\tMean"]
+            values = [(k, 20 + (i * 7 + k * 3) % 17) for k in range(1, 2 + i % 9)]
+            body += [f"{k}\t{v}.5" for k, v in values] + ([">>END_MODULE"] if i % 7 else [])
+            want += [("packed", f"SRR{i}", f"SRR{i}_{1 + i % 2}_fastqc", k, v + 0.5) for k, v in values]
+        body += [">>Other\tpass", "1\t99.0", ">>END_MODULE"]
+        if i % 11 == 0:
+            body += [">>Per base sequence quality\tagain", "1\t1.0", ">>END_MODULE"] if i % 5 else []
+    put(tmp_path / "packed/all.txt", "\n".join(body))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("197", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = R.read_qc_sections(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert sorted((r.project_id, r.SRR_ID, r.report, r.pos, r.mean_q) for r in got) == sorted(want)
+
+
 def test_small_readers(spark, tmp_path):
     put(tmp_path / "sets.gmt", "S1\t\tg1\tg2\nS2\tdesc\tg3")
     assert rows(R.read_gene_sets(spark, str(tmp_path / "sets.gmt"))) == [
@@ -113,7 +137,52 @@ def test_live_summary_emits_closed_windows(spark, tmp_path):
         (F.to_timestamp("at") + F.expr("interval 2 seconds")).alias("finished_at"), F.lit(4000000).alias("bytes_downloaded"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    ingest.run_available(ingest.live_value_counts(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    got = ingest.live_endpoint_summary(spark.read.parquet(str(tmp_path / "out"))).collect()
+    ingest.run_available(ingest.live_digit_counts(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = ingest.live_endpoint_summary(spark.read.parquet(str(tmp_path / "out")), df).collect()
     assert sorted((r.window_start.hour, r.attempts, r.successes, r.median_mb_per_sec, r.closed) for r in got) == [
         (0, 6, 3, 2.0, True), (1, 6, 3, 2.0, True), (2, 2, 1, 2.0, False)]
+
+
+def test_live_state_is_bounded_and_medians_exact(spark, tmp_path):
+    """Thousands of different rates in a window: the counts hold some dozen digits, the median is that of all rates."""
+    df = spark.range(6000).select(
+        F.concat(F.lit("SRR"), "id").alias("srr_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("endpoint"),
+        F.when(F.col("id") % 5 == 0, "failed").otherwise("success").alias("status"),
+        F.timestamp_seconds(F.col("id") % 7200).alias("started_at"), F.timestamp_seconds(F.col("id") % 7200 + 4).alias("finished_at"),
+        F.when(F.col("id") % 11 != 0, 5_000_000 + (F.col("id") * 7919) % 1_000_003).alias("bytes_downloaded"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    ingest.run_available(ingest.live_digit_counts(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    counts = spark.read.parquet(str(tmp_path / "out"))
+    assert counts.count() < 2 * 2 * 2 * 30  # windows, endpoints, statuses, digits
+    for leaf in (1, 4096):
+        got = {(r.window_start.hour, r.endpoint): (r.attempts, r.median_mb_per_sec) for r in
+               ingest.live_endpoint_summary(counts, df, leaf=leaf).collect()}
+        want = {}
+        for r in df.collect():
+            want.setdefault((r.started_at.hour, r.endpoint), []).append(r.bytes_downloaded)
+        assert got.keys() == want.keys()
+        for k, values in want.items():
+            known = sorted(v / 1e6 / 4 for v in values if v is not None)
+            middle = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
+            assert got[k] == (len(values), pytest.approx(middle, rel=1e-12))
+
+
+def test_ingest_takes_the_earlier_line_of_a_file(spark, tmp_path):
+    """Inside one file the earlier line stays, whatever its values, also where the file is read in splits."""
+    from shearmark.schemas import CONCORDANCE
+    names = CONCORDANCE.fieldNames()
+    lines = ["\t".join(names)]
+    for i in range(120):
+        for value in ("NA", "0.5") if i % 2 else ("0.9", "NA", "0.1"):
+            lines.append("\t".join(["P", f"S{i}", "U", *[value] * (len(names) - 3)]))
+    lines += ["\t".join(["P", f"S{i}", "U", *["0.0"] * (len(names) - 3)]) for i in range(120)]
+    put(tmp_path / "src/one.tsv", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        ingest.ingest_results(spark, str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        got = {r.SRR_ID: r.rho_gene for r in ingest.ingested(spark, str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"S{i}": None if i % 2 else 0.9 for i in range(120)}
