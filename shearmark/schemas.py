@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(strings: str = "", longs: str = "", doubles: str = "") -> T.StructType:
-    fields = []
-    for names, kind in ((strings, T.StringType()), (longs, T.LongType()), (doubles, T.DoubleType())):
-        fields += [T.StructField(n, kind) for n in names.split()]
-    return T.StructType(fields)
-
-
 # Fixed values of the analysis: method order, file-name labels, thresholds.
 METHODS = ("U", "A", "P5", "P10", "P20", "P35")
 REFERENCE_METHODS = ("U", "A", "P5", "P10")
@@ -38,8 +31,11 @@ QC_FEATURES = (
 PROFILE_PAIRS = (("U", "A"), ("U", "P5"), ("U", "P10"), ("U", "P20"), ("U", "P35"), ("P5", "P35"))
 CONCORDANCE_METRICS = ("rho_gene", "jaccard_deg", "rho_pathway", "jaccard_pathway", "dir_concordance")
 
-CONCORDANCE = _schema("project SRR_ID method", doubles=" ".join(CONCORDANCE_METRICS))
-ANNOTATION = _schema("BioProject SRR_ID condition condition_original group exclude")
+CONCORDANCE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("project", "SRR_ID", "method")]
+    + [T.StructField(n, T.DoubleType()) for n in CONCORDANCE_METRICS])
+ANNOTATION = T.StructType([T.StructField(n, T.StringType()) for n in (
+    "BioProject", "SRR_ID", "condition", "condition_original", "group", "exclude")])
 TRIM_STATS = T.StructType([
     T.StructField("project_id", T.StringType()), T.StructField("srr_id", T.StringType()),
     T.StructField("mode", T.StringType()), T.StructField("layout", T.StringType()),
@@ -53,8 +49,10 @@ ALIGN_STATS = T.StructType(
         "total_reads", "paired_reads", "unpaired_reads", "aligned_exactly_1", "aligned_gt1", "aligned_0",
         "concordant_exactly_1", "concordant_gt1", "discordant_1", "pairs_0_concordant")]
     + [T.StructField("overall_alignment_rate", T.StringType())])
-STAGE_TIMINGS = _schema("stage", longs="start_epoch end_epoch duration_sec")
-PROJECT_METADATA = _schema("Run condition condition_raw condition_role class_field metadata_status")
+STAGE_TIMINGS = T.StructType(
+    [T.StructField("stage", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("start_epoch", "end_epoch", "duration_sec")])
+PROJECT_METADATA = T.StructType([T.StructField(n, T.StringType()) for n in (
+    "Run", "condition", "condition_raw", "condition_role", "class_field", "metadata_status")])
 
 
 def method_order(col: Column) -> Column:
