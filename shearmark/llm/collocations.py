@@ -35,6 +35,7 @@ FILTER_BITS = 1 << 29
 SEGMENT_BITS = 1 << 19
 TASK_ROWS = 500_000
 HASH_SEGMENTS = 4096
+PARTS = 64
 _BREAK = "\n"
 # bytes of a text: A-Z lower-cased, a tab as a space, everything that ends a piece as a line break
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -299,8 +300,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
                      F.col(f"r{k}").alias("r")) for k in (1, 2)]
     triples = triples.withColumn("_c", F.least(*cuts)).select(
         "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "_c.l", "_c.r", "_c.score")
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = pairs.unionByName(triples).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    # the best of every part of a language first, so that none sends all its phrases to one task
+    order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
+    found = pairs.unionByName(triples).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("rank") <= top)
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ranked = found.withColumn("rank", best).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -10,6 +10,7 @@ significant score slice downward; rows that tie at the boundary are resolved by
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +19,40 @@ from pyspark.sql import functions as F
 
 from ..runtime import settle
 
-LIMIT = 1 << 24
+NARROW, NARROW_DIM = 1 << 22, 1 << 18  # products and their sums stay below 2**63
+WIDE_PART = 64  # a block of wide vectors has so many times fewer rows
 
 
-def quantised(vector: str, scale: float) -> Column:
-    """floor(scale * x) of every component as long; null where the vector takes no part."""
+def finite(vector: str) -> Column:
+    """The components as doubles; null where the vector takes no part."""
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > LIMIT / scale))
-    return F.when(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)),
-                  F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)), wide)
+
+
+def narrow(values: np.ndarray, scale: float) -> np.ndarray:
+    """Whether each vector [rows, dim] can be reckoned in 64 bits."""
+    return (np.abs(values).max(axis=1, initial=0) < NARROW / scale) & (values.shape[1] < NARROW_DIM)
+
+
+def quantised(values: np.ndarray, scale: float, wide: bool) -> np.ndarray:
+    """floor(scale * x): 64-bit numbers, or Python's own."""
+    if not wide:
+        return np.floor(values * scale).astype(np.int64)
+    out = np.empty(values.size, dtype=object)
+    out[:] = [math.floor(Fraction(x) * Fraction(scale)) for x in values.ravel().tolist()]
+    return out.reshape(values.shape)
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(bitmaps [dim, digit, words], minimum per dimension, digits) of a block's values [rows, dim]."""
     low = values.min(axis=0)
     above = (values - low).T
-    digits = max(1, int(above.max(initial=0)).bit_length())
+    digits = max(1, int(above.max()).bit_length()) if above.size else 1
     words = -(-values.shape[0] // 64)
     out = np.zeros((values.shape[1], digits, words * 64), dtype=np.uint8)
     for d in range(digits):
-        out[:, d, :values.shape[0]] = (above >> d) & 1
+        out[:, d, :values.shape[0]] = ((above >> d) & 1).astype(np.uint8)
     return np.packbits(out, axis=2, bitorder="little").view(np.uint64), low, digits
 
 
@@ -65,13 +80,13 @@ def add_up(columns: dict[int, list[np.ndarray]], words: int) -> list[np.ndarray]
 def scored(query: np.ndarray, slices: np.ndarray, low: np.ndarray, digits: int) -> tuple[list[np.ndarray], int]:
     """(digits of every row's score as bitmaps, what to add to them)."""
     top = (1 << digits) - 1
-    size = np.abs(query)
+    size = abs(query)
     shift = int((query * low).sum()) - int(size[query < 0].sum()) * top
     columns: dict[int, list[np.ndarray]] = {}
     for sign in (1, -1):
-        dims = np.flatnonzero(np.sign(query) == sign)
-        for bit in range(int(size.max(initial=0)).bit_length()):
-            picked = dims[(size[dims] >> bit) & 1 == 1]
+        dims = np.flatnonzero(query > 0 if sign > 0 else query < 0)
+        for bit in range(int(size.max()).bit_length() if len(size) else 0):
+            picked = dims[((size[dims] >> bit) & 1).astype(bool)]
             if not len(picked):
                 continue
             for d in range(digits):  # (2**digits - 1) - x has the complement of the slices of x
@@ -100,32 +115,44 @@ def select(score: list[np.ndarray], valid: np.ndarray, k: int) -> tuple[np.ndarr
     return sure, tied
 
 
-def values_at(score: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), dtype=np.int64)
+def values_at(score: list[np.ndarray], rows: np.ndarray, wide: bool) -> np.ndarray:
+    out = np.zeros(len(rows), dtype=object if wide else np.int64)
     for place, digit in enumerate(score):
-        out |= ((digit[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << place
+        bits = ((digit[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+        out = out + bits.astype(object) * (1 << place) if wide else out | bits << place
     return out
 
 
-def build_index(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """One row per block of rows of one dimension count: block, dim, ids, slices, low, digits.  ``vectors``: _id, _v."""
+def beyond(score: int) -> tuple[int, int, bytes | None]:
+    """(class, score, key) by which scores of any size are in order: 1 for 64 bits, above it 2 and below it 0 with a key."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 1, score, None
+    size = abs(score)
+    n = (size.bit_length() + 7) // 8
+    key = n.to_bytes(4, "big") + size.to_bytes(n, "big")
+    return (2, 0, key) if score > 0 else (0, 0, bytes(255 - b for b in key))
+
+
+def build_index(vectors: DataFrame, block_rows: int, scale: float) -> DataFrame:
+    """One row per block of rows of one dimension count: block, dim, wide, ids, slices, low, digits.  ``vectors``: _id, _v."""
     count = vectors.count()
     parts = max(1, math.ceil(count / block_rows))
 
-    def block(held):
+    def block(held, wide):
         ids = np.concatenate([h[0] for h in held])
         values = np.concatenate([h[1] for h in held])
-        for at in range(0, len(ids), block_rows):
-            part, own = values[at:at + block_rows], ids[at:at + block_rows]
+        step = max(1, block_rows // WIDE_PART) if wide else block_rows
+        for at in range(0, len(ids), step):
+            part, own = quantised(values[at:at + step], scale, wide), ids[at:at + step]
             order = np.argsort(own, kind="stable")
             bitmaps, low, digits = slices_of(part[order])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([values.shape[1]], pa.int32()), pa.array([own[order].astype("<i8").tobytes()], pa.binary()),
-                 pa.array([bitmaps.tobytes()], pa.binary()), pa.array([low.astype("<i8").tobytes()], pa.binary()),
-                 pa.array([digits], pa.int32())], names=["dim", "ids", "slices", "low", "digits"])
+                [pa.array([values.shape[1]], pa.int32()), pa.array([wide]), pa.array([own[order].astype("<i8").tobytes()], pa.binary()),
+                 pa.array([bitmaps.tobytes()], pa.binary()), pa.array([list(map(str, low.tolist()))], pa.list_(pa.string())),
+                 pa.array([digits], pa.int32())], names=["dim", "wide", "ids", "slices", "low", "digits"])
 
     def build(batches):
-        held: dict[int, list] = {}  # by dimension; written out whenever a block is full
+        held: dict[tuple[int, bool], list] = {}  # by dimension and kind; written out whenever a block is full
         for batch in batches:
             rows = batch.column("_v")
             ids = batch.column("_id").to_numpy()
@@ -134,15 +161,19 @@ def build_index(vectors: DataFrame, block_rows: int) -> DataFrame:
             starts = np.cumsum(sizes) - sizes
             for dim in np.unique(sizes):
                 own = np.flatnonzero(sizes == dim)
-                values = flat[starts[own][:, None] + np.arange(dim)] if dim else np.zeros((len(own), 0), np.int64)
-                held.setdefault(int(dim), []).append((ids[own], values))
-                if sum(len(h[0]) for h in held[int(dim)]) >= block_rows:
-                    yield from block(held.pop(int(dim)))
-        for part in held.values():
-            yield from block(part)
+                values = flat[starts[own][:, None] + np.arange(dim)] if dim else np.zeros((len(own), 0))
+                small = narrow(values, scale)
+                for wide, pick in ((False, small), (True, ~small)):
+                    if pick.any():
+                        key = (int(dim), wide)
+                        held.setdefault(key, []).append((ids[own[pick]], values[pick]))
+                        if sum(len(h[0]) for h in held[key]) >= block_rows:
+                            yield from block(held.pop(key), wide)
+        for (_, wide), part in held.items():
+            yield from block(part, wide)
 
     dealt = vectors.repartitionByRange(parts, "_id")
-    return settle(dealt.mapInArrow(build, "dim int, ids binary, slices binary, low binary, digits int").withColumn(
+    return settle(dealt.mapInArrow(build, "dim int, wide boolean, ids binary, slices binary, low array<string>, digits int").withColumn(
         "block", F.monotonically_increasing_id()), "slices")
 
 
@@ -150,16 +181,16 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
           query_rows: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key and score: the ``k`` best rows of every row whose key is divisible by ``every``.
 
-    A vector that is null or holds null or non-finite components takes no part, nor does one of a component beyond
-    2**24 after scaling, whose products would leave 64 bits, or one without key.  Vectors meet those of their own
-    length only.  A query does not find rows of its own key; a repeated row asks once and is found as
+    A vector that is null or holds null or non-finite components takes no part, nor does one without key; any finite
+    component does.  Scores are exact whatever their size; one that does not fit into 64 bits is ranked by its value and
+    given as null.  Vectors meet those of their own length only.  A query does not find rows of its own key; a repeated row asks once and is found as
     often as it is there.  Ties go to the smaller key.  Other columns are not read.
     Every query block meets every index block, as the search is exact; each pair keeps k rows a query, merged at the end.
     """
-    usable = vectors.select(F.col(key).cast("long").alias("_id"), quantised(vector, scale).alias("_v")).filter(
+    usable = vectors.select(F.col(key).cast("long").alias("_id"), finite(vector).alias("_v")).filter(
         "_id is not null and _v is not null")
-    usable = settle(usable, "quantised")
-    index = build_index(usable, block_rows)
+    usable = settle(usable, "finite")
+    index = build_index(usable, block_rows, scale)
     asked = usable.filter(F.pmod("_id", F.lit(every)) == 0).distinct()  # a repeated row asks once
     groups = max(1, math.ceil(asked.count() / query_rows))
     queries = asked.groupBy(F.size("_v").alias("dim"), F.pmod(F.xxhash64("_id"), F.lit(groups)).alias("_g")).agg(
@@ -173,11 +204,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 ids = np.frombuffer(row["ids"], "<i8")
                 words = -(-len(ids) // 64)
                 slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dim"], row["digits"], words)
-                low = np.frombuffer(row["low"], "<i8")
+                lows = {w: np.array(list(map(int, row["low"])), dtype=object if w else np.int64) for w in {row["wide"], True}}
                 valid = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-                found = []
+                asked, found, kind, scores, keys = [], [], [], [], []
                 for q in row["_q"]:
-                    score, shift = scored(np.array(q["_v"], dtype=np.int64), slices, low, row["digits"])
+                    own = np.array([q["_v"]], dtype=np.float64).reshape(1, row["dim"])
+                    wide = row["wide"] or not narrow(own, scale)[0]
+                    score, shift = scored(quantised(own, scale, wide)[0], slices, lows[wide], row["digits"])
                     a, b = np.searchsorted(ids, q["_id"]), np.searchsorted(ids, q["_id"], "right")
                     others = valid
                     if b > a:
@@ -188,19 +221,24 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                     rows = positions(sure)
                     if len(rows) < k:  # rows stand in order of their ids
                         rows = np.r_[rows, positions(tied)[:k - len(rows)]]
-                    found.append((q["_id"], ids[rows], values_at(score, rows) + shift))
+                    asked.append(np.full(len(rows), q["_id"]))
+                    found.append(ids[rows])
+                    values = (values_at(score, rows, wide) + shift).tolist()
+                    for c, v, key in map(beyond, values) if wide else ((1, v, None) for v in values):
+                        kind.append(c)
+                        scores.append(v)
+                        keys.append(key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.full(len(f[1]), f[0]) for f in found]), pa.int64()),
-                     pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                     pa.array(np.concatenate([f[2] for f in found]), pa.int64())], names=["query_id", "_id", "score"])
+                    [pa.array(np.concatenate(asked), pa.int64()), pa.array(np.concatenate(found), pa.int64()), pa.array(kind, pa.int32()),
+                     pa.array(scores, pa.int64()), pa.array(keys, pa.binary())], names=["query_id", "_id", "kind", "score", "wide_score"])
 
     # few bytes but much work: the number of tasks must not follow the bytes
     parts = max(index.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = cells.repartition(parts, "block").join(index.hint("merge"), "block").select("_q", "dim", "ids", "slices", "low", "digits")
-    found = pairs.mapInArrow(search, "query_id long, _id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_id")
+    pairs = cells.repartition(parts, "block").join(index.hint("merge"), "block").select("_q", "dim", "wide", "ids", "slices", "low", "digits")
+    found = pairs.mapInArrow(search, "query_id long, _id long, kind int, score long, wide_score binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("kind").desc(), F.col("score").desc(), F.col("wide_score").desc(), "_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("_id").alias(key), "score")
+        "query_id", "rank", F.col("_id").alias(key), F.when(F.col("kind") == 1, F.col("score")).alias("score"))
 
 
 ORACLE = """

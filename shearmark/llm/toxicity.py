@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..runtime import settle
 
 FIT_ROWS = 20_000
-FEATURES = 512
 BEGINNINGS = (4, 5, 6)
 KNOWN_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -76,7 +75,22 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[at] + s[at + 1]) / 2)
 
 
-def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300, ridge: float = 1e-4,
+@dataclass
+class Sparse:
+    """Rows of 0 and 1 by the places of their ones."""
+
+    row: np.ndarray
+    column: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weights[self.column], minlength=self.shape[0])
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=values[self.row], minlength=self.shape[1])
+
+
+def cumulative_link(x: Sparse, grade: np.ndarray, grades: int, steps: int = 300, ridge: float = 1e-4,
                     rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of least penalised negative log-likelihood, by Adam; deterministic."""
     n, d = x.shape
@@ -85,12 +99,12 @@ def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, steps: int =
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, steps + 1):
-        score, cut = (x @ theta[:d].astype(np.float32)).astype(np.float64), np.r_[-np.inf, theta[d:], np.inf]
+        score, cut = x.times(theta[:d]), np.r_[-np.inf, theta[d:], np.inf]
         upper = np.where(grade == grades - 1, 1.0, sigmoid(cut[grade + 1] - score))
         lower = np.where(grade == 0, 0.0, sigmoid(cut[grade] - score))
         p = np.maximum(upper - lower, 1e-12)
         up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-        slope = np.r_[x.T @ (up - low).astype(np.float32) / n + ridge * theta[:d],
+        slope = np.r_[x.back(up - low) / n + ridge * theta[:d],
                       [((grade == k + 1) * low).sum() / n - ((grade == k) * up).sum() / n for k in range(grades - 1)]]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -116,14 +130,15 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, key: str = "doc_id
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
     kind = rows.schema["_key"].dataType.simpleString()
     rows = rows.select("_key", "label", "_text").mapInArrow(split, f"_key {kind}, label int, words array<string>")
-    return settle(rows, "labelled")
+    # a key is one row of the sample however often it is among the documents
+    return settle(rows.groupBy("_key").agg(F.max("label").alias("label"), F.max("words").alias("words")), "labelled")
 
 
-def fit(rows: DataFrame, features: int = FEATURES, strength: float = 5.0) -> Model:
+def fit(rows: DataFrame, strength: float = 5.0) -> Model:
     """Model from the bounded ``sample``.
 
-    The vocabulary is the ``features`` features whose shares of toxic and of clean texts lie furthest apart in standard
-    errors, and more than ``strength`` of them.  Labels only say toxic or not; toxic texts are graded 1 or 2 by whether
+    The vocabulary is every feature whose shares of toxic and of clean texts lie at least ``strength`` standard errors
+    apart.  Labels only say toxic or not; toxic texts are graded 1 or 2 by whether
     their number of toxic features is below or above the middle of all toxic texts.  Without toxic or without
     clean texts the model is empty.
     """
@@ -137,24 +152,23 @@ def fit(rows: DataFrame, features: int = FEATURES, strength: float = 5.0) -> Mod
     error = F.sqrt(share * (1 - share) * F.lit(1 / toxic + 1 / clean))
     ranked = counts.withColumn("z", F.try_divide(F.col("a") / F.lit(toxic) - F.col("b") / F.lit(clean), error)).filter(
         F.abs("z") >= strength)
-    picked = [(r["word"], r["z"]) for r in ranked.orderBy(F.abs("z").desc(), "word").limit(features).collect()]
+    picked = [(r["word"], r["z"]) for r in ranked.orderBy("word").collect()]  # features of at most fit_rows rows
     if not picked:
         return Model({}, [])
     vocabulary = settle(rows.sparkSession.createDataFrame([(w,) for w, _ in picked], "word string"), "vocabulary")
-    # at most fit_rows rows of at most ``features`` features each
+    # the features that fit_rows rows have of it
     cells = rows.select("_key", "label", F.explode_outer("words").alias("word")).join(
-        F.broadcast(vocabulary.withColumn("known", F.lit(True))), "word", "left").groupBy("_key", "label").agg(
+        vocabulary.withColumn("known", F.lit(True)), "word", "left").groupBy("_key", "label").agg(
         F.collect_set(F.when(F.col("known"), F.col("word"))).alias("words")).orderBy("_key").collect()
     place = {w: n for n, (w, _) in enumerate(picked)}
-    x = np.zeros((len(cells), len(place)), dtype=np.float32)
-    for n, r in enumerate(cells):
-        x[n, [place[w] for w in r["words"]]] = 1
+    x = Sparse(np.repeat(np.arange(len(cells)), [len(r["words"]) for r in cells]),
+               np.array([place[w] for r in cells for w in sorted(r["words"])], dtype=np.int64), (len(cells), len(place)))
     label = np.array([r["label"] for r in cells])
-    marks = x @ np.array([z > 0 for _, z in picked], dtype=np.float32)
+    marks = x.times(np.array([z > 0 for _, z in picked], dtype=float))
     middle = np.median(marks[label == 1])
     grade = np.where(label == 0, 0, np.where(marks > middle, 2, 1))
     weights, thresholds = cumulative_link(x, grade, 3)
-    cut = best_cut(x @ weights.astype(np.float32), label == 1)
+    cut = best_cut(x.times(weights), label == 1)
     return Model(dict(zip(place, weights.tolist(), strict=True)), thresholds.tolist(), cut)
 
 

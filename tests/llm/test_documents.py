@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -126,18 +128,21 @@ def test_top_k(spark, block_rows):
     rows = [(i, [rnd.uniform(-1, 1) if i % 3 else rnd.choice([0.25, -0.5]) for _ in range(5)], "r") for i in range(300)]
     rows += [(300, None, ""), (301, [1.0, None, 0.0, 0.0, 0.0], ""), (320, [float("nan")] * 5, ""), (340, [1e9] * 5, ""),
              (302, [float("inf")] * 5, ""), (None, [0.1] * 5, ""), (40, rows[40][1], "again"), (360, [0.5, 0.5], ""), (361, [0.1, -0.1], ""),
-             (380, [], "")]
+             (380, [], ""), (400, [], "")]
+    # both sides of what 64 bits hold
+    rows += [(i, [rnd.choice([-1, 1]) * 2.0 ** rnd.choice([15, 15.9, 16, 20, 31, 33.3, 60, 300, 1023]) for _ in range(5)], "w") for i in range(500, 580)]
+    rows += [(600, [1.7e308] * 5, "w"), (601, [-1.7e308] * 5, "w"), (620, [5e-324, 0.0, 0.0, 0.0, 1.0], "w")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = [tuple(r) for r in topk.top_k(frame, k=7, block_rows=block_rows, query_rows=4).collect()]
-    fit = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v, _ in rows if i is not None and v is not None
-           and all(x is not None and np.isfinite(x) and abs(x) < 1e6 for x in v)]
+    fit = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v, _ in rows if i is not None and v is not None
+           and all(x is not None and np.isfinite(x) for x in v)]
     want, seen = [], set()
     for q, a in fit:
         if q % 20 == 0 and q not in seen:
             seen.add(q)
-            best = sorted((-int(a @ b), i) for i, b in fit if i != q and len(b) == len(a))[:7]
-            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert sorted(got) == sorted(want)
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fit if i != q and len(b) == len(a))[:7]
+            want += [(q, n + 1, i, -s if abs(s) < 1 << 63 else None) for n, (s, i) in enumerate(best)]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(w[3] is None for w in want) > 100
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
@@ -267,12 +272,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(docs.limit(0), known).count() == 0
 
 
+def test_severity_equals_a_plain_version(spark):
+    """Vocabulary and scores from the definition, for more significant features than a fixed table would hold."""
+    rnd = random.Random(10)
+    bad, good = [f"bad{a}{b}" for a in "bcdfghjklm" for b in "aeiouy"], [f"{a}{b}good" for a in "bcdfghjklm" for b in "aeiouy"]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        words = rnd.sample(good, 12) + rnd.sample(bad, 9 if toxic else 0) + ["The", "x1y", "éa"]
+        rows.append((i, " ".join(words), "s", "", ""))
+        labels.append((i, 1, int(toxic)))
+    rows += [(1, rows[1][1], "again", "", ""), (2000, None, "", "", ""), (2001, "badba badbe", "", "", "")]
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = toxicity.sample(docs, known, 5000)
+    assert sample.count() == 1200
+    model = toxicity.fit(sample)
+    features = lambda t: {f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in [w, *[w[:n] + "*" for n in (4, 5, 6) if len(w) > n]]}
+    seen = [(features(t), y) for (_, t, *_), (_, _, y) in zip(rows, labels)]
+    n1, n0, want = sum(y for _, y in seen), sum(1 - y for _, y in seen), set()
+    for f in set().union(*[f for f, _ in seen]):
+        a, b = sum(y for s, y in seen if f in s), sum(1 - y for s, y in seen if f in s)
+        share = (a + b) / (n1 + n0)
+        error = math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        if error and abs(a / n1 - b / n0) / error >= 5:
+            want.add(f)
+    assert set(model.weights) == want and len(want) > 60
+    for g in toxicity.scored(docs, known, 5000).collect():
+        text = next(t for i, t, *_ in rows if i == g.doc_id)
+        score = sum(model.weights.get(f, 0.0) for f in features(text))
+        assert g.severity == pytest.approx(sum(1 / (1 + math.exp(t - score)) for t in model.thresholds), rel=1e-9)
+
+
 def test_severity_rises_with_the_grade():
     rnd = np.random.default_rng(1)
     x = (rnd.random((2000, 6)) < 0.4).astype(np.float32)
     true = np.array([2.0, 1.5, 1.0, 0.0, -1.0, 0.5])
     grade = np.digitize(x @ true + rnd.logistic(size=2000), [0.5, 2.5, 4.0])
-    weights, cuts = toxicity.cumulative_link(x, grade, 4)
+    weights, cuts = toxicity.cumulative_link(toxicity.Sparse(*np.nonzero(x), x.shape), grade, 4)
     assert np.abs(weights - true).max() < 0.35 and (np.diff(cuts) > 0).all()
 
 
@@ -302,3 +338,9 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_vocabularies_are_where_the_queries_look():
     assert open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(1) == "{"
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
