@@ -615,6 +615,14 @@ query("ST6_library_factors", f"SELECT project, mode, srr, {r6('sf')} AS size_fac
     lambda t: C.size_factors(V.counts(t), ["project", "mode"], "library"))
 query("ST7_diff_test", f"""SELECT project, mode, gene, {r6('log2fc')} AS log2fc, {r6('stat')} AS stat, {r6('pvalue')} AS pvalue,
     {r6('padj')} AS padj FROM diff""")(lambda t: project_diff(t).select("project", "mode", "gene", "log2fc", "stat", "pvalue", "padj"))
+@query("ST7_diff_test_shrunk", f"""SELECT project, mode, gene, {r6('log2fc')} AS log2fc, {r6('stat')} AS stat, {r6('pvalue')} AS pvalue,
+    {r6('padj')} AS padj FROM diff_shrunk""")
+def diff_shrunk(t):
+    counts = settle(V.counts(t), "counts")
+    design = V.samples(t).join(counts.select("project", "srr", "mode").distinct(), ["project", "srr"])
+    return C.diff_test(counts, design, ["project", "mode"], shrink=True).select("project", "mode", "gene", "log2fc", "stat", "pvalue", "padj")
+
+
 query("ST8_enrich_prerank", f"SELECT project, mode, pathway, {r6('es')} AS es, {r6('nes')} AS nes FROM proj_nes")(
     lambda t: G.enrich_prerank(project_diff(t), V.gene_sets(t), ["project", "mode"]))
 PAIR_ROWS = " UNION ALL ".join(f"SELECT project, srr, gene, '{a}-{b}' AS pair, {a} AS x, {b} AS y FROM wide" for a, b in PROFILE_PAIRS)
@@ -700,6 +708,33 @@ MI = " UNION ALL ".join(f"""SELECT '{f}' AS feature, {r6('sum(n / tot * ln(n * t
     benefits_from_trimming AS lab FROM evaluation, (SELECT quantile_cont({f}, [{', '.join(str(i / 8) for i in range(1, 8))}]) AS e FROM evaluation))
     GROUP BY 1, 2))""" for f in QC_FEATURES)
 query("ST13_mutual_information", MI)(lambda t: qcmodel.feature_scores(evaluation(t)))
+
+
+def psi_sql(x: str) -> str:
+    """Digamma of a positive number."""
+    x, one = f"({x})::DOUBLE", "1.0::DOUBLE"
+    f = f"({one} / (({x} + 6) * ({x} + 6)))"
+    rest = " - ".join(f"{one} / ({x} + {i})" for i in range(6))
+    return f"(ln({x} + 6) - {one} / (2 * ({x} + 6)) - {f} * ({one} / 12 - {f} * ({one} / 120 - {f} / 252)) - {rest})"
+
+
+def nearest_sql(feature: str) -> str:
+    """Mutual information of one feature with the benefit label from its three nearest neighbours."""
+    near = ", ".join(f"abs(v - {side}(v, {d}) OVER w)" for side in ("lag", "lead") for d in (1, 2, 3))
+    return f"""SELECT '{feature}' AS feature, {r6(f"greatest(0, {psi_sql('count(*)')} + avg({psi_sql('k')}) - avg({psi_sql('nc')}) - avg({psi_sql('m')}))")} AS mutual_information
+        FROM (WITH p AS (SELECT benefits_from_trimming AS lab, {feature}::DOUBLE AS v, count(*) OVER (PARTITION BY benefits_from_trimming) AS nc FROM evaluation
+            WHERE {' AND '.join(f'{f} IS NOT NULL' for f in QC_FEATURES)}),
+        q AS (SELECT *, least(3, nc - 1) AS k, list_sort(list_filter([{near}], lambda d: d IS NOT NULL)) AS ds FROM p WHERE nc > 1
+            WINDOW w AS (PARTITION BY lab ORDER BY v)),
+        r AS (SELECT *, ds[k] AS r, v - ds[k] AS low, v + ds[k] AS high FROM q),
+        c AS (SELECT v AS at, sum(count(*)) OVER (ORDER BY v) AS upto FROM p WHERE nc > 1 GROUP BY v)
+        SELECT r.k, r.nc, CASE WHEN r.r > 0 THEN coalesce(hl.upto, 0) - coalesce(le.upto, 0) ELSE coalesce(he.upto, 0) - coalesce(ll.upto, 0) END AS m
+        FROM r ASOF LEFT JOIN c hl ON r.high > hl.at ASOF LEFT JOIN c he ON r.high >= he.at
+        ASOF LEFT JOIN c le ON r.low >= le.at ASOF LEFT JOIN c ll ON r.low > ll.at)"""
+
+
+query("ST13_nearest_information", " UNION ALL ".join(nearest_sql(f) for f in QC_FEATURES))(
+    lambda t: ST.nearest_information(evaluation(t), list(QC_FEATURES), "benefits_from_trimming"))
 CLS_COLS = ", ".join([f"{r6(f'{m}_delta_path')} AS {m}_delta_path" for m in TRIMMED_METHODS] + [f"{m}_class" for m in TRIMMED_METHODS])
 query("ST14_classify_trimming", f"SELECT project_id, SRR_ID, {CLS_COLS}, t_star FROM cls")(classes)
 

@@ -167,6 +167,17 @@ VIEWS = {
 
 def wald_sql(src: str, keys: str) -> str:
     """log2fc, stat and pvalue from the per-condition sums of ``src``."""
+    return tested_sql(f"({dispersion_sql(src)})", keys)
+
+
+def dispersion_sql(src: str) -> str:
+    return f"""SELECT *, greatest(coalesce((w - m * r) / nullif(m * m, 0), 0.0), 1e-8) AS a FROM (
+        SELECT *, (greatest(q0 - n0 * m0 * m0, 0.0) + greatest(q1 - n1 * m1 * m1, 0.0)) / nullif(n0 + n1 - 2.0, 0) AS w,
+            (s0 + s1) / (n0 + n1) AS m, (r0 + r1) / (n0 + n1) AS r FROM (
+        SELECT *, s0 / n0 AS m0, s1 / n1 AS m1 FROM {src}))"""
+
+
+def tested_sql(src: str, keys: str) -> str:
     erfc = ("u * exp(-1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * "
             "(0.27886807 + u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277)))))))) - z * z)")
     return f"""SELECT {keys}, coalesce(b / ln(2.0::DOUBLE), 0.0) AS log2fc, coalesce(stat, 0.0) AS stat,
@@ -175,11 +186,7 @@ def wald_sql(src: str, keys: str) -> str:
         SELECT *, b / nullif(sqrt(v0 + v1), 0) AS stat FROM (
         SELECT *, (m0 * (r0 / n0) + a * m0 * m0) / n0 / ((m0 + 0.5) * (m0 + 0.5)) AS v0,
             (m1 * (r1 / n1) + a * m1 * m1) / n1 / ((m1 + 0.5) * (m1 + 0.5)) AS v1,
-            CASE WHEN m > 0 THEN ln((m1 + 0.5) / (m0 + 0.5)) END AS b FROM (
-        SELECT *, greatest(coalesce((w - m * r) / nullif(m * m, 0), 0.0), 1e-8) AS a FROM (
-        SELECT *, (greatest(q0 - n0 * m0 * m0, 0.0) + greatest(q1 - n1 * m1 * m1, 0.0)) / nullif(n0 + n1 - 2.0, 0) AS w,
-            (s0 + s1) / (n0 + n1) AS m, (r0 + r1) / (n0 + n1) AS r FROM (
-        SELECT *, s0 / n0 AS m0, s1 / n1 AS m1 FROM {src}))))))"""
+            CASE WHEN m > 0 THEN ln((m1 + 0.5) / (m0 + 0.5)) END AS b FROM {src})))"""
 
 
 def bh_sql(src: str, keys: str) -> str:
@@ -239,6 +246,20 @@ VIEWS.update({
     "moments": "SELECT * FROM gene_sums JOIN design_sums USING (project, mode)",
     "fit": wald_sql("moments", "project, mode, gene"),
     "diff": bh_sql("fit", "project, mode"),
+    "disp": dispersion_sql("moments"),
+    "trend": """SELECT project, mode, sy / nullif(n, 0) - slope * sx / nullif(n, 0) AS a0, slope AS a1 FROM (SELECT *,
+        CASE WHEN n > 2 AND n * sxx - sx * sx > 1e-12 * n * sxx THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0.0 END AS slope FROM (
+        SELECT project, mode, CAST(count(*) FILTER (ok) AS DOUBLE) AS n, sum(1 / m) FILTER (ok) AS sx, sum(a) FILTER (ok) AS sy,
+            sum(1 / m / m) FILTER (ok) AS sxx, sum(a / m) FILTER (ok) AS sxy
+        FROM (SELECT *, a > 1e-8 AND m > 0 AS ok FROM disp) GROUP BY 1, 2))""",
+    "trended": """SELECT *, a > 1e-8 AND m > 0 AS ok, greatest(a0 + coalesce(a1 / nullif(m, 0), 0.0), 1e-8) AS t,
+        list_sum(list_transform(range(6), lambda i: 1 / ((n0 + n1 - 2) / 2 + i) ^ 2)) + 1 / ((n0 + n1 + 10) / 2)
+            + 1 / 2.0::DOUBLE / ((n0 + n1 + 10) / 2) ^ 2 + 1 / 6.0::DOUBLE / ((n0 + n1 + 10) / 2) ^ 3 - 1 / 30.0::DOUBLE / ((n0 + n1 + 10) / 2) ^ 5 AS noise
+        FROM disp JOIN trend USING (project, mode)""",
+    "shrunk": """SELECT * EXCLUDE (a), CASE WHEN ok THEN exp((p * ln(a) + noise * ln(t)) / (p + noise)) ELSE t END AS a FROM (
+        SELECT *, greatest(var_pop(CASE WHEN ok THEN ln(a) - ln(t) END) OVER (PARTITION BY project, mode) - noise, 0.25) AS p FROM trended)""",
+    "fit_shrunk": tested_sql("shrunk", "project, mode, gene"),
+    "diff_shrunk": bh_sql("fit_shrunk", "project, mode"),
     **enrich_views("proj", "diff", "project, mode"),
 })
 

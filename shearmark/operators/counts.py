@@ -11,6 +11,8 @@ from ..schemas import BASELINE, METHODS, MIN_PER_CONDITION, MIN_SAMPLES
 from .cleaning import neutral_fill
 from .ordering import bh_adjust
 
+LEAST_DISPERSION = 1e-8
+
 
 def gene_universe(counts: DataFrame) -> DataFrame:
     """Distinct genes over each project's untrimmed files."""
@@ -98,7 +100,12 @@ def wald(df: DataFrame) -> DataFrame:
     r_c sum of 1/size factor, s_c sum of scaled counts and q_c sum of their
     squares.  Steps are separate projections so that no term is expanded twice.
     """
-    zero, half = F.lit(0.0), F.lit(0.5)
+    return tested(dispersions(df))
+
+
+def dispersions(df: DataFrame) -> DataFrame:
+    """Adds the means m, m0, m1, the mean r of the inverse size factors and the dispersion alpha of every gene."""
+    zero = F.lit(0.0)
     c = F.col
     out = df.withColumns({"m0": c("s0") / c("n0"), "m1": c("s1") / c("n1")})
     out = out.withColumns({
@@ -107,8 +114,45 @@ def wald(df: DataFrame) -> DataFrame:
         "m": (c("s0") + c("s1")) / (c("n0") + c("n1")), "r": (c("r0") + c("r1")) / (c("n0") + c("n1"))})
     # A single sample has no deviation from its own mean, so its square sum contributes nothing to w.
     excess = F.try_divide(c("w") - c("m") * c("r"), c("m") * c("m"))
-    out = out.withColumn("alpha", F.greatest(F.coalesce(excess, zero), F.lit(1e-8)))
-    out = out.withColumns({f"v{i}": (c(f"m{i}") * (c(f"r{i}") / c(f"n{i}")) + c("alpha") * c(f"m{i}") * c(f"m{i}"))
+    return out.withColumn("alpha", F.greatest(F.coalesce(excess, zero), F.lit(LEAST_DISPERSION)))
+
+
+def shrunken(df: DataFrame, by: list[str]) -> DataFrame:
+    """``dispersions`` drawn towards their test's trend alpha(m) = a0 + a1 / m, both from sums over its genes.
+
+    The trend is a least-squares fit over genes with an estimate above the least one; a test with fewer than three, or
+    with equal means, has a flat trend.  On the log scale a gene's estimate has the sampling variance trigamma(df / 2)
+    and the trend a prior variance of what the residuals have beyond it, a quarter at least.  The result is their
+    weighted mean.  Genes without an estimate of their own take the trend; a test without any keeps its values.
+    """
+    c, one = F.col, F.lit(1.0)
+    usable = (c("alpha") > LEAST_DISPERSION) & (c("m") > 0)
+    x, y = F.when(usable, one / c("m")), F.when(usable, c("alpha"))
+    sums = df.groupBy(*by).agg(F.count(x).cast("double").alias("_n"), F.sum(x).alias("_x"), F.sum(y).alias("_y"),
+                               F.sum(x * x).alias("_xx"), F.sum(x * y).alias("_xy"))
+    spread = c("_n") * c("_xx") - c("_x") * c("_x")
+    slope = F.when((c("_n") > 2) & (spread > 1e-12 * c("_n") * c("_xx")), (c("_n") * c("_xy") - c("_x") * c("_y")) / spread).otherwise(0.0)
+    lines = settle(sums.withColumn("_a1", slope).select(*by, F.try_divide(c("_y") - c("_a1") * c("_x"), c("_n")).alias("_a0"), "_a1"), "trends")
+    trend = F.greatest(c("_a0") + F.coalesce(c("_a1") / F.nullif(c("m"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_DISPERSION))
+    out = settle(join_groups(df, lines, by).withColumn("_trend", trend).drop("_a0", "_a1"), "trended")
+    half = (c("n0") + c("n1") - 2.0) / 2.0
+    # trigamma by recurrence to beyond 6 and its asymptotic series
+    far = half + 6.0
+    sampling = sum((one / ((half + float(i)) * (half + float(i))) for i in range(6)), F.lit(0.0)) + one / far + one / (2.0 * far * far) \
+        + one / (6.0 * far * far * far) - one / (30.0 * far * far * far * far * far)
+    out = out.withColumn("_noise", F.when(half > 0, sampling))
+    residual = F.when(usable, F.ln("alpha") - F.ln("_trend"))
+    wide = settle(out.groupBy(*by).agg(F.var_pop(residual).alias("_spread")), "spreads")
+    prior = F.greatest(F.coalesce(c("_spread") - c("_noise"), F.lit(0.0)), F.lit(0.25))
+    weight = F.when(usable, prior / (prior + F.coalesce("_noise", F.lit(0.0)))).otherwise(0.0)
+    drawn = F.exp(weight * F.ln("alpha") + (one - weight) * F.ln("_trend"))
+    return join_groups(out, wide, by).withColumn("alpha", F.coalesce(drawn, c("alpha"))).drop("_trend", "_noise", "_spread")
+
+
+def tested(df: DataFrame) -> DataFrame:
+    """log2fc, stat and pvalue from ``dispersions``, whose columns are dropped."""
+    half, c = F.lit(0.5), F.col
+    out = df.withColumns({f"v{i}": (c(f"m{i}") * (c(f"r{i}") / c(f"n{i}")) + c("alpha") * c(f"m{i}") * c(f"m{i}"))
                            / c(f"n{i}") / ((c(f"m{i}") + half) * (c(f"m{i}") + half)) for i in (0, 1)})
     out = out.withColumn("beta", F.when(c("m") > 0, F.ln((c("m1") + half) / (c("m0") + half))))
     out = out.withColumn("stat", F.try_divide("beta", F.sqrt(c("v0") + c("v1"))))
@@ -139,8 +183,8 @@ def with_role(samples: DataFrame, by: list[str]) -> DataFrame:
             .filter(F.col("role").isNotNull()).drop("level0", "level1"))
 
 
-def diff_test(counts: DataFrame, samples: DataFrame, by: list[str], how: str = "library") -> DataFrame:
-    """Two-group test per (by, gene): log2fc, stat, pvalue, padj.
+def diff_test(counts: DataFrame, samples: DataFrame, by: list[str], how: str = "library", shrink: bool = False) -> DataFrame:
+    """Two-group test per (by, gene): log2fc, stat, pvalue, padj; ``shrink`` draws dispersions to their trend.
 
     ``counts`` is long (by, srr, gene, count); absent cells are zeros and only
     enter through the sample numbers.  Groups with one condition give nothing.
@@ -160,7 +204,7 @@ def diff_test(counts: DataFrame, samples: DataFrame, by: list[str], how: str = "
     sums = scaled.groupBy(*by, "gene").agg(*[
         F.coalesce(F.sum(F.when(F.col("role") == r, v)), zero).alias(f"{k}{r}")
         for r in (0, 1) for k, v in (("s", F.col("q")), ("q", F.col("q") * F.col("q")))])
-    tested = join_groups(sums, groups, by)
-    fit = wald(tested)
+    found = dispersions(join_groups(sums, groups, by))
+    fit = tested(shrunken(settle(found, "dispersions"), by) if shrink else found)
     return neutral_fill(bh_adjust(fit.withColumn("pvalue", F.coalesce("pvalue", F.lit(1.0))), by, "pvalue",
                                   bounded=True))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import to_double
 from ..runtime import join_groups, settle
 from ..schemas import MIN_PAIRS, PROFILE_PAIRS
-from .ordering import avg_rank, following, summarise
+from .ordering import avg_rank, cumulate, following, summarise
 
 
 def pearson(x: str, y: str) -> Column:
@@ -197,3 +197,56 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     term = F.col("n") / w("feature") * F.ln(F.col("n") * w("feature") / (w("feature", "bin") * w("feature", "label")))
     return (joint.withColumn("t", term).groupBy("feature").agg(F.sum("t").alias("mutual_information"))
             .orderBy(F.desc("mutual_information"), "feature"))
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of a positive number, by recurrence to beyond 6 and its asymptotic series."""
+    x, one = n.cast("double"), F.lit(1.0)
+    far = one / ((x + 6.0) * (x + 6.0))
+    series = F.ln(x + 6.0) - one / (2.0 * (x + 6.0)) - far * (1 / 12 - far * (1 / 120 - far / 252))
+    return series - sum((one / (x + float(i)) for i in range(6)), F.lit(0.0))
+
+
+def nearest_information(df: DataFrame, features: list[str], label: str, k: int = 3) -> DataFrame:
+    """Mutual information (nats) of each feature with a discrete label from nearest neighbours, best first.
+
+    A point's radius is the distance to its k-th nearest other point of the same label (its last one, if there are fewer),
+    and m counts the points of any label, its own included, that are nearer than that, or equal where the radius is 0.  Then MI is
+    psi(N) + mean psi(k) - mean psi(points of the label) - mean psi(m), 0 at least; a label's only point takes no part.
+    Rows with a null among the columns are left out.
+
+    Equal points are one row with a count.  Ranks come from range-partitioned pieces, neighbours are looked up by rank and
+    counts within the radius by the rank of its ends, so no label and no value is ever in one task.
+    """
+    complete = df.select(*features, label).dropna()
+    long = complete.select(F.col(label).alias("label"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("e")).select("label", "e.*")
+    points = long.groupBy("feature", "label", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = settle(cumulate(points, ["feature", "label"], ["v"]).filter("total > 1").select(
+        "feature", "label", "v", "n", "below", "total", F.least(F.lit(k), F.col("total") - 1).alias("k")), "placed")
+    # the first and last k ranks of every value are all that a neighbour can ask for
+    edge = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(k)) - 1),
+                                     F.sequence(F.greatest(F.col("n") - k, F.lit(0).cast("long")), F.col("n") - 1)))
+    ranked = placed.select("feature", "label", F.col("v").alias("_w"), "below", F.explode(edge).alias("_i")).select(
+        "feature", "label", "_w", (F.col("below") + F.col("_i")).alias("rank"))
+    steps = F.sequence(F.lit(1), F.lit(k))
+    wanted = F.concat(F.transform(steps, lambda d: F.col("below") - d), F.transform(steps, lambda d: F.col("below") + F.col("n") - 1 + d))
+    asked = placed.filter("n <= k").withColumn("rank", F.explode(wanted))
+    far = asked.join(ranked, ["feature", "label", "rank"]).groupBy("feature", "label", "v").agg(
+        F.sort_array(F.collect_list(F.abs(F.col("v") - F.col("_w")))).alias("_far"))
+    radius = F.when(F.col("n") > F.col("k"), F.lit(0.0)).otherwise(F.get("_far", (F.col("k") - F.col("n")).cast("int")))
+    around = settle(placed.join(far, ["feature", "label", "v"], "left").withColumn("r", radius).select(
+        "feature", "label", "v", "n", "total", "k", (F.col("v") - F.col("r")).alias("low"), (F.col("v") + F.col("r")).alias("high"), "r"), "radii")
+    ends = around.select("feature", F.explode(F.array("low", "high")).alias("v"), F.lit(0).cast("long").alias("n"))
+    values = placed.select("feature", "v", "n").unionByName(ends).groupBy("feature", "v").agg(F.sum("n").alias("n"))
+    ranks = settle(cumulate(values, ["feature"], ["v"]).select("feature", F.col("v").alias("_at"), "below", (F.col("below") + F.col("n")).alias("upto")), "ranks")
+    low = ranks.select("feature", F.col("_at").alias("low"), F.col("below").alias("_low_lt"), F.col("upto").alias("_low_le"))
+    high = ranks.select("feature", F.col("_at").alias("high"), F.col("below").alias("_high_lt"), F.col("upto").alias("_high_le"))
+    counted = around.join(low, ["feature", "low"]).join(high, ["feature", "high"])
+    m = F.when(F.col("r") > 0, F.col("_high_lt") - F.col("_low_le")).otherwise(F.col("_high_le") - F.col("_low_lt"))
+    n = F.sum("n")
+    mean = lambda c: F.sum(F.col("n") * digamma(c)) / n
+    found = counted.withColumn("m", m).groupBy("feature").agg(
+        (digamma(n) + mean(F.col("k")) - mean(F.col("total")) - mean(F.col("m"))).alias("_mi"))
+    return found.select("feature", F.greatest(F.lit(0.0), F.col("_mi")).alias("mutual_information")).orderBy(
+        F.desc("mutual_information"), "feature")

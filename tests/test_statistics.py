@@ -379,3 +379,56 @@ def test_loso_keeps_targets_of_every_condition(spark):
     assert got.keys() == want.keys()
     for k, w in want.items():
         assert got[k] == pytest.approx(w[:2], abs=1e-9), k
+
+
+def test_dispersions_are_drawn_to_their_trend(spark):
+    """Against numpy: trend by least squares on 1 / mean, prior from the residuals, weighted mean on the log scale."""
+    rng = np.random.default_rng(8)
+    data = []
+    for t in range(3):
+        n0, n1 = 3 + t, 4
+        for g in range(120 if t < 2 else 2):
+            m0, m1 = rng.uniform(2, 200), rng.uniform(2, 200)
+            spread = (0.3 + 4 / m0) * rng.lognormal(0, 0.8)
+            q0, q1 = n0 * m0 * m0 * (1 + spread), n1 * m1 * m1 * (1 + spread)
+            if g % 10 == 0:
+                q0, q1 = n0 * m0 * m0, n1 * m1 * m1  # nothing above the least dispersion
+            data.append((t, g, float(n0), float(n1), float(n0), float(n1), n0 * m0, n1 * m1, q0, q1))
+    df = spark.createDataFrame(data, "t int, g int, n0 double, n1 double, r0 double, r1 double, s0 double, s1 double, q0 double, q1 double")
+    plain = settle(C.dispersions(df))
+    got = {(r.t, r.g): r.alpha for r in C.shrunken(plain, ["t"]).collect()}
+    for t in range(3):
+        own = sorted(plain.filter(f"t = {t}").collect(), key=lambda r: r.g)
+        a, m = np.array([r.alpha for r in own]), np.array([r.m for r in own])
+        ok = a > 1e-8
+        slope, base = np.polyfit(1 / m[ok], a[ok], 1) if ok.sum() > 2 else (0.0, a[ok].mean())
+        trend = np.maximum(base + slope / m, 1e-8)
+        half = (own[0].n0 + own[0].n1 - 2) / 2
+        noise = sum(1 / (half + k) ** 2 for k in range(200000))
+        prior = max(np.var(np.log(a[ok]) - np.log(trend[ok])) - noise, 0.25)
+        w = prior / (prior + noise)
+        want = np.where(ok, np.exp(w * np.log(a) + (1 - w) * np.log(trend)), trend)
+        assert [got[t, r.g] for r in own] == pytest.approx(want.tolist(), rel=1e-4)
+
+
+def test_nearest_information_matches_brute_force(spark):
+    """Ties, constants, a label of one point, a label of fewer points than neighbours."""
+    rng = np.random.default_rng(12)
+    label = ["a"] * 70 + ["b"] * 40 + ["c"] * 3 + ["d"]
+    shift = {"a": 0, "b": 40, "c": 90, "d": 5}
+    frames = {"near": [float(shift[c] + rng.integers(-30, 30)) / 64 for c in label], "noise": [float(rng.integers(0, 4000)) / 64 for _ in label],
+              "tied": [float(shift[c] // 40) for c in label], "constant": [1.0] * len(label)}
+    data = [(c, *[v[i] for v in frames.values()]) for i, c in enumerate(label)] + [("a", None, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "label string, " + ", ".join(f"{f} double" for f in frames))
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    got = {r.feature: r.mutual_information for r in S.nearest_information(df, list(frames), "label", 3).collect()}
+    for f, values in frames.items():
+        kept = [(v, c) for v, c in zip(values, label) if label.count(c) > 1]
+        total = 0.0
+        for i, (v, c) in enumerate(kept):
+            own = sorted(abs(v - w) for j, (w, d) in enumerate(kept) if d == c and j != i)
+            k = min(3, len(own))
+            r = own[k - 1]
+            m = sum((abs(v - w) < r) if r > 0 else v == w for w, _ in kept)
+            total += psi(k) - psi(len(own) + 1) - psi(m)
+        assert got[f] == pytest.approx(max(0.0, psi(len(kept)) + total / len(kept)), abs=1e-9), f
