@@ -54,8 +54,9 @@ def first_digit(v: Column) -> Column:
             .when(v == 0, 0).when(v > 0, size).otherwise(-size))
 
 
-def select_ranks(long: DataFrame, keys: list[str], wanted: list[tuple[int, float]], leaf: int) -> DataFrame:
-    """(keys, _q, _part, value, _w): per quantile the values at the ranks below and above it, and its weight between them.
+def select_ranks(long: DataFrame, keys: list[str], wanted: list[tuple[int, float]], leaf: int) -> tuple[DataFrame, int]:
+    """(keys, _q, _part, value, _w): per quantile the values at the ranks below and above it, and its weight between them;
+    and a bound of their number.
 
     ``long`` has (keys, _col, _v) with non-null values; ``wanted`` the (column number, probability) of every quantile.
     A task sees counts of digits, and at most ``leaf`` values of one digit.
@@ -81,31 +82,34 @@ def placed(digits: DataFrame, group, wanted: list[tuple[int, float]]) -> DataFra
                             "_k": F.col("_r._k") - F.col("_below")}).drop("_r", "_below", "_total", "_d")
 
 
-def refined(long: DataFrame, keys: list[str], found: DataFrame, leaf: int) -> DataFrame:
-    """Values at the ranks that ``placed`` has found the digits of; only rows of digits that hold more than one value are read."""
+def refined(long: DataFrame, keys: list[str], found: DataFrame, leaf: int) -> tuple[DataFrame, int]:
+    """Values at the ranks that ``placed`` has found the digits of, and their number; only rows of digits that hold more than
+    one value are read."""
     place = ["_q", "_part", "_w"]
     found = settle(found, "digits")
     one = F.col("_lo") == F.col("_hi")
-    done = found.filter(one).select(*keys, *place, F.col("_lo").alias("value"))
-    open_ = found.filter(~one)
-    while not open_.isEmpty():
-        ranges = settle(open_.select(*keys, "_col", "_lo", "_hi", "_n").distinct(), "ranges")
-        inside = join_groups(long, ranges, [*keys, "_col"]).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    done, open_ = found.filter(one).select(*keys, *place, F.col("_lo").alias("value")), found.filter(~one)
+    total, left = found.agg(F.count(F.lit(1)), F.count_if(~one)).first()
+    while left:
+        ranges = open_.select(*keys, "_col", "_lo", "_hi", "_n").distinct()
+        inside = join_groups(long, ranges, [*keys, "_col"], rows=left).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         few = F.col("_n") <= leaf
         step = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * DIGITS)  # splits lo from hi in any case
         digits = inside.groupBy(*keys, "_col", "_lo", "_hi", F.when(few, 0).otherwise(F.least(step, F.lit(DIGITS - 1))).alias("_d")).agg(
             F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_l"), F.max("_v").alias("_h"),
             F.sort_array(F.collect_list(F.when(few, F.col("_v")))).alias("_vs"))
         span = Window.partitionBy(*keys, "_col", "_lo", "_hi").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-        digits = settle(digits.withColumn("_below", F.coalesce(F.sum("_m").over(span), F.lit(0))), "digits")
-        hit = join_groups(open_, digits, [*keys, "_col", "_lo", "_hi"]).filter(
+        digits = digits.withColumn("_below", F.coalesce(F.sum("_m").over(span), F.lit(0)))
+        digits = digits if left <= BROADCAST_ROWS else settle(digits, "digits")
+        hit = join_groups(digits, open_.drop("_n"), [*keys, "_col", "_lo", "_hi"], rows=left).filter(
             (F.col("_k") >= F.col("_below")) & (F.col("_k") < F.col("_below") + F.col("_m")))
         value = F.when(F.size("_vs") > 0, F.get("_vs", F.col("_k").cast("int"))).when(F.col("_l") == F.col("_h"), F.col("_l"))
         found = settle(hit.select(*keys, "_col", *place, value.alias("value"), (F.col("_k") - F.col("_below")).alias("_k"),
                                   F.col("_m").alias("_n"), F.col("_l").alias("_lo"), F.col("_h").alias("_hi")), "digits")
         done = done.unionByName(found.filter("value is not null").select(*keys, *place, "value"))
         open_ = found.filter("value is null").drop("value")
-    return done
+        left = open_.count()
+    return done, total
 
 
 def interpolated(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -133,12 +137,13 @@ def summarise(df: DataFrame, by: list[str], quantiles: dict[str, tuple[str, floa
     long = source.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])).alias("_e")
     ).select(*keys, "_e.*").filter(F.col("_v").isNotNull())
-    found = select_ranks(long, keys, [(cols.index(c), p) for c, p in quantiles.values()], leaf)
-    found = settle(interpolated(found, keys, list(quantiles)), "quantiles")
+    found, rows = select_ranks(long, keys, [(cols.index(c), p) for c, p in quantiles.values()], leaf)
+    found = interpolated(found, keys, list(quantiles))
     if not by:
         return source.groupBy().agg(F.lit(0).alias("_all"), *aggs).join(found, "_all", "left").drop("_all")
     base = source.groupBy(*keys).agg(*aggs) if aggs else source.select(*keys).distinct()
-    return join_groups(base, found, keys, "left")
+    found = found if rows <= BROADCAST_ROWS else settle(found, "quantiles")
+    return join_groups(base, found, keys, "left", rows=rows)
 
 
 def following(values: DataFrame, by: list[str], order: str, out: str) -> DataFrame:

@@ -77,16 +77,16 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str]):
 
 
 def join_groups(df: DataFrame, groups: DataFrame, on: list[str], how: str = "inner",
-                limit: int = BROADCAST_ROWS) -> DataFrame:
+                limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Join one settled row per group back to the many rows of the group (null keys match).
 
-    ``groups`` is broadcast only after counting it; past the limit both sides
-    are salted, so a group holding much of the data spreads over SALTS tasks.
+    ``groups`` is broadcast only after counting it, or where the caller has counted what bounds it (``rows``); past the
+    limit both sides are salted, so a group holding much of the data spreads over SALTS tasks.
     """
     names = {c: f"_g_{c}" for c in on}
     right = groups.withColumnsRenamed(names)
     keys = [F.col(c).eqNullSafe(F.col(g)) for c, g in names.items()]
-    if groups.count() <= limit:
+    if (groups.count() if rows is None else rows) <= limit:
         right, cond, extra = F.broadcast(right), keys, []
     else:
         rest = [c for c in df.columns if c not in on] or list(on)

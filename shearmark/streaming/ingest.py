@@ -98,7 +98,7 @@ def live_endpoint_summary(counts: DataFrame, attempts: DataFrame, window: str =
     timed = transfer_rate(attempts.withColumn("started_at", F.col("started_at").cast("timestamp")))
     rates = timed.select(F.window("started_at", window)["start"].alias("window_start"), "endpoint", F.lit(0).alias("_col"),
                          F.col("mb_per_sec").alias("_v")).filter("_v is not null")
-    found = refined(rates, group, placed(digits, Window.partitionBy(*group, "_col"), [(0, 0.5)]), leaf)
+    found, _ = refined(rates, group, placed(digits, Window.partitionBy(*group, "_col"), [(0, 0.5)]), leaf)
     medians = settle(interpolated(found, group, ["median_mb_per_sec"]), "medians")
     out = now.groupBy("window_start", "window_end", "endpoint").agg(
         F.sum("n").alias("attempts"), F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("n"))), F.lit(0)).alias("successes"),
