@@ -253,7 +253,8 @@ def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bu
         limits = [bucket_rows if deeper[n] else 0 for n in range(len(per_source))]
         scan, schema = linked(lanes, radius, limits)
         count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = spread.repartition(count, "t", "code").sortWithinPartitions("t", "code")
+        # by fingerprint inside a bucket: the buckets of a dense group then start their forests from the same few rows
+        dealt = spread.repartition(count, "t", "code").sortWithinPartitions("t", "code", *cols)
         out = settle(dealt.mapInArrow(scan, schema), "links")
         pairs = [f"{s}{i}" for s in "ab" for i in range(lanes)]
         fresh = out.filter("kind = 0").select(*pairs)
@@ -280,8 +281,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = settle(large, "large_star")
         floor = settle(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         small = large.join(floor.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
-                                              F.col("m").alias("v")).filter("u <> v").distinct()
+                                                            F.col("m").alias("v")).filter("u <> v").distinct()
+        used = [edges, low, large, floor]
         edges = settle(small, "small_star")
+        discard(used)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if last == (state["n"], state["h"]):
             break

@@ -180,7 +180,7 @@ def test_forest_of_similar_sets_spans_their_components():
 
 
 def test_links_of_a_dense_group_grow_with_its_rows(spark):
-    rnd, base = random.Random(5), [f"w{i}" for i in range(40)]
+    rnd, base = random.Random(5), [f"w{i}" for i in range(80)]
     rows = []
     for i in range(1200):
         other = list(base)
