@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .ordering import rank_list
 
 
 RANK_CELLS = 10_000_000  # of four bytes
+PERM_CHUNK = 25
 
 
 def set_members(ranked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -47,28 +50,9 @@ def _sized(hits: DataFrame, by: list[str], size: tuple[int, int]) -> DataFrame:
     return hits.withColumn("_n", n).filter(F.col("_n").between(*size)).drop("_n")
 
 
-def _ends(hits: Column, total: Column, n: Column) -> Column:
-    """Upper and lower end of one set's running score: ``hits`` is (pos, w) ascending, ``total`` the sum of w."""
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(1).alias("i"), F.lit(-2.0).alias("up"), F.lit(2.0).alias("down"))
-
-    def step(acc, h):
-        miss = (h["pos"] - acc["i"]) / (n - F.size(hits))
-        cum = acc["cum"] + h["w"]
-        return F.struct(cum.alias("cum"), (acc["i"] + 1).alias("i"),
-                        F.greatest(acc["up"], cum / total - miss).alias("up"),
-                        F.least(acc["down"], acc["cum"] / total - miss).alias("down"))
-
-    usable = (n > F.size(hits)) & (total > 0)
-    return F.when(usable, F.aggregate(hits, start, step))
-
-
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed exactly once per row: a generator is never inlined into later lambdas."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def permutation_ranks(genes: DataFrame, n_perm: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(gene, gid) with numbers from 0, and (perm, ranks): the place of every gid in each permutation of all genes.
+    """(gene, gid) with numbers from 0, and (chunk, ranks): the place of every gid in each permutation of all genes, PERM_CHUNK
+    permutations to a row.
 
     Permutation b orders the genes by md5(gene|b|seed), so it is the same on every run and in every engine.  All tests
     share this table; the genes of a test keep their order in it.  A window spans the gene catalogue.
@@ -80,7 +64,52 @@ def permutation_ranks(genes: DataFrame, n_perm: int, seed: int) -> tuple[DataFra
     place = (F.row_number().over(Window.partitionBy("perm").orderBy("key", "gene")) - 1).cast("int")
     ranked = keyed.select("perm", "gid", place.alias("rank"))
     ranks = ranked.groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("gid", "rank"))).alias("_r"))
-    return numbered, settle(ranks.select("perm", F.col("_r.rank").alias("ranks")), "permutations")
+    chunks = ranks.groupBy(F.floor((F.col("perm") - 1) / PERM_CHUNK).cast("int").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("perm", F.col("_r.rank").alias("ranks")))).alias("_c"))
+    return numbered, settle(chunks.select("chunk", F.col("_c.ranks").alias("ranks")), "permutations")
+
+
+def null_scores(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Sums and numbers of the positive and negative null scores of every set, for the permutations of each row.
+
+    ``rows``: by, gids and weights of the test's genes by position, sets (pathway, members: positions), ranks.  Permutation
+    b puts the genes in the order of their ranks over the fixed weights.
+    """
+    names = [*by, "pathway", "up", "n_up", "down", "n_down"]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in by}
+
+    def scan(batches):
+        for batch in batches:
+            keys, out = [], {c: [] for c in names[len(by):]}
+            for i in range(batch.num_rows):
+                gids, weights = (batch.column(c)[i].values.to_numpy() for c in ("gids", "weights"))
+                table, n = batch.column("ranks")[i].values, len(gids)
+                ranks = table.flatten().to_numpy().reshape(len(table), -1)[:, gids]
+                place = np.argsort(np.argsort(ranks, axis=1), axis=1)
+                for s in batch.column("sets")[i].as_py():
+                    members = np.array(s["members"]) - 1
+                    pos = np.sort(place[:, members], axis=1)
+                    weight = weights[pos]
+                    cum, m = np.cumsum(weight, axis=1), len(members)
+                    total = cum[:, -1:]
+                    if m < n:
+                        with np.errstate(all="ignore"):
+                            miss = (pos - np.arange(m)) / (n - m)
+                            high = (cum / total - miss).max(axis=1)
+                            low = ((cum - weight) / total - miss).min(axis=1)
+                        score = np.where(np.round(high + low, 9) >= 0, high, low)[total[:, 0] > 0]
+                    else:
+                        score = np.zeros(0)
+                    keys.append(i)
+                    for c, v in zip(names[len(by):], (s["pathway"], score[score > 0].sum(), (score > 0).sum(), -score[score < 0].sum(),
+                                                      (score < 0).sum()), strict=True):
+                        out[c].append(v)
+            at = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(at) for c in by], pa.array(out["pathway"], pa.string()), pa.array(out["up"], pa.float64()),
+                 pa.array(out["n_up"], pa.int64()), pa.array(out["down"], pa.float64()), pa.array(out["n_down"], pa.int64())], names=names)
+
+    return rows.mapInArrow(scan, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", pathway string, up double, n_up long, down double, n_down long")
 
 
 def enrich_prerank(results: DataFrame, sets: DataFrame, by: list[str], n_perm: int = 100, seed: int = 42,
@@ -92,8 +121,8 @@ def enrich_prerank(results: DataFrame, sets: DataFrame, by: list[str], n_perm: i
     same sign.
 
     A test's rank list (bounded by the gene catalogue) becomes one row of arrays.  The rank table of all tests is
-    attached to it, by broadcast while it has at most ``table_cells`` numbers, else by the permutation's number, and each
-    permutation is two sorts of whole numbers within the row: (rank, place) and back.
+    attached to it, some permutations at a time, by broadcast while it has at most ``table_cells`` numbers, and all sets
+    are scored for them in one batch of array operations.
     """
     ranked = settle(rank_list(results.select(*by, "gene", "stat"), by, min_genes=min_genes)
                     .withColumn("weight", F.abs("stat")).drop("stat"), "ranked")
@@ -114,23 +143,10 @@ def enrich_prerank(results: DataFrame, sets: DataFrame, by: list[str], n_perm: i
     rows = lists.join(per_test, by).repartition(parts, F.xxhash64(*by)).select(
         *by, "sets", F.col("r.gid").alias("gids"), F.col("r.weight").alias("weights"))
     ranks = F.broadcast(ranks) if n_genes * n_perm <= table_cells else ranks.hint("merge")
-    perm = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).join(ranks, "perm")
-    low = (1 << 32) - 1
-    order = F.sort_array(F.transform("gids", lambda g, k: F.shiftleft(F.get("ranks", g).cast("long"), 32) + k))
-    perm = _once(perm, "order", order)
-    # place[k] is the null position of the gene at observed position k + 1.
-    back = F.sort_array(F.transform("order", lambda o, i: F.shiftleft(o.bitwiseAND(F.lit(low)), 32) + i + 1))
-    perm = _once(perm, "place", F.transform(back, lambda b: b.bitwiseAND(F.lit(low)).cast("int")))
-    at = lambda p: F.get("place", p - 1)
-    scored = perm.select(*by, "weights", "place", F.size("gids").alias("n"), F.explode("sets").alias("s")).select(
-        *by, "weights", "n", "s.pathway", F.sort_array(F.transform("s.members", at)).alias("at"))
-    scored = _once(scored, "hits", F.transform("at", lambda p: F.struct(p.alias("pos"), F.get("weights", p - 1).alias("w"))))
-    scored = _once(scored.select(*by, "n", "pathway", "hits"), "total", F.aggregate("hits", F.lit(0.0), lambda t, h: t + h["w"]))
-    scored = _once(scored, "ends", _ends(F.col("hits"), F.col("total"), F.col("n")))
-    scored = scored.select(*by, "pathway", _peak(F.col("ends.up"), F.col("ends.down")).alias("es"))
-    null = scored.groupBy(*by, "pathway").agg(
-        F.avg(F.when(F.col("es") > 0, F.col("es"))).alias("up"),
-        F.avg(F.when(F.col("es") < 0, -F.col("es"))).alias("down"))
+    chunks = F.sequence(F.lit(0), F.lit((n_perm - 1) // PERM_CHUNK))
+    scored = null_scores(rows.withColumn("chunk", F.explode(chunks)).join(ranks, "chunk"), by)
+    null = scored.groupBy(*by, "pathway").agg(F.try_divide(F.sum("up"), F.sum("n_up")).alias("up"),
+                                              F.try_divide(F.sum("down"), F.sum("n_down")).alias("down"))
     scale = F.when(F.col("es") >= 0, F.col("up")).otherwise(F.col("down"))
     return observed.join(null, [*by, "pathway"], "left").select(
         *by, "pathway", "es", F.try_divide(F.col("es"), scale).alias("nes"))
