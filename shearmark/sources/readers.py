@@ -114,13 +114,15 @@ def read_qc_sections(spark: SparkSession, path: str) -> DataFrame:
     names = known.filter("name is not null").groupBy("path", "number").agg(F.min_by("name", F.struct("split", "line")).alias("name"))
     cells = known.filter((F.col("section") == 1) & F.col("open") & F.col("cell").isNotNull()).drop("name")
     place = F.row_number().over(Window.partitionBy("path", "number").orderBy("split", "line"))  # some hundred lines
-    cells = cells.join(names, ["path", "number"], "left").withColumn("pos", place)
+    # the patterns run once a report, not once a line
+    reports = cells.select("path", "number").distinct().join(names, ["path", "number"], "left")
     alone = F.nullif(F.regexp_extract("path", folder, 2), F.lit(""))
     report = F.coalesce(alone, F.concat(F.regexp_replace("name", r"(\.fastq|\.fq)?(\.gz)?$", ""), F.lit("_fastqc")))
     project = F.coalesce(F.nullif(F.regexp_extract("path", folder, 1), F.lit("")), F.regexp_extract("path", parent, 1))
-    return cells.select(project.alias("project_id"), report.alias("report"), "pos", to_double(F.col("cell")).alias("mean_q"), "path").filter(
-        "report is not null").select("project_id", sample_id(F.col("report"), F.col("path")).alias("SRR_ID"), "report", "pos",
-                                     "mean_q").dropna(subset=["mean_q"])
+    reports = settle(reports.select("path", "number", project.alias("project_id"), report.alias("report")).filter("report is not null").withColumn(
+        "SRR_ID", sample_id(F.col("report"), F.col("path"))), "qc_reports")
+    found = cells.withColumn("pos", place).withColumn("mean_q", to_double(F.col("cell"))).dropna(subset=["mean_q"])
+    return found.join(reports, ["path", "number"]).select("project_id", "SRR_ID", "report", "pos", "mean_q")
 
 
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:

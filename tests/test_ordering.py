@@ -77,6 +77,12 @@ def test_join_groups_salted_equals_broadcast(skewed):
     assert join_groups(skewed, per, ["g"], limit=0).count() == skewed.count()
 
 
+def test_groups_past_the_limit_are_not_broadcast_by_their_file_size(skewed):
+    per = settle(skewed.groupBy("g").agg(F.count("*").alias("n")))
+    plan = join_groups(skewed, per, ["g"], limit=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_top_and_tail_reduce_before_the_shuffle(skewed):
     plan = O.top_abs(skewed, ["g"], "v", 3, "id")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan

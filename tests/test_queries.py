@@ -38,6 +38,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
 
+def test_files_of_the_qc_query_do_not_grow_with_its_reports(spark, tmp_path, monkeypatch):
+    from shearmark.analogue import registry
+    monkeypatch.setattr(registry, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    got = entry.queries()["S5_read_qc_sections"](spark, FOLDER)
+    assert got.select("report").distinct().count() == 20
+    assert len(list(tmp_path.rglob("part-*"))) <= 3 * 4  # projects x shuffle partitions
+
+
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_agrees_with_oracle(spark, con, name):
     problem, n, _, _ = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql()[name])
