@@ -33,6 +33,13 @@ def test_spearman(spark):
     assert got["few"] == (9, None) and got["flat"] == (12, None)
 
 
+def test_correlation_of_a_constant_spread_over_partitions_is_null(spark):
+    """Partial means of 0.1, 3310980.5 and the like do not merge to the same number."""
+    df = spark.range(0, 5000, 1, 7).selectExpr("3310980.5D + id div 5000 as x", "0.1D as y", "cast(id as double) as z")
+    got = df.agg(*[S.pearson(a, b).alias(a + b) for a, b in ("xy", "xz", "zy", "zz")]).first()
+    assert (got.xy, got.xz, got.zy) == (None, None, None) and got.zz == pytest.approx(1)
+
+
 def test_jaccard_empty_sets(spark):
     a = spark.createDataFrame([("x", 1), ("x", 2), ("one", 1)], "g string, k int")
     b = spark.createDataFrame([("x", 2), ("x", 3)], "g string, k int")
