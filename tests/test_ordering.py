@@ -83,6 +83,17 @@ def test_groups_past_the_limit_are_not_broadcast_by_their_file_size(skewed):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_groups_of_few_rows_are_not_copied_for_salts(skewed, monkeypatch):
+    per = settle(skewed.groupBy("g").agg(F.count("*").alias("n")))
+    got = join_groups(skewed, per, ["g"], limit=0, largest=skewed.count())
+    assert "salt" not in got._jdf.queryExecution().toString() and rows(got) == rows(join_groups(skewed, per, ["g"]))
+    seen, plain = [], O.join_groups
+    monkeypatch.setattr(O, "join_groups", lambda *a, **k: seen.append(k.get("largest")) or plain(*a, **k, limit=0))
+    want = {r.g: r.m for r in skewed.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    got = O.summarise(skewed.select("g", "v"), ["g"], {"m": ("v", 0.5)})
+    assert {r.g: r.m for r in got.collect()} == pytest.approx(want) and seen and None not in seen
+
+
 def test_top_and_tail_reduce_before_the_shuffle(skewed):
     plan = O.top_abs(skewed, ["g"], "v", 3, "id")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
