@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ CHUNK = 1 << 16  # code points
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 BLOCK = 1024
+TABLE_BLOCKS = 512  # blocks multiplied at once: 4 MB of doubles
+SLICE_BYTES = 4 << 20
 PRINT = ["h1", "h2", "n_bytes"]
 
 
@@ -45,7 +48,7 @@ def polynomial(data: np.ndarray, ends: np.ndarray, base: int, prime: int) -> tup
     weights = powers(base, prime, BLOCK)[::-1].astype(np.float64)
     table = padded.reshape(-1, BLOCK)
     # below 2**8 * 2**31 * 2**10: exact in doubles
-    value = np.concatenate([np.zeros(0), *[table[i:i + 4096].astype(np.float64) @ weights for i in range(0, len(table), 4096)]])
+    value = np.concatenate([np.zeros(0), *[table[i:i + TABLE_BLOCKS].astype(np.float64) @ weights for i in range(0, len(table), TABLE_BLOCKS)]])
     value = value.astype(np.int64) % prime
     shift, out, first = int(powers(base, prime, BLOCK + 1)[-1]), np.zeros(len(sizes), dtype=np.int64), last - blocks
     live = np.flatnonzero(blocks)
@@ -59,8 +62,12 @@ def hasher(primes: tuple[int, int]):
     @F.arrow_udf("struct<h1:long,s1:long,h2:long,s2:long>")
     def chunk_hash(chunk: pa.Array) -> pa.Array:
         parts = []
-        for at in range(0, len(chunk), 1000):
-            texts = chunk.slice(at, 1000).cast(pa.binary())
+        sizes = pc.binary_length(chunk).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE_BYTES)) + 1
+        for at, end in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            if at == end:
+                continue
+            texts = chunk.slice(at, end - at).cast(pa.binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
             both = [polynomial(data, offsets[1:] - offsets[0], b, p) for b, p in zip(BASES, primes, strict=True)]

@@ -64,6 +64,19 @@ def test_chunk_prints_combine():
     assert total == whole[0] == slow
 
 
+def test_hashing_needs_little_memory_beside_the_text():
+    import tracemalloc
+    base, p, data = exact_dedup.BASES[0], exact_dedup.PRIMES[0], np.ones(8 << 20, np.uint8)
+    exact_dedup.powers(base, p, len(data) + 1)  # kept by the worker
+    tracemalloc.start()
+    try:
+        exact_dedup.polynomial(data, np.arange(1 << 16, len(data) + 1, 1 << 16), base, p)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(data) + (8 << 20)
+
+
 def refilled(sizes, weights, share, cap):
     """Targets by sharing the excess again and again."""
     total, open_, out = sum(sizes) * share, set(range(len(sizes))), [0.0] * len(sizes)
