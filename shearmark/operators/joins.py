@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import grid_join, join_groups, settle
+from ..runtime import dealt, grid_join, join_groups, settle
 
 
 def left_join(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -19,9 +19,14 @@ def lookup_diff(df: DataFrame, counts: DataFrame, on: list[str], a: str, b: str)
 
 
 def lookup_last(df: DataFrame, other: DataFrame, on: list[str], value: str, order: str) -> DataFrame:
-    """Attach ``value`` of the last row (by ``order``) that ``other`` holds for the key."""
-    last = other.groupBy(*on).agg(F.max_by(value, order).alias(value))
-    return df.join(last, on, "left")
+    """Attach ``value`` of the last row (by ``order``) that ``other`` holds for the key.
+
+    Keys are dealt before they are grouped: most have few rows, and a map-side table would hold nearly all of them.
+    """
+    df = settle(df, "looked_up")
+    rows = df.count()
+    last = dealt(other.select(*on, value, order), on, rows).groupBy(*on).agg(F.max_by(value, order).alias(value))
+    return dealt(df, on, rows).join(last, on, "left")
 
 
 def preferred_survival(outliers: DataFrame, trim: DataFrame, order: str) -> DataFrame:

@@ -70,6 +70,14 @@ def test_lookup_last_wins_and_u_is_full(spark):
     assert got == {"P5": 80.0, "U": 100.0, "P20": None}
 
 
+def test_tasks_of_a_lookup_grow_with_its_keys(spark, monkeypatch):
+    from shearmark import runtime
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    df = spark.range(200).withColumnRenamed("id", "k")
+    got = J.lookup_last(df, df.selectExpr("k", "k * 2 as v", "k as n"), ["k"], "v", "n")
+    assert got.rdd.getNumPartitions() >= 20 and {(r.k, r.v) for r in got.collect()} == {(i, 2 * i) for i in range(200)}
+
+
 def test_lookup_diff_keeps_failed_lookup(spark):
     a = spark.createDataFrame([("x", 3), ("y", 4), ("z", 5)], "k string, a int")
     b = spark.createDataFrame([("x", 3), ("y", 1)], "k string, b int")
