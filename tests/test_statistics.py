@@ -355,6 +355,17 @@ def test_pending(spark):
     assert rows(out, "srr") == [("c",), ("e",)]
 
 
+def test_tasks_of_pending_grow_with_its_targets(spark, monkeypatch):
+    from shearmark import runtime
+    from shearmark.plans import loso
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    samples = spark.range(200).selectExpr("concat('P', id % 3) as project", "concat('S', id) as srr")
+    done = samples.filter("project = 'P1'").crossJoin(spark.createDataFrame([(m,) for m in (*METHODS, "other")], "method string"))
+    skips = samples.filter("project = 'P2'").selectExpr("*", "'reference_method' as stage", "'U' as method")
+    left = loso.pending(samples, done, skips)
+    assert left.rdd.getNumPartitions() >= 20 and {r.project for r in left.collect()} == {"P0", "P2"} and left.count() == 133
+
+
 def test_loso_keeps_targets_of_every_condition(spark):
     from shearmark.plans.loso import loso_tests, scaled_files
     rng, genes = np.random.default_rng(5), [f"g{i:02d}" for i in range(8)]
