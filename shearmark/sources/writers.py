@@ -18,7 +18,12 @@ def as_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         x = F.col(c)
         if c not in doubles:
             return x.cast("string").alias(c)
-        return F.when(x.isNotNull() & ~F.isnan(x), F.format_string("%.6f", x)).alias(c)
+        x = x.cast("double")
+        # decimals round like the format and take half its time; what keeps a minus sign at zero, or is too large, goes to it
+        plain = (F.abs(x) < 1e11) & ((x > 0) | (x <= -1e-6))
+        text = F.when(plain, x.cast("decimal(18,6)").cast("string")).when(
+            (x == 0) & (x.cast("string") == "0.0"), "0.000000").otherwise(F.format_string("%.6f", x))
+        return F.when(x.isNotNull() & ~F.isnan(x), text).alias(c)
 
     return df.select(*[cell(c) for c in cols])
 

@@ -111,6 +111,15 @@ def test_result_sink(spark, tmp_path):
     assert [(r.project, r.rho_gene) for r in back] == [("PRJ1", None), ("PRJ2", 0.123457)]
 
 
+def test_text_of_doubles_is_that_of_the_format(spark):
+    """Ties, signs of zero and numbers beyond the decimals."""
+    values = [0.0, -0.0, 5e-7, -5e-7, -4e-7, -1e-6, 0.1234565, -2.0000005, 1e11, 99999999999.99999, -1e20, 1e300, float("inf"), -float("inf")]
+    df = spark.createDataFrame([(v,) for v in [*values, *[i / 2e6 for i in range(-300, 300)]]], "x double")
+    got = W.as_text(df.select("x", F.format_string("%.6f", "x").alias("want")))
+    assert got.filter("not x <=> want").count() == 0
+    assert rows(W.as_text(spark.createDataFrame([(float("nan"),), (None,)], "x double"))) == [(None,), (None,)]
+
+
 def test_ingest_first_row_of_a_key_wins(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / d) for d in ("src", "out", "ckpt"))
 
