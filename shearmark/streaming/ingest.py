@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.cleaning import transfer_rate
 from ..operators.ordering import LEAF_VALUES, first_digit, interpolated, placed, refined
-from ..runtime import join_groups, settle
+from ..runtime import dealt, join_groups, settle
 from ..schemas import CONCORDANCE
 
 KEYS = ["project", "SRR_ID", "method"]
@@ -33,12 +33,14 @@ def ingest_results(spark: SparkSession, src: str, out: str, checkpoint: str,
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy("project").parquet(f"{out}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.withColumn("_line", F.monotonically_increasing_id())
+        sizes = [(r["project"], r["n"]) for r in batch.groupBy("project").agg(F.count(F.lit(1)).alias("n")).limit(PRUNED_PROJECTS + 1).collect()]
+        projects, few = [p for p, _ in sizes], len(sizes) <= PRUNED_PROJECTS
+        # dealt by key: few keys come twice, and sums before the shuffle would sort every row once more
+        lines = dealt(batch.withColumn("_line", F.monotonically_increasing_id()), KEYS, sum(n for _, n in sizes) if few else batch.count())
         first = lines.groupBy(*KEYS).agg(F.min_by(F.struct(*values), F.struct("_at", "_path", "_split", "_line")).alias("r"))
         rows = first.select(*KEYS, "r.*").select(*schema.fieldNames())
         stored = ingested(spark, out, schema).filter(F.col("batch") < batch_id)
-        projects = [r[0] for r in batch.select("project").distinct().limit(PRUNED_PROJECTS + 1).collect()]
-        if len(projects) <= PRUNED_PROJECTS:
+        if few:
             stored = stored.filter(F.col("project").isin([p for p in projects if p is not None]) | F.col("project").isNull())
         known = stored.select(*[F.col(c).alias(f"_{c}") for c in KEYS])
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEYS]
