@@ -8,7 +8,9 @@ the two fingerprints agree under it.  All 2**(r + 1) - 1 masks of every part tog
 
 Buckets are compared inside sorted partitions.  One with more than ``bucket_rows`` fingerprints is dealt out again
 by the same construction over the bits its mask left open, which keeps the guarantee; when none are left, the bucket
-is searched as it is.  A bucket gives a spanning forest of its links, not its pairs.
+is searched as it is.  A bucket gives a spanning forest of its links, not its pairs, and of these only the links whose
+ends no earlier table is sure to compare: such ends are connected there.  A dense group, which fills a bucket of almost
+every table, has a few links a row that way and not one for each table.
 """
 
 from __future__ import annotations
@@ -92,10 +94,14 @@ def signed(mask: int) -> int:
 
 
 class Table:
-    """One table of the first level or of a bucket's next one: the bits that are compared and those still open."""
+    """One table of the first level or of a bucket's next one: the bits that are compared and those still open.
 
-    def __init__(self, mask: int, open_bits: list[int]):
-        self.mask, self.open_bits = mask, open_bits
+    ``before``: the tables that come first, as (compared bits, open bits, how many of them) of its own level and of
+    every level above it.
+    """
+
+    def __init__(self, mask: int, open_bits: list[int], before: tuple = ()):
+        self.mask, self.open_bits, self.before = mask, open_bits, before
 
     def code(self) -> Column:
         """The compared bits; a hash of them where they lie in two lanes (buckets are compared exactly anyway)."""
@@ -104,22 +110,49 @@ class Table:
         return used[0] if len(used) == 1 else F.xxhash64(*used)
 
 
+def words_of(bits: list[int]) -> np.ndarray:
+    """Numbers of up to 128 bits as rows of two lanes."""
+    return np.array([[signed(b >> 64 * i & (1 << 64) - 1) for i in range(2)] for b in bits], dtype=np.int64).reshape(-1, 2)
+
+
+def one_level(masks: list[tuple[int, list[int]]], before: tuple = ()) -> list[Table]:
+    """Tables (compared bits, open bits) that follow each other and the tables of the levels above."""
+    compared, open_ = words_of([m for m, _ in masks]), words_of([sum(1 << b for b in bits) for _, bits in masks])
+    return [Table(m, bits, ((compared, open_, k), *before)) for k, (m, bits) in enumerate(masks)]
+
+
 def first_tables(lanes: int, parts: int, radius: int) -> list[Table]:
     each = 64 * lanes // parts
     out = []
     for p in range(parts):
         bits = list(range(p * each, (p + 1) * each))
         for mask in covering_masks(bits, radius // parts):
-            out.append(Table(mask, [b for b in bits if not mask >> b & 1]))
-    return out
+            out.append((mask, [b for b in bits if not mask >> b & 1]))
+    return one_level(out)
 
 
 def next_tables(table: Table, radius: int) -> list[Table]:
     """Tables over the bits that a table leaves open; [] where they are too few to tell more rows apart."""
     if len(table.open_bits) <= radius + 1:
         return []
-    return [Table(table.mask | mask, [b for b in table.open_bits if not mask >> b & 1])
-            for mask in covering_masks(table.open_bits, radius)]
+    return one_level([(table.mask | mask, [b for b in table.open_bits if not mask >> b & 1])
+                      for mask in covering_masks(table.open_bits, radius)], table.before)
+
+
+def compared_before(ends: np.ndarray, before: tuple, radius: int) -> np.ndarray:
+    """Which pairs, given by their differing bits, an earlier table is sure to connect.
+
+    The two agree under its mask and differ in no more of its open bits than its next tables cover, so that they stay
+    together down to a bucket that is searched.
+    """
+    out = np.zeros(len(ends), dtype=bool)
+    for compared, open_, count in before:
+        compared, open_ = compared[:count, :ends.shape[1]], open_[:count, :ends.shape[1]]
+        for at in range(0, len(ends), 1024):
+            part = ends[at:at + 1024]
+            pair, table = np.nonzero(((part[:, None, :] & compared) == 0).all(axis=2))
+            out[at + pair[distance(part[pair] & open_[table], np.int64(0)) <= radius]] = True
+    return out
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,10 +178,11 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def linked(lanes: int, radius: int, limits: list[int]):
+def linked(lanes: int, radius: int, limits: list[int], before: list[tuple], small: int):
     """Scanner of partitions sorted by (table, code): links as (0, a..., b...), rows of too large buckets as (table + 1, ...).
 
-    ``limits`` gives, by table, the rows above which a bucket is dealt out again; 0 means never.
+    ``limits`` gives, by table, the rows above which a bucket is dealt out again; 0 means never.  ``before`` gives, by
+    table, those that come first; what one of them connects (``small`` bits at most differ in its part) is no link again.
     """
     cols = [f"f{i}" for i in range(lanes)]
     names = ["kind", *[f"a{i}" for i in range(lanes)], *[f"b{i}" for i in range(lanes)]]
@@ -214,18 +248,22 @@ def linked(lanes: int, radius: int, limits: list[int]):
             near = distance(prints[at], prints[at + lag]) <= radius
             hit[run[at[near]]] = True
         two = starts[hit & (sizes == 2)]
-        a_out, b_out = [prints[two]], [prints[two + 1]]
+        t_out, a_out, b_out = [table[two]], [prints[two]], [prints[two + 1]]
         for r in np.flatnonzero(hit & (sizes != 2)):
             s, n = int(starts[r]), int(sizes[r])
             if 0 < limits[table[s]] < n:
                 yield batch_of(np.repeat(table[s] + 1, n), prints[s:s + n], prints[s:s + n])
                 continue
             a, b = search(prints[s:s + n])
+            t_out.append(np.repeat(table[s], len(a)))
             a_out.append(a)
             b_out.append(b)
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        if len(a):
-            yield batch_of(np.zeros(len(a)), a, b)
+        of, a, b = np.concatenate(t_out), np.concatenate(a_out), np.concatenate(b_out)
+        new = np.ones(len(a), dtype=bool)
+        for t in np.unique(of).tolist():
+            new[of == t] = ~compared_before(a[of == t] ^ b[of == t], before[t], small)
+        if new.any():
+            yield batch_of(np.zeros(int(new.sum())), a[new], b[new])
 
     return scan, "kind int, " + ", ".join(f"{n} long" for n in names[1:])
 
@@ -251,7 +289,7 @@ def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bu
             spread = part if spread is None else spread.unionByName(part)
         deeper = {n: next_tables(t, small) for n, (_, t) in enumerate(per_source)}
         limits = [bucket_rows if deeper[n] else 0 for n in range(len(per_source))]
-        scan, schema = linked(lanes, radius, limits)
+        scan, schema = linked(lanes, radius, limits, [t.before for _, t in per_source], small)
         count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # by fingerprint inside a bucket: the buckets of a dense group then start their forests from the same few rows
         dealt = spread.repartition(count, "t", "code").sortWithinPartitions("t", "code", *cols)
@@ -270,14 +308,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of all nodes of an undirected edge table (a, b), by large and small stars.
 
     Every round is written to the shared folder; nothing but one number a round reaches the driver.  The minima are
-    found map-side and written before they are joined back, so that a hub's rows can be split over tasks.
+    found map-side and written before they are joined back, so that a hub's rows can be split over tasks.  The rounds
+    end when no node has two lesser neighbours: the edges are pointers then, and jump until all lead to a root.
     """
     edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m")), "low")
-        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = settle(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("n"),
+                                           (F.max("v") > F.col("u")).alias("over")), "low")
+        state = low.agg(F.max("n").alias("n"), F.count_if((F.col("n") > 0) & F.col("over")).alias("between")).first()
+        if (state["n"] or 0) < 2:
+            break
+        least = low.select("u", "m").hint("merge")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = settle(large, "large_star")
         floor = settle(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         small = large.join(floor.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
@@ -285,12 +328,16 @@ def components(edges: DataFrame) -> DataFrame:
         used = [edges, low, large, floor]
         edges = settle(small, "small_star")
         discard(used)
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if last == (state["n"], state["h"]):
-            break
-        last = (state["n"], state["h"])
+    moved = state["between"]
+    while moved:
+        up = edges.select(F.col("u").alias("_u"), F.col("v").alias("_v")).hint("merge")
+        jumped = settle(edges.join(up, F.col("v") == F.col("_u"), "left").select(
+            "u", F.coalesce("_v", "v").alias("v"), F.col("_v").isNotNull().alias("moved")), "jumped")
+        moved = jumped.agg(F.count_if("moved")).first()[0]
+        discard([edges])
+        edges = jumped
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        low.filter("n = 0").select(F.col("u").alias("node"), F.col("u").alias("root")))
 
 
 def rooted(nodes: DataFrame, lanes: int, parts: int, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -443,61 +490,75 @@ def searched_cells(dealt: DataFrame, find) -> DataFrame:
 
 
 def similar_links(members: DataFrame, words: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links a, b (rows) that connect, in every group, the components of texts of at least this Jaccard similarity.
+    """The links of ``similar_copies``."""
+    return similar_copies(members, words, similarity, block_rows)[0]
+
+
+def similar_copies(members: DataFrame, words: int, similarity: float, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Links a, b (rows) that connect, in every group, the components of texts of at least this Jaccard similarity,
+    and the _row of all but the least row of every component.
 
     ``members``: _row, _text, root, blocks.  The rows of a group are dealt over its blocks, and every block gives a
     spanning forest of its links.  Then neighbouring blocks are compared, where they are not connected yet.  What is left
     outside its group's largest component is compared with the whole group, in cells of so many such rows and a
     block.  Two components are linked once however many of their rows are similar, so a dense group has about as many
-    links as rows.
+    links as rows.  Components are found once over the links inside blocks; the later links are few and join components
+    by their least rows, of which all but one then are copies too.
     """
     mine = F.pmod(F.xxhash64("_row"), F.col("blocks"))
     sets = settle(shingle_sets(members, words, ["_row", "root", "blocks"]).withColumn("block", mine), "shingle_sets")
     inside = sets.select(F.xxhash64("root", "block").alias("g"), F.col("_row").alias("o"), "_row", "h")
     found = settle(searched_cells(inside, lambda cell: similar_forest(cell["h"], similarity)), "similar")
+    roots = components(found)
+    copies = roots.filter("node <> root").select(F.col("node").alias("_row"))
     large = sets.filter("blocks > 1")
     if large.isEmpty():
         discard([sets])
-        return found
-
-    def labelled(links):
-        roots = components(links).select(F.col("node").alias("_row"), F.col("root").alias("_root"))
-        return large.join(roots.hint("merge"), "_row", "left").withColumn("label", F.coalesce("_root", "_row")).drop("_root")
+        return found, copies
 
     def once(links, rows):
-        """One link of every pair of labels."""
+        """One link a, b of every pair of labels x, y."""
         label = lambda c: rows.select(F.col("_row").alias(c), F.col("label").alias(f"_l{c}"))
         pairs = links.join(label("a").hint("merge"), "a").join(label("b").hint("merge"), "b")
-        return pairs.groupBy(F.least("_la", "_lb").alias("x"), F.greatest("_la", "_lb").alias("y")).agg(
-            F.min(F.struct("a", "b")).alias("_p")).select("_p.a", "_p.b")
+        return settle(pairs.groupBy(F.least("_la", "_lb").alias("x"), F.greatest("_la", "_lb").alias("y")).agg(
+            F.min(F.struct("a", "b")).alias("_p")).select("x", "y", "_p.a", "_p.b"), "between")
+
+    def joined(fresh):
+        """label and _root of every label with a fresh link."""
+        return components(fresh.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("root").alias("_root"))
+
+    def more(copies, merged):
+        return copies.unionByName(merged.filter("label <> _root").select(F.col("label").alias("_row")))
 
     # ring of blocks: a row asks the next block and is asked by the one before
-    rows = settle(labelled(found), "labelled")
+    own = roots.select(F.col("node").alias("_row"), F.col("root").alias("_root"))
+    rows = settle(large.join(own.hint("merge"), "_row", "left").withColumn("label", F.coalesce("_root", "_row")).drop("_root"), "labelled")
+    discard([sets])
     turns = F.explode(F.array(F.struct(F.col("block").alias("c"), F.lit(0).alias("o")),
                               F.struct(F.pmod(F.col("block") - 1, F.col("blocks")).alias("c"), F.lit(1).alias("o"))))
     ring = rows.select("_row", "root", "h", "label", turns.alias("_t")).select(
         F.xxhash64("root", "_t.c").alias("g"), "_t.o", "_row", "label", "h")
     across = lambda cell: similar_across(cell["h"], cell["label"], cell["o"].count(0), similarity)
-    found = settle(found.unionByName(once(settle(searched_cells(ring, across), "ring"), rows)), "similar")
-
-    discard([rows])
-    rows = settle(labelled(found), "labelled")
-    discard([sets])
+    fresh = once(settle(searched_cells(ring, across), "ring"), rows)
+    found = found.unionByName(fresh.select("a", "b"))
+    merged, before = joined(fresh), rows
+    copies = more(copies, merged)
+    rows = settle(join_groups(before, merged, ["label"], "left").withColumn("label", F.coalesce("_root", "label")).drop("_root"), "labelled")
+    discard([before])
     sizes = rows.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
     open_ = settle(sizes.filter("others > 0").select("root", "main", F.ceil(F.col("others") / block_rows).alias("askers")), "open_groups")
     if open_.isEmpty():
         discard([rows])
-        return found
+        return found, copies
     rest = join_groups(rows, open_, ["root"])
     asks = rest.filter("label <> main").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         F.xxhash64("root", F.pmod(F.xxhash64("_row", F.lit(1)), F.col("askers")), "_b").alias("g"), F.lit(0).alias("o"), "_row", "label", "h")
     asked = rest.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1))).select(
         F.xxhash64("root", "_a", "block").alias("g"), F.lit(1).alias("o"), "_row", "label", "h")
-    last = settle(searched_cells(asks.unionByName(asked), across), "outside")
-    found = settle(found.unionByName(once(last, rows)), "similar")
+    last = once(settle(searched_cells(asks.unionByName(asked), across), "outside"), rows)
     discard([rows])
-    return found
+    return found.unionByName(last.select("a", "b")), more(copies, joined(last))
 
 
 def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: int = 7, radius: int = 32, text: str = "text",
@@ -527,7 +588,7 @@ def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: in
     compared = settle(join_groups(members, groups, ["root"]).select("_row", "root", "blocks"), "compared")
     # the same plan at every size; rows of large groups are spread by their number
     texts = rows.select("_row", "_text").join(compared.hint("merge"), "_row")
-    copies = components(similar_links(texts, words, similarity, block_rows)).filter("node <> root").select(F.col("node").alias("_row"))
+    copies = similar_copies(texts, words, similarity, block_rows)[1]
     kept = nodes.select("_row").join(copies, "_row", "left_anti")
     dropped = settle(prints.select("_row").join(kept, "_row", "left_anti"), "near_copies")
     left = rows.join(dropped.hint("merge"), "_row", "left_anti")

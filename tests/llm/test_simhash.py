@@ -193,3 +193,52 @@ def test_links_of_a_dense_group_grow_with_its_rows(spark):
     assert links.count() < 2 * len(rows)
     got = {(r.node, r.root) for r in simhash.components(links).collect()}
     assert got == {(i, 0) for i in range(1200)} | {(3000, 3000), (3001, 3000)}
+
+
+def test_links_of_a_dense_bucket_group_are_few_and_lose_nothing(spark):
+    rnd, base = random.Random(9), rnd_bits(128, 1)
+    prints = sorted({base ^ sum(1 << b for b in rnd.sample(range(128), rnd.randrange(1, 14))) for _ in range(1200)}
+                    | {base ^ sum(1 << b for b in rnd.sample(range(128), 40)) for _ in range(60)})
+    lane = lambda p, i: simhash.signed(p >> 64 * i & (2**64 - 1))
+    frame = spark.createDataFrame([(lane(p, 0), lane(p, 1)) for p in prints], "f0 long, f1 long")
+    edges = [tuple(r) for r in simhash.links(frame, 2, 7, 32).collect()]
+    assert len(edges) < 8 * len(prints)
+    number, label = {(lane(p, 0), lane(p, 1)): p for p in prints}, {p: p for p in prints}
+
+    def root(p):
+        while label[p] != p:
+            p = label[p]
+        return p
+
+    for a0, a1, b0, b1 in edges:
+        a, b = number[a0, a1], number[b0, b1]
+        assert bin(a ^ b).count("1") <= 32
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    assert {p: root(p) for p in prints} == brute_groups({p: p for p in prints}, 32)
+
+
+def rnd_bits(bits, seed):
+    return random.Random(seed).getrandbits(bits)
+
+
+def test_finished_stars_need_no_round(spark, monkeypatch):
+    made, settle = [], simhash.settle
+    monkeypatch.setattr(simhash, "settle", lambda df, name="table": made.append(name) or settle(df, name))
+    got = dict(simhash.components(spark.createDataFrame([(0, i) for i in range(1, 50)] + [(90, 91)], "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(50)}, 90: 90, 91: 90} and made == ["edges", "low"]
+
+
+def test_copies_are_all_but_the_least_row_of_every_component_of_links(spark):
+    rnd, rows = random.Random(6), []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for i in range(70):
+            words = list(words)
+            words[rnd.randrange(60)] = f"x{g}y{i}"  # a chain: far ends are not similar
+            rows.append((100 * g + rnd.randrange(1, 9) * 1000 + i, " ".join(words), 7, 6))
+    members = spark.createDataFrame(rows, "_row long, _text string, root long, blocks long")
+    links, copies = simhash.similar_copies(members, 5, 0.8, 32)
+    want = {r.node for r in simhash.components(links).collect() if r.node != r.root}
+    got = [r[0] for r in copies.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
