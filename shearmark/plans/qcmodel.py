@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,13 @@ def top_features(scores: DataFrame, n: int = 6) -> DataFrame:
 
 
 def qc_forest(df: DataFrame, features=QC_FEATURES, label: str = "t_star", folds: int = 5, seed: int = 42,
-              trees: int = 20, group: str = "project_id") -> DataFrame:
+              trees: int = 20, group: str = "project_id", parallelism: int = 2) -> DataFrame:
     """Out-of-fold random-forest predictions of the preferred method.
 
     Whole groups share a fold (by hash), so a sample is never predicted by a
-    model that saw its project.
+    model that saw its project.  So many folds are fitted at a time as ``parallelism`` says, with the same forests as one
+    by one: a pass of a fit has a task more than the cluster has cores, and the cores that wait for the last one serve
+    the other fold.  Each fold being fitted keeps its rows in memory, what has no room on disk.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -55,17 +59,21 @@ def qc_forest(df: DataFrame, features=QC_FEATURES, label: str = "t_star", folds:
     key = F.pmod(F.xxhash64(F.col(group)), F.lit(folds)).cast("int")
     clean = settle(df.dropna(subset=[*features, label]).withColumn("fold", key), "forest_input")
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(clean)
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_x"),
-              RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees, seed=seed),
-              IndexToString(inputCol="_p", outputCol="Predicted_t_star", labels=indexer.labels)]
     indexed = indexer.transform(clean)
-    parts = []
-    for k in range(folds):
+
+    def predicted(k):
         train, test = indexed.filter(F.col("fold") != k), indexed.filter(F.col("fold") == k)
         if train.isEmpty() or test.isEmpty():
-            continue
-        parts.append(Pipeline(stages=stages).fit(train).transform(test)
-                     .select(*SAMPLE, F.col(label).alias("True_t_star"), "Predicted_t_star"))
+            return None
+        stages = [VectorAssembler(inputCols=list(features), outputCol="_x"),
+                  RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees, seed=seed),
+                  IndexToString(inputCol="_p", outputCol="Predicted_t_star", labels=indexer.labels)]
+        return Pipeline(stages=stages).fit(train).transform(test).select(*SAMPLE, F.col(label).alias("True_t_star"), "Predicted_t_star")
+
+    with ThreadPool(parallelism) as pool:
+        inherit = inheritable_thread_target(df.sparkSession)
+        found = [pool.apply_async(inherit(lambda k=k: predicted(k))) for k in range(folds)]
+        parts = [part for part in (f.get() for f in found) if part is not None]
     if not parts:
         raise ValueError("the forest needs at least two folds with rows")
     return reduce(DataFrame.unionByName, parts)

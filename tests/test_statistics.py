@@ -450,3 +450,21 @@ def test_nearest_information_matches_brute_force(spark):
             m = sum((abs(v - w) < r) if r > 0 else v == w for w, _ in kept)
             total += psi(k) - psi(len(own) + 1) - psi(m)
         assert got[f] == pytest.approx(max(0.0, psi(len(kept)) + total / len(kept)), abs=1e-9), f
+
+
+def test_folds_of_the_forest_are_fitted_two_at_a_time_with_the_same_result(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml import Pipeline
+
+    from shearmark.plans.qcmodel import qc_forest
+
+    rows = [(f"S{i}", f"P{i % 9}", float(i % 7), float(i % 5), "U" if i % 7 > 3 else "A") for i in range(180)]
+    table = spark.createDataFrame(rows, "SRR_ID string, project_id string, a double, b double, t_star string")
+    forest = lambda n: sorted(map(tuple, qc_forest(table, ["a", "b"], folds=2, trees=3, parallelism=n).collect()))
+    one = forest(1)
+    assert len(one) == len(rows)
+    both, fit = threading.Barrier(2, timeout=60), Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, *args: both.wait() is not None and fit(self, *args))
+    assert forest(2) == one
+    assert {r[0] for r in qc_forest(table, ["a", "b"], folds=2, trees=3).collect()} == {r[0] for r in rows}
