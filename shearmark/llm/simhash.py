@@ -1,14 +1,16 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-A fingerprint is cut into parts; with ``parts`` of them, two fingerprints within the radius differ in at most
-radius // parts bits of some part.  For that smaller radius r, every bit position of a part has a code in
+A fingerprint is cut into ``parts``, each with a smaller radius; these add up to radius - parts + 1, so two fingerprints
+that differ in more bits of every part differ in more than the radius.  For a part's radius r, every bit position has a code in
 {0, 1}**(r + 1), and every non-zero v gives a mask: the positions whose code has odd overlap with v.  Up to r
 differing positions have codes of rank r at most, so some v is orthogonal to all of them, its mask avoids them, and
 the two fingerprints agree under it.  All 2**(r + 1) - 1 masks of every part together therefore miss no pair.
 
 Buckets are compared inside sorted partitions.  One with more than ``bucket_rows`` fingerprints is dealt out again
-by the same construction over the bits its mask left open, which keeps the guarantee; when none are left, the bucket
-is searched as it is.  A bucket gives a spanning forest of its links, not its pairs, and of these only the links whose
+by the same construction over the bits its mask left open, which keeps the guarantee.  Every row is copied once a mask
+then, so that is only done where the pairs to compare shrink by more than the rows grow; with few bits open (the short
+parts of a wide fingerprint) it would multiply the disk and save nothing, and the bucket is searched as it is, whatever
+its size.  A bucket gives a spanning forest of its links, not its pairs, and of these only the links whose
 ends no earlier table is sure to compare: such ends are connected there.  A dense group, which fills a bucket of almost
 every table, has a few links a row that way and not one for each table.
 """
@@ -30,6 +32,7 @@ SEEDS = (42, 43)
 BUCKET_ROWS = 4096
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
+BLOCK_CELLS = 1 << 17
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -94,14 +97,14 @@ def signed(mask: int) -> int:
 
 
 class Table:
-    """One table of the first level or of a bucket's next one: the bits that are compared and those still open.
+    """One table of the first level or of a bucket's next one: the bits that are compared, those still open and how many of these may differ.
 
-    ``before``: the tables that come first, as (compared bits, open bits, how many of them) of its own level and of
-    every level above it.
+    ``before``: the tables that come first, as (compared bits, open bits, radii, how many of them) of its own level and
+    of every level above it.
     """
 
-    def __init__(self, mask: int, open_bits: list[int], before: tuple = ()):
-        self.mask, self.open_bits, self.before = mask, open_bits, before
+    def __init__(self, mask: int, open_bits: list[int], radius: int, before: tuple = ()):
+        self.mask, self.open_bits, self.radius, self.before = mask, open_bits, radius, before
 
     def code(self) -> Column:
         """The compared bits; a hash of them where they lie in two lanes (buckets are compared exactly anyway)."""
@@ -115,53 +118,68 @@ def words_of(bits: list[int]) -> np.ndarray:
     return np.array([[signed(b >> 64 * i & (1 << 64) - 1) for i in range(2)] for b in bits], dtype=np.int64).reshape(-1, 2)
 
 
-def one_level(masks: list[tuple[int, list[int]]], before: tuple = ()) -> list[Table]:
-    """Tables (compared bits, open bits) that follow each other and the tables of the levels above."""
-    compared, open_ = words_of([m for m, _ in masks]), words_of([sum(1 << b for b in bits) for _, bits in masks])
-    return [Table(m, bits, ((compared, open_, k), *before)) for k, (m, bits) in enumerate(masks)]
+def one_level(masks: list[tuple[int, list[int], int]], before: tuple = ()) -> list[Table]:
+    """Tables (compared bits, open bits, radius) that follow each other and the tables of the levels above."""
+    compared, open_ = words_of([m for m, _, _ in masks]), words_of([sum(1 << b for b in bits) for _, bits, _ in masks])
+    radii = np.array([r for _, _, r in masks])
+    return [Table(m, bits, r, ((compared, open_, radii, k), *before)) for k, (m, bits, r) in enumerate(masks)]
+
+
+def part_radii(parts: int, radius: int) -> list[int]:
+    """Radii of the parts: fingerprints beyond all of them differ in their sum and a bit a part, which is beyond the radius."""
+    each, more = divmod(max(radius - parts + 1, 0), parts)
+    return [each + (p < more) for p in range(parts)]
 
 
 def first_tables(lanes: int, parts: int, radius: int) -> list[Table]:
     each = 64 * lanes // parts
     out = []
-    for p in range(parts):
+    for p, small in enumerate(part_radii(parts, radius)):
         bits = list(range(p * each, (p + 1) * each))
-        for mask in covering_masks(bits, radius // parts):
-            out.append((mask, [b for b in bits if not mask >> b & 1]))
+        for mask in covering_masks(bits, small):
+            out.append((mask, [b for b in bits if not mask >> b & 1], small))
     return one_level(out)
 
 
-def next_tables(table: Table, radius: int) -> list[Table]:
-    """Tables over the bits that a table leaves open; [] where they are too few to tell more rows apart."""
-    if len(table.open_bits) <= radius + 1:
+def next_tables(table: Table) -> list[Table]:
+    """Tables over the bits that a table leaves open; [] where the copies of its rows would outweigh the pairs saved."""
+    if len(table.open_bits) <= table.radius + 1:
         return []
-    return one_level([(table.mask | mask, [b for b in table.open_bits if not mask >> b & 1])
-                      for mask in covering_masks(table.open_bits, radius)], table.before)
+    masks = covering_masks(table.open_bits, table.radius)
+    if len(masks) * sum(2.0 ** -mask.bit_count() for mask in masks) >= 1:  # rows grow by the first, pairs shrink by the second
+        return []
+    return one_level([(table.mask | mask, [b for b in table.open_bits if not mask >> b & 1], table.radius) for mask in masks], table.before)
 
 
-def compared_before(ends: np.ndarray, before: tuple, radius: int) -> np.ndarray:
+def compared_before(ends: np.ndarray, before: tuple) -> np.ndarray:
     """Which pairs, given by their differing bits, an earlier table is sure to connect.
 
     The two agree under its mask and differ in no more of its open bits than its next tables cover, so that they stay
     together down to a bucket that is searched.
     """
     out = np.zeros(len(ends), dtype=bool)
-    for compared, open_, count in before:
+    for compared, open_, radii, count in before:
         compared, open_ = compared[:count, :ends.shape[1]], open_[:count, :ends.shape[1]]
         for at in range(0, len(ends), 1024):
             part = ends[at:at + 1024]
             pair, table = np.nonzero(((part[:, None, :] & compared) == 0).all(axis=2))
-            out[at + pair[distance(part[pair] & open_[table], np.int64(0)) <= radius]] = True
+            out[at + pair[distance(part[pair] & open_[table], np.int64(0)) <= radii[table]]] = True
     return out
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints whose lanes are the last axis (numpy counts signed numbers by absolute value)."""
-    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    bits = np.bitwise_count((a ^ b).view(np.uint64))
+    return sum(bits[..., i] for i in range(bits.shape[-1]))  # at most 128; far faster than a sum along a short axis
+
 
+def may_match(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity, which is at most the lesser size over the greater."""
+    return np.minimum(a, b) >= np.maximum(a, b) * (similarity * (1 - 1e-9))
 
-def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (earlier found, new) that span every component of the rows within the radius of each other.
+
+def forest(prints: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """Links (earlier found, new) that span every component of the rows within the radius of each other, of sizes that may match.
 
     A row is compared only with those not reached yet, so a dense group costs little more than its size.
     """
@@ -171,6 +189,8 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while front and len(rest):
             a = front.pop()
             near = distance(prints[rest], prints[a]) <= radius
+            if sizes is not None:
+                near &= may_match(sizes[rest], sizes[a], similarity)
             reached = rest[near].tolist()
             out.extend((a, b) for b in reached)
             front.extend(reached)
@@ -178,30 +198,64 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def linked(lanes: int, radius: int, limits: list[int], before: list[tuple], small: int):
+def with_neighbours(prints: np.ndarray, radius: int, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows have another within the radius, of a size that may match.
+
+    Rows meet in order of size, in blocks that stay in the processor's cache.  In a large bucket a few rows look first:
+    they know the members of a dense group, and only the others go on to look.
+    """
+    n, out, lanes = len(prints), np.zeros(len(prints), dtype=bool), np.ascontiguousarray(prints.T).view(np.uint64)
+
+    def near(a, b):
+        bits = np.bitwise_count(lanes[0][a][:, None] ^ lanes[0][b])
+        for lane in lanes[1:]:
+            bits += np.bitwise_count(lane[a][:, None] ^ lane[b])
+        i, j = np.divmod(np.flatnonzero(bits <= radius), len(b))  # far faster than nonzero along two axes
+        a, b = a[i], b[j]
+        fit = (a != b) & may_match(sizes[a], sizes[b], similarity)
+        return a[fit], b[fit]
+
+    for a in range(0, n, 1 + n // 16) if n > 1024 else ():
+        for rows in near(np.array([a]), np.arange(n)):
+            out[rows] = True
+    order = np.argsort(sizes, kind="stable")
+    asks, known = order[~out[order]], order[out[order]]
+    slack, step = similarity * (1 - 1e-9), max(1, min(64, BLOCK_CELLS // max(n, 1)))
+    starts = np.arange(0, len(asks), step)
+    least, most = sizes[asks[starts]], sizes[asks[np.minimum(starts + step, len(asks)) - 1]]
+    ends = np.searchsorted(sizes[asks] * slack, most, "right")
+    low, high = np.searchsorted(sizes[known], least * slack), np.searchsorted(sizes[known] * slack, most, "right")
+    for at, end, k, m in zip(starts.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+        part = asks[at:at + step]
+        for rows in near(part, asks[at:end]):
+            out[rows] = True
+        if k < m:
+            out[near(part, known[k:m])[0]] = True
+    return out
+
+
+def linked(lanes: int, radius: int, limits: list[int], before: list[tuple], sized: bool = False, similarity: float = 0.0):
     """Scanner of partitions sorted by (table, code): links as (0, a..., b...), rows of too large buckets as (table + 1, ...).
 
     ``limits`` gives, by table, the rows above which a bucket is dealt out again; 0 means never.  ``before`` gives, by
-    table, those that come first; what one of them connects (``small`` bits at most differ in its part) is no link again.
+    table, those that come first; what one of them connects is no link again.  With ``sized``, rows have a size n, and
+    those whose sizes cannot have the similarity are not linked for their own sake.
     """
-    cols = [f"f{i}" for i in range(lanes)]
-    names = ["kind", *[f"a{i}" for i in range(lanes)], *[f"b{i}" for i in range(lanes)]]
+    cols = [*[f"f{i}" for i in range(lanes)], *(["n"] if sized else [])]
+    names = ["kind", *[f"a{i}" for i in range(lanes)], *[f"b{i}" for i in range(lanes)], *(["n"] if sized else [])]
 
     def batch_of(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in (*a.T, *b.T)]], names=names)
+        ends = [*a.T[:lanes], *b.T[:lanes], *a.T[lanes:]]
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in ends]], names=names)
 
-    def search(prints):
+    def search(rows):
         """Links of one bucket."""
-        if len(prints) <= BUCKET_ROWS:
-            linked_rows = np.zeros(len(prints), dtype=bool)
-            for at in range(0, len(prints), 128):
-                near = distance(prints[at:at + 128, None, :], prints[None, at:, :]) <= radius
-                np.fill_diagonal(near, False)
-                linked_rows[at:at + 128] |= near.any(axis=1)
-                linked_rows[at:] |= near.any(axis=0)
-            prints = prints[linked_rows]
-        pairs = np.array(forest(prints, radius), dtype=np.int64).reshape(-1, 2)
-        return prints[pairs[:, 0]], prints[pairs[:, 1]]
+        sizes = rows[:, lanes] if sized else np.zeros(len(rows), dtype=np.int64)
+        some = with_neighbours(rows[:, :lanes], radius, sizes, similarity)
+        rows, sizes = rows[some], sizes[some]
+        prints = np.ascontiguousarray(rows[:, :lanes])
+        pairs = np.array(forest(prints, radius, sizes if similarity else None, similarity), dtype=np.int64).reshape(-1, 2)
+        return rows[pairs[:, 0]], rows[pairs[:, 1]]
 
     def scan(batches):
         held = None  # rows of the last bucket, which may go on in the next batch
@@ -245,7 +299,7 @@ def linked(lanes: int, radius: int, limits: list[int], before: list[tuple], smal
             at = np.flatnonzero((run[lag:] == run[:-lag]) & ~hit[run[lag:]])
             if not len(at):
                 break
-            near = distance(prints[at], prints[at + lag]) <= radius
+            near = distance(prints[at][:, :lanes], prints[at + lag][:, :lanes]) <= radius
             hit[run[at[near]]] = True
         two = starts[hit & (sizes == 2)]
         t_out, a_out, b_out = [table[two]], [prints[two]], [prints[two + 1]]
@@ -261,20 +315,26 @@ def linked(lanes: int, radius: int, limits: list[int], before: list[tuple], smal
         of, a, b = np.concatenate(t_out), np.concatenate(a_out), np.concatenate(b_out)
         new = np.ones(len(a), dtype=bool)
         for t in np.unique(of).tolist():
-            new[of == t] = ~compared_before(a[of == t] ^ b[of == t], before[t], small)
+            new[of == t] = ~compared_before((a[of == t] ^ b[of == t])[:, :lanes], before[t])
         if new.any():
             yield batch_of(np.zeros(int(new.sum())), a[new], b[new])
 
     return scan, "kind int, " + ", ".join(f"{n} long" for n in names[1:])
 
 
-def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links a0.., b0.. between different fingerprints (columns f0, f1) that connect all within the radius, transitively."""
-    cols = [f"f{i}" for i in range(lanes)]
-    level = list(enumerate(first_tables(lanes, parts, radius)))
-    rows = prints.select(*cols).distinct()
-    small, found = radius // parts, None
-    per_source: list[tuple[int | None, Table]] = [(None, t) for _, t in level]
+def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bucket_rows: int = BUCKET_ROWS,
+          similarity: float = 0.0) -> DataFrame:
+    """Links a0.., b0.. between fingerprints (columns f0, f1) that connect all different ones within the radius, transitively.
+
+    With a similarity, rows also have the size n of their set; only those whose sizes can have it must be connected.
+    """
+    sized = similarity > 0
+    lane_cols = [f"f{i}" for i in range(lanes)]
+    cols = lane_cols + (["n"] if sized else [])
+    count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # in as many tasks as there are partitions: few tasks would spill what they deal out and hold it twice while they merge
+    rows, found = prints.select(*cols).repartition(count, *cols).distinct(), None
+    per_source: list[tuple[int | None, Table]] = [(None, t) for t in first_tables(lanes, parts, radius)]
     while True:
         def entry(n: int, t: Table) -> Column:
             return F.struct(F.lit(n).alias("t"), t.code().alias("code"))
@@ -287,12 +347,11 @@ def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bu
             part = rows if source is None else rows.filter(F.col("kind") == source + 1)
             part = part.select(*cols, F.explode(F.array(*entries)).alias("_e")).select(*cols, "_e.*")
             spread = part if spread is None else spread.unionByName(part)
-        deeper = {n: next_tables(t, small) for n, (_, t) in enumerate(per_source)}
+        deeper = {n: next_tables(t) for n, (_, t) in enumerate(per_source)}
         limits = [bucket_rows if deeper[n] else 0 for n in range(len(per_source))]
-        scan, schema = linked(lanes, radius, limits, [t.before for _, t in per_source], small)
-        count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        scan, schema = linked(lanes, radius, limits, [t.before for _, t in per_source], sized, similarity)
         # by fingerprint inside a bucket: the buckets of a dense group then start their forests from the same few rows
-        dealt = spread.repartition(count, "t", "code").sortWithinPartitions("t", "code", *cols)
+        dealt = spread.repartition(count, "t", "code").sortWithinPartitions("t", "code", *lane_cols)
         out = settle(dealt.mapInArrow(scan, schema), "links")
         pairs = [f"{s}{i}" for s in "ab" for i in range(lanes)]
         fresh = out.filter("kind = 0").select(*pairs)
@@ -300,7 +359,8 @@ def links(prints: DataFrame, lanes: int = 1, parts: int = 1, radius: int = 4, bu
         large = sorted(r["kind"] - 1 for r in out.filter("kind > 0").select("kind").distinct().collect())  # at most the tables
         if not large:
             return found.distinct()
-        rows = out.filter("kind > 0").select("kind", *[F.col(f"a{i}").alias(f"f{i}") for i in range(lanes)]).distinct()
+        rows = out.filter("kind > 0").select("kind", *[F.col(f"a{i}").alias(f"f{i}") for i in range(lanes)], *(["n"] if sized else []))
+        rows = rows.repartition(count, *cols).distinct()
         per_source = [(n, t) for n in large for t in deeper[n]]
 
 
@@ -340,9 +400,9 @@ def components(edges: DataFrame) -> DataFrame:
         low.filter("n = 0").select(F.col("u").alias("node"), F.col("u").alias("root")))
 
 
-def rooted(nodes: DataFrame, lanes: int, parts: int, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``nodes`` (different fingerprints f0.. and other columns) with the root of each one's component of links."""
-    pairs = links(nodes, lanes, parts, radius, bucket_rows)
+def rooted(nodes: DataFrame, lanes: int, parts: int, radius: int, bucket_rows: int = BUCKET_ROWS, similarity: float = 0.0) -> DataFrame:
+    """``nodes`` (fingerprints f0.. and other columns, different rows) with the root of each one's component of links."""
+    pairs = links(nodes, lanes, parts, radius, bucket_rows, similarity)
     if lanes == 1:
         edges = pairs.select(F.col("a0").alias("a"), F.col("b0").alias("b"))
         name: Column = F.col("f0")
@@ -568,7 +628,8 @@ def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: in
     A group is connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
     checked exactly.  Fingerprints only say where to look: sets of that similarity have a cosine of 8/9, hence differ in
     acos(8/9) / pi = 0.151 of the bits, 19 of 128 on average, and three standard deviations (4) are added.  All texts
-    that are connected within the radius are compared, also those beyond it.  Texts of equal shingle sets are one
+    that are connected within the radius are compared, also those beyond it; sets of which one has less than that
+    share of the other's shingles cannot be similar and give no link.  Texts of equal shingle sets are one
     node.  Those without words have the empty set: they are copies of each other and of nothing else.
     """
     rows = settle(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"),
@@ -577,9 +638,10 @@ def near_deduplicated(docs: DataFrame, words: int = 5, lanes: int = 2, parts: in
     prints = settle(set_prints(rows, words, lanes), "fingerprints")
     nodes = settle(prints.groupBy("s", "n", *cols).agg(F.min("_row").alias("_row")), "nodes")
     worded = nodes.filter("n > 0")
-    found = rooted(worded.select(*cols).distinct(), lanes, parts, radius).select(*[F.col(c).alias(f"_{c}") for c in cols], "root")
+    sized = [*cols, "n"]
+    found = rooted(worded.select(*sized).distinct(), lanes, parts, radius, similarity=similarity).select(*[F.col(c).alias(f"_{c}") for c in sized], "root")
     on = F.lit(True)
-    for c in cols:
+    for c in sized:
         on = on & (F.col(c) == F.col(f"_{c}"))
     members = settle(worded.join(found, on).select("_row", "n", "root"), "members")
     groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n")).filter("_m > 1")

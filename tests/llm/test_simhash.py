@@ -242,3 +242,80 @@ def test_copies_are_all_but_the_least_row_of_every_component_of_links(spark):
     want = {r.node for r in simhash.components(links).collect() if r.node != r.root}
     got = [r[0] for r in copies.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tables_of_unequal_radii_miss_no_pair_within_the_radius():
+    tables = simhash.first_tables(2, 7, 32)
+    assert len(tables) == 5 * 31 + 2 * 15 and sum(simhash.part_radii(7, 32)) == 26
+    rnd = random.Random(12)
+    for _ in range(2000):
+        spread = [5] * 5 + [4, 3]  # 32 bits as evenly as can be: only the last part is within its radius
+        rnd.shuffle(spread)
+        flipped = sum(1 << b for p, n in enumerate(spread) for b in rnd.sample(range(18 * p, 18 * p + 18), n))
+        assert any(not t.mask & flipped for t in tables)
+
+
+def brute_connected(number, edges):
+    label = {p: p for p in number.values()}
+
+    def root(p):
+        while label[p] != p:
+            p = label[p]
+        return p
+
+    for a0, a1, b0, b1 in edges:
+        x, y = sorted((root(number[a0, a1]), root(number[b0, b1])))
+        label[y] = x
+    return {p: root(p) for p in label}
+
+
+@pytest.mark.parametrize("similarity", [0.0, 0.8])
+def test_large_buckets_with_few_open_bits_are_searched_as_they_are(spark, monkeypatch, similarity):
+    """Dealing them again copies every row 31 times and saves no comparison: at 2.5 million texts that filled the disk."""
+    made, settle = [], simhash.settle
+    monkeypatch.setattr(simhash, "settle", lambda df, name="table": made.append(name) or settle(df, name))
+    rnd, lane = random.Random(8), lambda p, i: simhash.signed(p >> 64 * i & (2**64 - 1))
+    bases = [rnd.getrandbits(128) for _ in range(300)]
+    prints = bases + [rnd.choice(bases[:60]) ^ sum(1 << b for b in rnd.sample(range(128), rnd.randrange(1, 33))) for _ in range(900)]
+    sizes = {p: rnd.randrange(5, 400) for p in prints}
+    frame = spark.createDataFrame([(lane(p, 0), lane(p, 1), n) for p, n in sizes.items()], "f0 long, f1 long, n long")
+    edges = [tuple(r) for r in simhash.links(frame, 2, 7, 32, bucket_rows=2, similarity=similarity).collect()]
+    assert made == ["links"]
+    got = brute_connected({(lane(p, 0), lane(p, 1)): p for p in sizes}, edges)
+    todo = [(a, b) for a in sizes for b in sizes if a < b and bin(a ^ b).count("1") <= 32]
+    must = [(a, b) for a, b in todo if min(sizes[a], sizes[b]) >= similarity * max(sizes[a], sizes[b])]
+    assert must and all(got[a] == got[b] for a, b in must)
+    assert all(bin((a0 ^ b0) & (2**64 - 1)).count("1") + bin((a1 ^ b1) & (2**64 - 1)).count("1") <= 32 for a0, a1, b0, b1 in edges)
+    if similarity:
+        assert len(edges) < len(todo)
+
+
+def test_large_buckets_that_are_dealt_again_keep_sizes(spark):
+    rnd, base = random.Random(3), 0x123456789ABCDEF
+    prints = sorted({base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(4))) for _ in range(900)})
+    frame = spark.createDataFrame([(simhash.signed(p), 10 if i % 2 else 30) for i, p in enumerate(prints)], "f0 long, n long")
+    unsigned = lambda x: x & (2**64 - 1)
+    edges = [(0, unsigned(a), 0, unsigned(b)) for a, b in simhash.links(frame, bucket_rows=64, similarity=0.8).collect()]
+    got = brute_connected({(0, p): p for p in prints}, edges)
+    for odd in (0, 1):
+        part = prints[odd::2]
+        assert all(got[a] == got[b] for a in part for b in part if bin(a ^ b).count("1") <= 4)
+
+
+@pytest.mark.parametrize("similarity", [0.0, 0.8])
+def test_rows_with_neighbours_equal_a_plain_search(similarity):
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    for n, dense in ((0, 0), (1, 0), (40, 5), (700, 30), (3000, 900)):
+        prints = rnd.integers(-2**63, 2**63 - 1, (n, 2), dtype=np.int64)
+        sizes = rnd.integers(1, 60, n)
+        prints[:dense] = prints[:1]
+        prints[:dense, 0] ^= np.int64(1) << rnd.integers(0, 60, dense)
+        prints[dense:dense + n // 20] = prints[n - n // 20:] ^ rnd.choice([1, 7, (1 << 33) - 1], (n // 20, 1))
+        shuffled = rnd.permutation(n)
+        prints, sizes = prints[shuffled], sizes[shuffled]
+        near = simhash.distance(prints[:, None], prints[None]) <= 32
+        near &= np.minimum(sizes[:, None], sizes) * 5 >= np.maximum(sizes[:, None], sizes) * (4 if similarity else 0)
+        np.fill_diagonal(near, False)
+        assert simhash.with_neighbours(prints, 32, sizes, similarity).tolist() == near.any(axis=1).tolist()
